@@ -101,7 +101,7 @@ def identified(rows: DataFrame, profile: Profile) -> DataFrame:
         return told.select("origin", "row_id", "host", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
     host = F.coalesce("host", F.lit(""))
     told = c.written(told.withColumn("suffix", F.regexp_extract(host, r"([^.]*)$", 1)).withColumn("domain", F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)), "told")
-    vote = lambda x: F.sum((F.col("declared") == x).cast("long"))
+    vote = lambda x: F.sum(F.col("declared").eqNullSafe(x).cast("long"))
     seen = [vote(x).alias(f"n_{k}") for k, x in enumerate(languages)]
     levels, parent = {}, None
     hosts = told.groupBy("host", "domain", "suffix").agg(*seen)
