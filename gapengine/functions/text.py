@@ -54,7 +54,7 @@ def framing_terms(c: Column, stop: Iterable[str] = ()) -> Column:
     words = F.transform(F.regexp_extract_all(F.lower(c), F.lit(FRAMING_TOKEN), 0), lambda w: F.regexp_replace(w, "^['-]+|['-]+$", ""))
     stopped = F.array(*[F.lit(s) for s in stop]).cast("array<string>")
     words = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stopped, w))
-    return F.array_distinct(F.filter(F.transform(words, stem), lambda w: ~F.array_contains(stopped, w)))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: stem(w)), lambda w: ~F.array_contains(stopped, w)))
 
 
 def matches_any(c: Column, phrases: Iterable[str]) -> Column:

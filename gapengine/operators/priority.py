@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +32,16 @@ def label_matches(label: Column, rule: str) -> Column:
     return plain == rule if len(rule) <= 2 else plain.rlike(rf"\b{rule}\b")
 
 
+def _fits(rules):
+    """A label predicate: one of the rules matches."""
+    return lambda label: reduce(or_, [label_matches(label, rule) for rule in rules])
+
+
 def tier(labels: Column, rules=RULES) -> Column:
     """The first tier that a label fits; null without one."""
     out = None
     for name, words in rules.items():
-        fits = F.exists(labels, lambda x, words=words: F.exists(F.array(*[label_matches(x, w) for w in words]), lambda b: b))
+        fits = F.exists(labels, _fits(words))
         out = F.when(fits, name) if out is None else out.when(fits, name)
     return out
 
@@ -41,7 +49,7 @@ def tier(labels: Column, rules=RULES) -> Column:
 def matched(labels: Column, rules=RULES) -> Column:
     """The labels that fit some rule."""
     words = [w for ws in rules.values() for w in ws]
-    return F.filter(labels, lambda x: F.exists(F.array(*[label_matches(x, w) for w in words]), lambda b: b))
+    return F.filter(labels, _fits(words))
 
 
 def derived(labels: Column, milestone: Column, due: Column, created: Column, state: Column, as_of: Column, rules=RULES) -> Column:

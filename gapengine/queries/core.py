@@ -582,5 +582,17 @@ def q75_worklist_drift(spark, sf):
     return labeling.drift(work, now, "o_orderkey", ["o_orderstatus", "o_orderpriority"]).groupBy("stale", "drifted").agg(F.count("*").alias("n"))
 
 
+def flagship(spark, sf):
+    """Adjacent turns as needs, documents as the backlog: probes, coverage, verdicts, stability, unique titles and rank."""
+    own, docs, probe = probe_parts(spark, sf)
+    best = framing.best_items(framing.coverage(probe, docs.select("item_id", F.explode("terms").alias("term"))))
+    v = framing.verdicts(own, probe, best)
+    low, closed = F.col("job_coverage") > 0, F.lit(False)
+    kind = verdict.guarded(verdict.verdict(F.col("is_misunderstood"), F.col("symptom_coverage"), low), closed)
+    told = verdict.stability(F.col("is_misunderstood"), F.col("symptom_coverage"), low, F.col("symptom_coverage"), F.col("job_coverage"), closed)
+    rows = v.select(F.col("need_id").alias("id"), F.coalesce(F.col("symptom_item").cast("string"), F.lit("")).alias("title"), kind.alias("verdict"), F.lit("DEFENSIBLE").alias("critique"), F.round(F.greatest("symptom_coverage", F.lit(0.05)), 6).alias("confidence"), F.round(numbers.opportunity(10 * F.col("symptom_coverage"), 10 * F.col("job_coverage")), 6).alias("opportunity"), F.lit(1).cast("long").alias("evidence"), told.alias("told"))
+    return rank.ranked(rows, 50).select("id", "title", "verdict", "score", "rank", F.col("told.gate").alias("gate"), F.col("told.margin").alias("margin"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit() and callable(f)}
