@@ -6,8 +6,9 @@ only if four fifths of its shingles are shared. Every token order (frequency cla
 texts that link share a prefix token under each order. Buckets of the first order make candidates, the other orders filter them,
 the survivors are verified exactly.
 
-Groups of copies aren't expanded: equal texts are one set; each bucket first offers its members to a hub, components come from
-the links found, and only buckets that still hold several components offer pairs, across components only.
+Groups of copies aren't expanded: equal texts are one set; in a few rounds each bucket offers its members to a hub and components
+come from the links found. Only buckets that then still hold several components offer pairs, across components only, and only those
+whose distances from a common hub allow a link (Jaccard distance is a metric).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from gapengine.llm.graph import components
 #: A shingle in so many texts of one chunk is hot: only a mark goes to its bucket, and its texts keep it with the last frequency class.
 HOT = 64
 HOT_CLASS = 63
+#: Rounds in which buckets offer their members to a hub before the pairs that are left are listed.
+ROUNDS = 2
 SEEDS = (0x1B873593CC9E2D51, 0x85EBCA6B27D4EB2F)
 _MAP = "bucket int, kind int, doc_id long, sid long, n long, payload binary"
 
@@ -199,40 +202,72 @@ def prefixed(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that share a prefix token under the other orders too, then those that link."""
-    side = lambda x: sets.select(*[F.col(k).alias(f"{x}_{k}") for k in ("sid", "n", "toks", "second", "third")])
+def _overlaps(pairs: DataFrame, sets: DataFrame, filtered: bool) -> DataFrame:
+    """pairs(a, b) with both sizes in s and the exact overlap o; filtered: only pairs that share a prefix token under the other orders too."""
+    side = lambda x: sets.select(*[F.col(k).alias(f"{x}_{k}") for k in ("sid", "n", "toks", *(("second", "third") if filtered else ()))])
     both = pairs.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
-    both = both.where(F.arrays_overlap("a_second", "b_second")).where(F.arrays_overlap("a_third", "b_third"))
-    o = F.size(F.array_intersect("a_toks", "b_toks"))
-    return both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("s"), o.alias("o")).where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b")
+    if filtered:
+        both = both.where(F.arrays_overlap("a_second", "b_second")).where(F.arrays_overlap("a_third", "b_third"))
+    return both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("s"), F.size(F.array_intersect("a_toks", "b_toks")).alias("o"))
+
+
+def _linked(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b")
+
+
+def _stars(prefix: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs of each set with at most two of the hubs of its buckets: the one that it shares most prefix tokens with, and the best hub.
+
+    A bucket's hub is the member with the smallest share of shingles that no other text has: an original rather than one of its edited copies; seed varies the choice.
+    Members that already have the hub's root aren't offered to it.
+    """
+    rank = F.struct(F.round((F.col("n") - F.col("m")) / F.col("n"), 2), F.xxhash64(F.lit(seed), "sid")) if seed == 0 else F.struct(F.xxhash64(F.lit(seed), "sid"))
+    hubs = prefix.groupBy("tok", "band").agg(F.min_by(F.struct("sid", "n", "root", rank.alias("rank")), rank).alias("hub"))
+    offered = prefix.select("sid", "n", "root", "tok", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(hubs, ["tok", "band"])
+    offered = offered.where(F.col("root") != F.col("hub.root")).where(_fits(F.col("n"), F.col("hub.n"), percent))
+    offered = offered.groupBy("sid", F.col("hub.sid").alias("hub")).agg(F.count("*").alias("k"), F.min("hub.rank").alias("rank"))
+    best = offered.groupBy("sid").agg(F.max_by("hub", F.struct("k", "hub")).alias("x"), F.min_by("hub", "rank").alias("y"))
+    return best.select("sid", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub"))
+
+
+def _fits(x, y, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several roots, with the roots that the links give."""
+    roots = components(links).select(F.col("v").alias("sid"), F.col("root").alias("new"))
+    out = rows.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("new", "sid")).drop("new")
+    several = out.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok")
+    return c.written(out.join(several, "tok", "left_semi"), "open")
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Enough links between sets for their components: edges (a, b)."""
-    ratio = 100.0 / percent
-    prefix = sets.select("sid", "n", "m", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int").alias("band"), F.posexplode(F.slice("toks", F.lit(1), F.col("p"))).alias("pos", "tok"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent))).cast("int")
+    prefix = sets.select("sid", "n", "m", F.col("sid").alias("root"), band.alias("band"), F.posexplode(F.slice("toks", F.lit(1), F.col("p"))).alias("pos", "tok"))
     shared = prefix.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok")
     prefix = c.written(prefix.join(shared, "tok", "left_semi"), "prefix")
-    hubs = prefix.groupBy("tok", "band").agg(F.min_by(F.struct("sid", "n"), "sid").alias("hub"))
-    offered = prefix.select("sid", "n", "tok", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(hubs, ["tok", "band"])
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    offered = offered.where(F.col("sid") != F.col("hub.sid")).where(fits(F.col("n"), F.col("hub.n"))).groupBy("sid", F.col("hub.sid").alias("hub")).agg(F.count("*").alias("k"))
-    best = offered.groupBy("sid").agg(F.max_by("hub", F.struct("k", "hub")).alias("x"), F.min("hub").alias("y"))
-    stars = best.select(F.col("sid"), F.explode(F.array_distinct(F.array("x", "y"))).alias("hub")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
-    first = c.written(_verified(stars, sets, percent), "links")
-
-    roots = components(first).select(F.col("v").alias("sid"), F.col("root"))
-    labelled = prefix.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    several = labelled.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok")
-    labelled = c.written(labelled.join(several, "tok", "left_semi"), "open")
-    x = labelled.select("tok", "band", *[F.col(k).alias(f"x_{k}") for k in ("sid", "n", "m", "pos", "root")])
-    y = labelled.select("tok", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)).alias("band"), *[F.col(k).alias(f"y_{k}") for k in ("sid", "n", "m", "pos", "root")])
+    links = distances = None
+    for seed in range(ROUNDS):
+        seen = c.written(_overlaps(_stars(prefix, percent, seed).select(F.col("sid").alias("a"), F.col("hub").alias("b")), sets, False), "stars")
+        links = _linked(seen, percent) if links is None else links.unionByName(_linked(seen, percent))
+        away = seen.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), (1 - F.col("o") / (F.col("s") - F.col("o"))).alias("d"))
+        distances = away if distances is None else distances.unionByName(away)
+        prefix = _labelled(prefix, links)
+
+    # each set's distances from its hubs, two in a round at most: two sets that link differ in them by no more than the links' distance
+    hubs = distances.select(F.col("pivot").alias("sid"), "pivot", F.lit(0.0).alias("d")).distinct()
+    pivots = distances.unionByName(hubs).groupBy("sid").agg(F.map_from_entries(F.collect_set(F.struct("pivot", "d"))).alias("from"))
+    rows = prefix.join(pivots, "sid", "left").withColumn("from", F.coalesce("from", F.create_map().cast("map<long,double>")))
+    own = ("sid", "n", "m", "pos", "root", "from")
+    x = rows.select("tok", "band", *[F.col(k).alias(f"x_{k}") for k in own])
+    y = rows.select("tok", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)).alias("band"), *[F.col(k).alias(f"y_{k}") for k in own])
     reach = F.least("x_pos", "y_pos") + 1 + F.least(F.expr("x_m - x_pos - 1"), F.expr("y_m - y_pos - 1"))
-    near = F.col("x_root") < F.col("y_root")
-    near &= fits(F.col("x_n"), F.col("y_n")) & ((100 + percent) * reach >= percent * (F.col("x_n") + F.col("y_n")))
+    near = (F.col("x_root") < F.col("y_root")) & _fits(F.col("x_n"), F.col("y_n"), percent) & ((100 + percent) * reach >= percent * (F.col("x_n") + F.col("y_n")))
+    near &= F.forall(F.map_keys("x_from"), lambda p: F.coalesce(F.abs(F.col("x_from")[p] - F.col("y_from")[p]) <= 1 - percent / 100 + 1e-9, F.lit(True)))
     rest = x.join(y, ["tok", "band"]).where(near).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
-    return first.union(c.written(_verified(rest, sets, percent), "links"))
+    return links.unionByName(c.written(_linked(_overlaps(rest, sets, True), percent), "links"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

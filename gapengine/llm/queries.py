@@ -114,8 +114,8 @@ edges AS (
               WHEN target LIKE '/%' THEN host || regexp_extract(target, '^([^#]*)', 1) END AS b
   FROM targets WHERE target <> ''
 ),
-both AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
-reach AS (SELECT a AS v, a AS w FROM both UNION SELECT r.v, e.b FROM reach r JOIN both e ON r.w = e.a),
+linked AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+reach AS (SELECT a AS v, a AS w FROM linked UNION SELECT r.v, e.b FROM reach r JOIN linked e ON r.w = e.a),
 rules(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 nodes AS (
   SELECT v, regexp_extract(v, '^([^/?#]*)', 1) AS host, regexp_extract(v, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT v FROM reach)
