@@ -68,12 +68,12 @@ def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with bounded bytes and rows."""
+def chunks(texts: list[bytes | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about size bytes at most (a longer text is a range of its own) and bounded rows."""
     start = held = 0
     for i, t in enumerate(texts):
         held += len(t) if t else 0
-        if held >= CHUNK_BYTES or i + 1 - start >= CHUNK_ROWS:
+        if held >= size or i + 1 - start >= CHUNK_ROWS:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):
@@ -120,6 +120,13 @@ def shingles(h: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
     return out, docs
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is emptied, so they don't stay in memory beside it."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The positions of each bucket that occurs, in their old order."""
     order = np.argsort(bucket.astype(np.uint16 if n < 1 << 16 else np.uint32), kind="stable")

@@ -27,6 +27,8 @@ from gapengine.llm.graph import components
 #: A shingle in so many texts of one chunk is hot: only a mark goes to its bucket, and its texts keep it with the last frequency class.
 HOT = 64
 HOT_CLASS = 63
+#: Bytes of text whose shingles a task holds at a time.
+CHUNK = 2 << 20
 #: Rounds in which buckets offer their members to a hub before the pairs that are left are listed.
 ROUNDS = 2
 SEEDS = (0x1B873593CC9E2D51, 0x85EBCA6B27D4EB2F)
@@ -88,7 +90,7 @@ def shingled(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = c.raw(batch), batch.column(0).to_pylist()
-            for i, j in c.chunks(texts):
+            for i, j in c.chunks(texts, CHUNK):
                 tokens = [c.words(t) for t in texts[i:j]]
                 lengths = np.fromiter(map(len, tokens), np.int64, j - i)
                 doc = np.repeat(np.arange(j - i), lengths)
@@ -138,12 +140,17 @@ def shared_tokens(n: int):
                     sids.append(s), ns.append(k), toks.append(t)
         if not toks:
             return
-        sid, size, tok = np.concatenate(sids), np.concatenate(ns), np.concatenate(toks)
-        sids.clear(), ns.clear(), toks.clear()
+        sid, size, tok = c.joined(sids), c.joined(ns), c.joined(toks)
         order = np.lexsort((sid, tok))
-        sid, size, tok = sid[order], size[order], tok[order]
+        # one column after another: old and new copies of all of them at once would double a task's memory
+        sid = sid[order]
+        size = size[order]
+        tok = tok[order]
+        del order
         new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])])
-        sid, size, tok = sid[new], size[new], tok[new]
+        sid = sid[new]
+        size = size[new]
+        tok = tok[new]
         start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         df = np.diff(np.concatenate([start, [len(tok)]]))
         klass = np.floor(np.log2(df)).astype(np.uint8)
@@ -172,11 +179,14 @@ def prefixed(percent: int):
     """A row for each set that can have a link at all: its shared shingles in the first order, and the other orders' prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(p) for batch in batches for p in batch.column(0).to_pylist()]
-        if not parts:
+        columns: tuple[list, ...] = ([], [], [], [])
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                for column, x in zip(columns, _unpack(p), strict=True):
+                    column.append(x)
+        if not columns[0]:
             return
-        sid, size, tok, klass = (np.concatenate([x[i] for x in parts]) for i in range(4))
-        parts.clear()
+        sid, size, tok, klass = map(c.joined, columns)
         order = np.lexsort((tok, klass, sid))
         sid, size, tok, klass = sid[order], size[order], tok[order], klass[order]
         new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])])  # copies in several chunks bring hot shingles twice

@@ -25,7 +25,9 @@ TERMS, WINDOW, THRESHOLD = 96, 6, 0.3
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…"
 QUOTES = frozenset('"«»“”„‘’`')
 #: Words with the edges stripped that are remembered in a Python worker before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Rows of a batch that are scored at a time.
+ROWS = 512
 
 
 def budget(term: str) -> int:
@@ -268,12 +270,18 @@ class Scorer:
         return (self.model.score(np.array(rows)) if rows else np.zeros(0)), counts
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_hits) of every whole text; null and empty texts are scored as texts without a word; repeated rows are scored alike; an empty table gives no rows. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in _sliced(batches):
             s, n = scorer(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(n, pa.int32())], ["doc_id", "score", "n_hits"])
 
@@ -286,10 +294,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in _sliced(batches):
             s, _ = scorer(b.column(at).to_pylist())
             yield b.filter(pa.array(s < threshold))
 
     return docs.mapInArrow(run, docs.schema)
-
-
