@@ -8,7 +8,8 @@ the survivors are verified exactly.
 
 Groups of copies aren't expanded: equal texts are one set; in a few rounds each bucket offers its members to a hub and components
 come from the links found. Only buckets that then still hold several components offer pairs, across components only, and only those
-whose distances from a common hub allow a link (Jaccard distance is a metric).
+whose distances from a common hub allow a link (Jaccard distance is a metric) and whose parity bitmaps do: a shingle that only one of
+two sets holds flips one bit, so the bits in which the bitmaps differ bound the shingles that aren't common from below.
 """
 
 from __future__ import annotations
@@ -171,8 +172,16 @@ def shared_tokens(n: int):
     return run
 
 
-_SETS = "sid long, n int, m int, p int, toks array<long>, second array<long>, third array<long>"
-_SETS_ARROW = pa.schema([("sid", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("p", pa.int32()), *((x, pa.list_(pa.int64())) for x in ("toks", "second", "third"))])
+#: 64-bit words of a set's parity bitmap.
+WORDS = 8
+_SETS = "sid long, n int, m int, p int, toks array<long>, second array<long>, third array<long>, bits array<long>"
+_SETS_ARROW = pa.schema([("sid", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("p", pa.int32()), *((x, pa.list_(pa.int64())) for x in ("toks", "second", "third", "bits"))])
+
+
+def _parity(tok: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set's shared shingles."""
+    bit = (c.mixed(tok ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def prefixed(percent: int):
@@ -202,7 +211,7 @@ def prefixed(percent: int):
             p = (n - least + 1) - (n - k)
             t, kl = tok[e - k : e], klass[e - k : e]
             rest = [t[np.lexsort((c.mixed(t ^ np.uint64(seed)), kl))[:p]].view(np.int64) for seed in SEEDS]
-            rows.append((s, n, k, p, t.view(np.int64), *rest))
+            rows.append((s, n, k, p, t.view(np.int64), *rest, _parity(t)))
             if len(rows) >= 512:
                 yield _table(rows, _SETS_ARROW)
                 rows = []
@@ -269,12 +278,14 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # each set's distances from its hubs, two in a round at most: two sets that link differ in them by no more than the links' distance
     hubs = distances.select(F.col("pivot").alias("sid"), "pivot", F.lit(0.0).alias("d")).distinct()
     pivots = distances.unionByName(hubs).groupBy("sid").agg(F.map_from_entries(F.collect_set(F.struct("pivot", "d"))).alias("from"))
-    rows = prefix.join(pivots, "sid", "left").withColumn("from", F.coalesce("from", F.create_map().cast("map<long,double>")))
-    own = ("sid", "n", "m", "pos", "root", "from")
+    rows = prefix.join(sets.select("sid", "bits"), "sid").join(pivots, "sid", "left").withColumn("from", F.coalesce("from", F.create_map().cast("map<long,double>")))
+    own = ("sid", "n", "m", "pos", "root", "from", "bits")
     x = rows.select("tok", "band", *[F.col(k).alias(f"x_{k}") for k in own])
     y = rows.select("tok", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)).alias("band"), *[F.col(k).alias(f"y_{k}") for k in own])
     reach = F.least("x_pos", "y_pos") + 1 + F.least(F.expr("x_m - x_pos - 1"), F.expr("y_m - y_pos - 1"))
     near = (F.col("x_root") < F.col("y_root")) & _fits(F.col("x_n"), F.col("y_n"), percent) & ((100 + percent) * reach >= percent * (F.col("x_n") + F.col("y_n")))
+    apart = sum((F.bit_count(F.col("x_bits")[k].bitwiseXOR(F.col("y_bits")[k])) for k in range(1, WORDS)), F.bit_count(F.col("x_bits")[0].bitwiseXOR(F.col("y_bits")[0])))
+    near &= (100 + percent) * (F.col("x_m") + F.col("y_m") - apart) >= 2 * percent * (F.col("x_n") + F.col("y_n"))
     near &= F.forall(F.map_keys("x_from"), lambda p: F.coalesce(F.abs(F.col("x_from")[p] - F.col("y_from")[p]) <= 1 - percent / 100 + 1e-9, F.lit(True)))
     rest = x.join(y, ["tok", "band"]).where(near).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
     return links.unionByName(c.written(_linked(_overlaps(rest, sets, True), percent), "links"))
