@@ -128,7 +128,9 @@ def joined(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The positions of each bucket that occurs, in their old order."""
+    """The positions of each bucket that occurs, in their old order; of no rows, none."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket.astype(np.uint16 if n < 1 << 16 else np.uint32), kind="stable")
     found, starts = np.unique(bucket[order], return_index=True)
     for b, i, j in zip(found.tolist(), starts, [*starts[1:], len(order)], strict=True):
