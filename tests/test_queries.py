@@ -21,7 +21,7 @@ def db():
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and pd.isna(value)) or value is pd.NaT:
+    if value is None or (isinstance(value, float) and pd.isna(value)) or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return bool(value)
