@@ -2,7 +2,7 @@
 
 Texts and items are lower-cased (A-Z), freed of ASCII punctuation and split into words. A window of as many words as an item can
 only be similar to it if they share a 5-word shingle, so the windows that hold a shingle of an item are fingerprinted, and no
-others. Fingerprints have 128 bits in 16 blocks of 8: two of them within RADIUS = 31 bits differ by at most one bit in some block, so
+others; a document of fewer words than the item is one window as a whole. Fingerprints have 128 bits in 16 blocks of 8: two of them within RADIUS = 31 bits differ by at most one bit in some block, so
 looking up each block and its one-bit neighbours finds every item within the radius. What is found is verified exactly: weighted
 Jaccard of the shingles (weight: ln(1 + items / items that hold it)) of at least 0.8.
 """
@@ -98,9 +98,10 @@ class Index:
         """From the shingle hashes of one document: the first best window of each item that is found."""
         at = np.flatnonzero(self.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         at = at[np.isin(h[at], self.keys)] if len(at) else at
+        most = len(h) + c.SHINGLE - 1  # a document shorter than an item is one window
         starts: dict[int, set[int]] = defaultdict(set)
         for p in at.tolist():
-            for n in {int(self.length[k]) for k in self.holders[int(h[p])]}:
+            for n in {min(int(self.length[k]), most) for k in self.holders[int(h[p])]}:
                 starts[n].update(range(max(0, p - n + c.SHINGLE), min(p, len(h) - (n - c.SHINGLE) - 1) + 1))
         best: dict[int, tuple[int, float]] = {}
         for n, found in starts.items():
@@ -123,7 +124,7 @@ class Index:
                         if seen[key]:
                             bag = Counter(h[s : s + wide].tolist())
                             for k in seen[key]:
-                                if self.length[k] == n and (x := self.similar(bag, k)) >= self.similarity and x > best.get(k, (0, 0.0))[1]:
+                                if min(int(self.length[k]), most) == n and (x := self.similar(bag, k)) >= self.similarity and x > best.get(k, (0, 0.0))[1]:
                                     best[k] = (s, x)
         return best
 

@@ -144,6 +144,16 @@ def test_decontaminate_finds_planted_items(spark):
     assert decontaminate.leaks(docs, benchmark.limit(0)).isEmpty()
 
 
+def test_decontaminate_finds_items_that_a_shorter_document_cuts(spark):
+    items = {1: [f"q{k}" for k in range(15)], 2: [f"r{k}" for k in range(59)], 3: [f"s{k}" for k in range(40)]}
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    texts = [" ".join(w) for w in (items[1][:14], items[1][1:], items[2][1:], items[2][1:58], items[3][:20], items[1][:5], items[1][:4])]
+    docs = frame(spark, texts)
+    got = {(r.doc_id - 100, r.item_id): (r.start, r.similarity) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == {(0, 1): (0, pytest.approx(10 / 11)), (1, 1): (0, pytest.approx(10 / 11)), (2, 2): (0, pytest.approx(54 / 55)), (3, 2): (0, pytest.approx(53 / 55))}
+    assert sorted(r.doc_id - 100 for r in decontaminate.without_leaks(docs, benchmark).collect()) == [4, 5, 6]
+
+
 def poisson(rate, u):
     term = total = math.exp(-rate)
     k = 0
