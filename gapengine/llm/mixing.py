@@ -20,12 +20,14 @@ SEED = "mix-1"
 SMALL = 2000
 #: Terms of a distribution beyond mean + TAIL * sqrt(mean) + TAIL are below the resolution of the hash.
 TAIL = 12
-#: No mean is above this, so a distribution has a bounded number of terms; a larger target is an error.
+#: A larger mean is split into equal ones of at most this, drawn each at a hash of its own and added up, so a distribution has a bounded number of terms.
 MOST = 400.0
+#: Copies that one row makes at a time.
+COPIES = 4096
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """(source, n, rate, cdf): rows, mean repetitions and the cumulative Poisson probabilities of each source. Null is a source like others; sources that weights doesn't name weigh 0."""
+    """(source, n, rate, draws, cdf): rows, mean repetitions, the independent draws they are split into and the cumulative Poisson probabilities of one draw of each source. Null is a source like others; sources that weights doesn't name weigh 0."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weighed = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha)))
@@ -34,16 +36,17 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
         weighed = counts.withColumn("weight", F.coalesce(table[F.col("source")], F.lit(0.0)) if table is not None else F.lit(0.0))
     total = weighed.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
     rate = F.coalesce(F.col("all_n") * F.col("weight") / F.when(F.col("all_weight") > 0, F.col("all_weight")) / F.col("n"), F.lit(0.0))
-    out = weighed.crossJoin(F.broadcast(total)).select("source", "n", F.when(rate > MOST, F.raise_error(F.lit("a source would be repeated too often"))).otherwise(rate).alias("rate"))
-    last = F.ceil(F.col("rate") + TAIL * F.sqrt("rate") + TAIL).cast("int")
-    first = F.struct(F.exp(-F.col("rate")).alias("term"), F.exp(-F.col("rate")).alias("total"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    out = weighed.crossJoin(F.broadcast(total)).select("source", "n", rate.alias("rate")).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST).cast("int")))
+    out = out.withColumn("mean", F.col("rate") / F.col("draws"))
+    last = F.ceil(F.col("mean") + TAIL * F.sqrt("mean") + TAIL).cast("int")
+    first = F.struct(F.exp(-F.col("mean")).alias("term"), F.exp(-F.col("mean")).alias("total"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
 
     def grow(acc, j):
-        term = acc["term"] * F.col("rate") / j
+        term = acc["term"] * F.col("mean") / j
         total = acc["total"] + term
         return F.struct(term.alias("term"), total.alias("total"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
 
-    return out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), first, grow, lambda acc: acc["cdf"]))
+    return out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), first, grow, lambda acc: acc["cdf"])).drop("mean")
 
 
 def repeated(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
@@ -52,7 +55,7 @@ def repeated(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
     The count depends on the seed, doc_id and source alone; repeated rows have equal counts. Null ids and sources count like any other value; texts are never read.
     """
     table = c.checkpointed(rates(docs, weights, alpha))
-    known = table.select(F.col("source").alias("mix_source"), "cdf")
+    known = table.select(F.col("source").alias("mix_source"), F.col("draws").alias("mix_draws"), "cdf")
     small = known.limit(SMALL + 1).count() <= SMALL
     if small:  # at most SMALL sources, at most MOST + TAIL * (sqrt(MOST) + 1) terms each
         joined = docs.join(F.broadcast(known), docs["source"].eqNullSafe(F.col("mix_source")))
@@ -61,9 +64,12 @@ def repeated(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
         salted = known.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         docs = docs.withColumn("mix_salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
         joined = docs.join(salted, docs["source"].eqNullSafe(F.col("mix_source")) & (docs["mix_salt"] == salted["mix_salt"])).drop("mix_salt")
-    u = c.uniform(seed, F.col("doc_id"), F.col("source"))
-    counted = joined.withColumn("mix_u", u).withColumn("n_copies", F.expr("size(filter(cdf, x -> mix_u >= x))")).drop("mix_u", "cdf", "mix_source")
-    return counted.where("n_copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    # the first draw's hash is of document and source alone, each further one's also of its number
+    more = F.when(F.col("mix_draws") > 1, F.transform(F.sequence(F.lit(2), F.col("mix_draws")), lambda j: c.uniform(seed, F.col("doc_id"), F.col("source"), j))).otherwise(F.array().cast("array<double>"))
+    counted = joined.withColumn("mix_u", c.uniform(seed, F.col("doc_id"), F.col("source"))).withColumn("mix_more", more)
+    counted = counted.withColumn("n_copies", F.expr("size(filter(cdf, x -> mix_u >= x)) + aggregate(mix_more, 0, (n, u) -> n + size(filter(cdf, x -> u >= x)))")).drop("mix_u", "mix_more", "mix_draws", "cdf", "mix_source")
+    dealt = counted.where("n_copies > 0").withColumn("mix_part", F.explode(F.expr(f"sequence(1, n_copies, {COPIES})")))
+    return dealt.withColumn("copy_no", F.explode(F.expr(f"sequence(mix_part, least(n_copies, mix_part + {COPIES - 1}))"))).drop("mix_part")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:

@@ -180,6 +180,25 @@ def test_mixing_equals_poisson_inversion(spark):
     assert mixing.mixed(docs.limit(0)).isEmpty()
 
 
+def test_mixing_splits_large_means(spark):
+    import hashlib
+
+    weights = {"a": 1.0, "b": 1.0, "c": 8.0}
+    docs = spark.createDataFrame([(i, "a") for i in range(9000)] + [(9000, "b"), (None, "c"), (9001, "c")], "doc_id long, source string")
+    n, want = {"a": 9000, "b": 1, "c": 2}, {}
+    for r in docs.collect():
+        rate = 9003 * weights[r.source] / 10 / n[r.source]
+        draws = max(1, math.ceil(rate / mixing.MOST))
+        keys = ["\x1f".join(["mix-1", str(r.doc_id) if r.doc_id is not None else "", r.source, *([str(j)] if j > 1 else [])]) for j in range(1, draws + 1)]
+        want[r.doc_id] = sum(poisson(rate / draws, int(hashlib.md5(k.encode()).hexdigest()[:13], 16) / (1 << 52)) for k in keys)
+    got = defaultdict(list)
+    for r in mixing.mixed(docs, weights).collect():
+        assert r.n_copies == want[r.doc_id]
+        got[r.doc_id].append(r.copy_no)
+    assert {i: sorted(k) for i, k in got.items()} == {i: list(range(1, k + 1)) for i, k in want.items() if k}
+    assert all(abs(want[i] - 9003 * w / 10 / m) < 6 * math.sqrt(9003 * w / 10 / m) for i, w, m in ((9000, 1, 1), (None, 8, 2), (9001, 8, 2)))
+
+
 def test_sharding_laws(spark):
     texts = sample_texts()
     got = sharding.sharded(frame(spark, texts)).collect()
