@@ -1,6 +1,6 @@
 """Licence scans: canonical digests of entire texts, joined by hash with those of known licences.
 
-A canonical text is lower-case, without copyright lines, punctuation and layout, with equivalent spellings made one; its SHA-256 is
+A canonical text is lower-case, without copyright notices, punctuation and layout, with equivalent spellings made one; its SHA-256 is
 joined with a table of known digests. Lines that speak of a licence are looked up as texts of their own, which finds short notices.
 """
 
@@ -46,7 +46,19 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
-_COPYRIGHT = re.compile(rb"(?m)^[^a-z\n]*(?:copyright|copr\.|\(c\)|\xc2\xa9|all rights reserved)[^\n]*$")
+_MARK = rb"(?:copyright(?:[\s:,]*(?:\(c\)|\xc2\xa9))?|copr\.(?:\s*\(c\))?|\(c\)(?:\s*copyright)?|\xc2\xa9(?:\s*copyright)?)"
+_YEAR = rb"(?:19|20)\d\d"
+#: Words that follow "copyright" where a text only speaks of it.
+_SPOKEN = rb"(?:notices?|holders?|owners?|laws?|licen[sc]\w*|statements?|and|or|in|of|on|to|is|are|by the|interests?|protection|acts?|infringe\w*|disclaimers?|terms?|information|headers?|as|for|with|that|which|restrictions?|claims?)\b"
+#: A notice ends with its line, with its sentence (not at an initial) and before words that a licence begins with.
+_REST = rb"(?:(?!\n|\b(?:permission (?:is|to)|redistribution and|released under|licensed under|spdx-license|(?:the )?(?:mit|isc|0?bsd|apache) licen[sc]e|all rights reserved|this (?:work|software|program|file|source)|the software)\b|(?<=[^\W_][\w)>\x22'])\.\s+(?!and\b|or\b|&))[\s\S])*\.?"
+_COPYRIGHT = re.compile(
+    rb"(?m)(?<![a-z0-9])(?:" + _YEAR + rb"[\s,-]+)?" + _MARK + rb"[\s:,]*(?=" + _YEAR + rb")" + _REST  # with a year: anywhere
+    + rb"|(?<![a-z0-9])(?:copyright[\s:,]*(?:\(c\)|\xc2\xa9)|\xc2\xa9)[ \t:,]*(?=[a-z<\[{\x80-\xff])" + _REST  # with a sign and a holder: anywhere
+    + rb"|^[^a-z\n]*\(c\)[ \t]+(?=[^\n.;]{1,60}\b" + _YEAR + rb")" + _REST
+    + rb"|(?:^[^a-z\n]*|(?<=\.) +)(?:copyright|copr\.)[ \t:,]+(?!" + _SPOKEN + rb")(?=[a-z<\[{\x80-\xff])" + _REST  # a holder alone: where a line or sentence begins
+    + rb"|\ball\s+rights\s+reserved\b\.?"
+)
 _KEEP = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _PARTS = {k.encode(): v.encode() for k, v in EQUIVALENT.items()}
 
@@ -56,7 +68,7 @@ def canonical(text: bytes | None) -> bytes:
     if not text:
         return b""
     low = text.lower()
-    if b"copyright" in low or b"(c)" in low or b"\xc2\xa9" in low or b"copr." in low or b"all rights reserved" in low:
+    if b"copyright" in low or b"(c)" in low or b"\xc2\xa9" in low or b"copr." in low or b"rights" in low:
         low = _COPYRIGHT.sub(b"", low)
     low = low.replace(b"\xe2\x80\x9c", b" ").replace(b"\xe2\x80\x9d", b" ").replace(b"\xe2\x80\x98", b" ").replace(b"\xe2\x80\x99", b" ").replace(b"\xe2\x80\x93", b" ").replace(b"\xe2\x80\x94", b" ")
     tokens = low.translate(_KEEP).split()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,16 @@ def test_licences(spark):
     assert got == {0: ("MIT", []), 1: ("MIT", []), 2: (None, []), 3: (None, ["MIT"]), 4: (None, []), 5: (None, []), 6: (None, [])}
 
 
+@pytest.mark.parametrize("name, text", licenses.KNOWN)
+def test_licences_with_other_line_breaks_and_notices(name, text):
+    known, one = licenses.known_digests(), " ".join(text.split())
+    texts = [one, *(textwrap.fill(one, width) for width in range(20, 110, 3))]
+    for notice in ("Copyright (c) 2020 X.", "Copyright (c) 2020 Some Holder.", "Copyright 2019-2020 J. R. Smith, Foo Inc. All rights reserved.", "© 2020 Foo Inc. and contributors", "Copyright Foo"):
+        texts += [f"{notice}\n{text}", f"# {notice}\n\n{one.upper()}", f"{notice}\n{textwrap.fill(one, 50)}", *([f"{notice} {one}"] if "20" in notice else [])]
+    assert [known.get(licenses.digest(t.encode())) for t in texts] == [name] * len(texts)
+    assert licenses.digest(f"{text}\nand more of copyright".encode()) not in known
+
+
 def test_language_of_documents(spark):
     got = {r.doc_id: r.language for r in queries.op3_language_id(spark, SF).where("origin = 'documents'").collect()}
     want = {r.doc_id: r.lang for r in queries.table(spark, SF, "documents").where("lang is not null and length(text) > 50").collect()}
