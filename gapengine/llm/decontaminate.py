@@ -4,13 +4,15 @@ Texts and items are lower-cased (A-Z), freed of ASCII punctuation and split into
 only be similar to it if they share a 5-word shingle, so the windows that hold a shingle of an item are fingerprinted, and no
 others; a document of fewer words than the item is one window as a whole. Fingerprints have 128 bits in 16 blocks of 8: two of them within RADIUS = 31 bits differ by at most one bit in some block, so
 looking up each block and its one-bit neighbours finds every item within the radius. What is found is verified exactly: weighted
-Jaccard of the shingles (weight: ln(1 + items / items that hold it)) of at least 0.8.
+Jaccard of the shingles (weight: ln(1 + items / items that hold it)) of at least 0.8. Weights are counted over all items, so the blocks
+in which items are looked for don't change what is found.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,39 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(both.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
+def item_shingles(tokens: list[bytes]) -> np.ndarray:
+    """Hashes of the shingles of one text, in order; of fewer than five words, none."""
+    return c.windows(c.hashed(tokens), np.zeros(len(tokens), np.int64))[0]
+
+
+@dataclass
+class Weights:
+    """The number of all items, and the shingles that more than one of them holds: sorted hashes and numbers of holders. All others, unknown ones too, weigh as if one item held them."""
+
+    items: int
+    keys: np.ndarray
+    holders: np.ndarray
+
+    @staticmethod
+    def of(texts: list[bytes]) -> Weights:
+        held = Counter(x for t in texts for x in set(item_shingles(words(t)).tolist()))
+        shared = sorted((x, n) for x, n in held.items() if n > 1)
+        return Weights(len(texts), np.array([x for x, _ in shared], np.uint64), np.array([n for _, n in shared], np.int64))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        n = np.ones(len(h), np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            n = np.where(self.keys[at] == h, self.holders[at], n)
+        return np.log1p(max(1, self.items) / n)
+
+
 class Index:
-    """Items by length, by shingle and by fingerprint block."""
+    """Items by length, by shingle and by fingerprint block. weights: those of all items, if these are only a part of them."""
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float = 0.8):
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float = 0.8, weights: Weights | None = None):
         self.similarity = similarity
+        self.weigh = Weights.of([t for _, t in items]) if weights is None else weights
         self.ids = [i for i, _ in items]
         tokens = [words(t) for _, t in items]
         self.length = np.array([len(t) for t in tokens], np.int64)
@@ -54,7 +84,7 @@ class Index:
                     self.short[tuple(t)].append(k)
                 self.bags.append(Counter())
                 continue
-            h, _ = c.windows(c.hashed(t), np.zeros(len(t), np.int64))
+            h = item_shingles(t)
             self.bags.append(Counter(h.tolist()))
             for x in set(h.tolist()):
                 holders[x].append(k)
@@ -62,8 +92,7 @@ class Index:
         self.keys = np.array(sorted(self.holders), np.uint64)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.top = float(np.log1p(max(1, len(items))))
-        self.weights = {x: float(np.log1p(len(items) / len(k))) for x, k in self.holders.items()}
+        self.weights = dict(zip(self.keys.tolist(), self.weigh(self.keys).tolist(), strict=True))
         self.prints = np.array([self.fingerprint(b) for b in self.bags], np.uint8).reshape(len(items), BITS // 8)
         self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BITS // BLOCK)]
         for k, p in enumerate(self.prints):
@@ -71,14 +100,11 @@ class Index:
                 for near in (value, *(value ^ (1 << bit) for bit in range(BLOCK))):
                     self.blocks[block][near].append(k)
 
-    def weight(self, x: int) -> float:
-        return self.weights.get(x, self.top)
-
     def fingerprint(self, bag: Counter) -> np.ndarray:
         if not bag:
             return np.zeros(BITS // 8, np.uint8)
         keys = np.array(list(bag), np.uint64)
-        return np.packbits(np.array([self.weight(x) * n for x, n in bag.items()]) @ _bits(keys) > 0)
+        return np.packbits((self.weigh(keys) * np.array(list(bag.values()))) @ _bits(keys) > 0)
 
     def near(self, fingerprint: np.ndarray) -> list[int]:
         """Every item whose fingerprint is within RADIUS."""
@@ -88,10 +114,11 @@ class Index:
         distance = np.unpackbits(self.prints[found] ^ fingerprint, axis=1).sum(1)
         return [k for k, d in zip(found, distance.tolist(), strict=True) if d <= RADIUS]
 
-    def similar(self, bag: Counter, item: int) -> float:
+    def similar(self, bag: Counter, item: int, weights: dict[int, float]) -> float:
+        """weights: of the shingles of the bag."""
         other = self.bags[item]
-        both = sum(self.weight(x) * min(n, other[x]) for x, n in bag.items() if x in other)
-        total = sum(self.weight(x) * n for x, n in bag.items()) + sum(self.weight(x) * n for x, n in other.items()) - both
+        both = sum(weights[x] * min(n, other[x]) for x, n in bag.items() if x in other)
+        total = sum(weights[x] * n for x, n in bag.items()) + sum(self.weights[x] * n for x, n in other.items()) - both
         return both / total if total else 0.0
 
     def search(self, h: np.ndarray) -> dict[int, tuple[int, float]]:
@@ -114,7 +141,8 @@ class Index:
                     own = part[i : i + 2048]
                     lo, hi = int(own[0]), int(own[-1]) + wide
                     span = h[lo:hi]
-                    weights = np.array([self.weight(x) for x in span.tolist()])
+                    weights = self.weigh(span)
+                    by_shingle = dict(zip(span.tolist(), weights.tolist(), strict=True))
                     sums = np.vstack([np.zeros(BITS), np.cumsum(_bits(span) * weights[:, None], 0)])
                     prints = np.packbits(sums[own - lo + wide] - sums[own - lo] > 1e-9, axis=1)
                     seen: dict[bytes, list[int]] = {}
@@ -124,7 +152,7 @@ class Index:
                         if seen[key]:
                             bag = Counter(h[s : s + wide].tolist())
                             for k in seen[key]:
-                                if min(int(self.length[k]), most) == n and (x := self.similar(bag, k)) >= self.similarity and x > best.get(k, (0, 0.0))[1]:
+                                if min(int(self.length[k]), most) == n and (x := self.similar(bag, k, by_shingle)) >= self.similarity and x > best.get(k, (0, 0.0))[1]:
                                     best[k] = (s, x)
         return best
 
@@ -150,9 +178,36 @@ def batch_leaks(texts: list[bytes | None], index: Index) -> list[tuple[int, int,
     return out
 
 
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """The distinct items; rows without an id or a text are left out."""
+    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item, and a null for the item itself."""
+    for b in batches:
+        for t in c.raw(b):
+            h = np.unique(item_shingles(words(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *h.view(np.int64).tolist()], pa.int64())], ["shingle"])
+
+
+def weights(benchmark: DataFrame) -> Weights:
+    """Counted over all items. Only shingles that several items hold come to the driver, 16 bytes each."""
+    found = distinct_items(benchmark).mapInArrow(counted, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 or shingle is null")
+    keys, n, items = [], [], 0
+    for b in found.toArrow().to_batches():
+        null = b.column(0).is_null().to_numpy(zero_copy_only=False)
+        count = b.column(1).to_numpy()
+        items += int(count[null].sum())
+        keys.append(b.column(0).filter(pa.array(~null)).to_numpy().view(np.uint64)), n.append(count[~null])
+    key = np.concatenate([np.zeros(0, np.uint64), *keys])
+    order = np.argsort(key)
+    return Weights(items, key[order], np.concatenate([np.zeros(0, np.int64), *n])[order])
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The distinct items in blocks of bounded size, in order of their ids; rows without an id or a text are left out."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text")
+    """The distinct items in blocks of bounded size, in order of their ids."""
+    rows = distinct_items(benchmark).orderBy("item_id", "text")
     held, size = [], 0
     for r in rows.toLocalIterator():
         text = r.text.encode()
@@ -173,11 +228,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, start long, similarity double"
-    out = None
+    out, all_weights = None, docs.sparkSession.sparkContext.broadcast(weights(benchmark))
     for items in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, similarity)
+            index = Index(items, similarity, all_weights.value)
             for b in batches:
                 found = batch_leaks(c.raw(b), index)
                 rows = pa.array([x[0] for x in found], pa.int64())
@@ -190,11 +245,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows, all columns, that repeat no benchmark item; the texts never leave their tasks."""
-    at = docs.columns.index("text")
+    at, all_weights = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(weights(benchmark))
     for items in blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, similarity)
+            index = Index(items, similarity, all_weights.value)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[x[0] for x in batch_leaks(b.column(at).cast(pa.binary()).to_pylist(), index)]] = False

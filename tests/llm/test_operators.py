@@ -155,6 +155,20 @@ def test_decontaminate_finds_items_that_a_shorter_document_cuts(spark):
     assert sorted(r.doc_id - 100 for r in decontaminate.without_leaks(docs, benchmark).collect()) == [4, 5, 6]
 
 
+def test_decontaminate_finds_the_same_in_any_blocks(spark, monkeypatch):
+    common = " ".join(f"c{k}" for k in range(30))
+    items = [(i, f"{common} " + " ".join(f"i{i}x{k}" for k in range(20))) for i in range(1, 25)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [t.replace(w, "other") for _, t in items[::3] for w in ("c9 ", "c15", "c20")] + [t.replace("c9", "o1").replace("c15", "o2").replace("c22", "o3") for _, t in items[::5]] + [common, items[23][1], items[7][1].replace("x9", "y")]
+    docs = frame(spark, texts)
+    found, kept = [], []
+    for size in (4096, 23, 5, 1):
+        monkeypatch.setattr(decontaminate, "ITEMS", size)
+        found.append(sorted((r.doc_id, r.item_id, r.start, round(r.similarity, 9)) for r in decontaminate.leaks(docs, benchmark).collect()))
+        kept.append(sorted(r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()))
+    assert found[0] and all(x == found[0] for x in found) and all(x == kept[0] for x in kept)
+
+
 def poisson(rate, u):
     term = total = math.exp(-rate)
     k = 0
