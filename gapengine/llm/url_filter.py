@@ -14,8 +14,9 @@ from gapengine.llm.graph import components
 #: (host, path, verdict), for the host and all its subdomains.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = (r"""(?i)<link\s[^>]*rel=["']?canonical["']?[^>]*href=["']([^"'>]+)""", r"""(?i)<link\s[^>]*href=["']([^"'>]+)["'][^>]*rel=["']?canonical""")
-REFRESH = r"""(?i)<meta\s[^>]*http-equiv=["']?refresh["']?[^>]*content=["'][^"'>]*url=([^"'>]+)"""
+TAG = r"(?i)<(?:link|meta)\s[^>]*>"
+#: The address in a refresh's content, bare or in quotes of its own.
+REFRESH = r"""(?i)url\s*=\s*["']?\s*([^"'\s]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -26,11 +27,36 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def node_of(url: Column, base: Column | None = None) -> Column:
-    """A URL without scheme and fragment; relative ones with a leading slash get the base's host. Null if there is no host."""
+def node_of(url: Column) -> Column:
+    """A URL without scheme and fragment. Null if there is no host."""
     rest = F.regexp_extract(url, "://[^/?#]*([^#]*)", 1)
-    full = F.when(host_of(url) != "", F.concat(host_of(url), rest))
-    return full if base is None else F.coalesce(full, F.when(url.startswith("/") & (host_of(base) != ""), F.concat(host_of(base), F.regexp_extract(url, "^([^#]*)", 1))))
+    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+
+
+def undotted(path: Column) -> Column:
+    """A path, which begins with a slash, without its . and .. segments."""
+    steps = F.split(F.regexp_replace(path, r"/\.\.?$", "$0/"), "/")
+    kept = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The node that a link on the page base leads to: absolute, with the host (//), from the root (/), by the query (?) or from the page's folder. Null for other schemes and without a host."""
+    plain = F.regexp_extract(target, "^([^#]*)", 1)
+    path, query = F.regexp_extract(plain, r"^([^?]*)", 1), F.regexp_extract(plain, r"(\?.*)$", 1)
+    folder = F.regexp_extract(path_of(base), "^(.*/)", 1)
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    local = F.when(path == "", F.concat(path_of(base), query)).otherwise(F.concat(undotted(rooted), query))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), node_of(target)).when(target.startswith("//"), node_of(F.concat(F.lit("x:"), target)))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (plain == "") | (host_of(base) == ""), F.lit(None)).otherwise(F.concat(host_of(base), local))
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty if it has none."""
+    pattern = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.regexp_replace(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]), r"^\s+|\s+$", "")
 
 
 def ruled(df: DataFrame, rules=RULES) -> DataFrame:
@@ -44,11 +70,14 @@ def ruled(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's node and that of what its canonical link or refresh names."""
+    """(a, b): a page's node and those of what its canonical links and refreshes name."""
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.col("url").cast("string")
-    targets = F.array(*[F.regexp_extract(html, p, 1) for p in (*CANONICAL, REFRESH)])
-    found = pages.where(F.lower(html).rlike("canonical|http-equiv")).select(url.alias("url"), F.explode(F.filter(targets, lambda x: x != "")).alias("target"))
-    return found.select(node_of(F.col("url")).alias("a"), node_of(F.trim("target"), F.col("url")).alias("b")).where("a is not null and b is not null and a <> b")
+    tags = pages.where(F.lower(html).rlike("canonical|http-equiv")).select(url.alias("url"), F.explode(F.regexp_extract_all(html, F.lit(TAG), F.lit(0))).alias("tag"))
+    tag = F.col("tag")
+    canonical = F.lower(tag).startswith("<link") & F.lower(attribute(tag, "rel")).rlike(r"(^|\s)canonical(\s|$)")
+    refresh = F.lower(tag).startswith("<meta") & (F.lower(attribute(tag, "http-equiv")) == "refresh")
+    found = tags.where(F.lower(tag).rlike("canonical|refresh")).select("url", F.when(canonical, attribute(tag, "href")).when(refresh, F.regexp_extract(attribute(tag, "content"), REFRESH, 1)).alias("target")).where("target <> ''")
+    return found.select(node_of(F.col("url")).alias("a"), resolved(F.col("target"), F.col("url")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

@@ -289,6 +289,22 @@ def test_url_filter_carries_blocks_to_aliases(spark):
     assert got == {1: ("a.net", None, "block"), 2: ("", None, "allow"), 3: ("", None, "allow"), 4: ("c.net", None, "block")}
 
 
+def test_url_filter_reads_every_form_of_alias(spark):
+    link, meta = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="%s">'
+    forms = {
+        "<link rel=canonical href=http://b.com/de/1>": "block", "<link href=http://b.com/de/1 rel=canonical>": "block", "<LINK HREF = 'http://b.com/de/1' REL = 'canonical'/>": "block",
+        "<link rel='nofollow canonical' href='http://b.com/de/1'>": "block", meta % "0; url='http://b.com/de/1'": "block", "<meta http-equiv=refresh content=0;url=http://b.com/de/1>": "block",
+        "<meta content='0;URL=http://b.com/de/1' http-equiv='Refresh'>": "block", "<meta content=\"5; url='http://b.com/de/1'\" http-equiv=refresh>": "block", link % "//b.com/de/1": "block", link % "//B.com/de/1#top": "block",
+        "<link rel=stylesheet href=http://b.com/de/1>": "allow", "<link rel=canonical data-href=http://b.com/de/1>": "allow", "<meta name=x content='0;url=http://b.com/de/1'>": "allow", link % "/b.com/de/1": "allow", link % "mailto:x": "allow",
+    }
+    pages = [(k, f"http://a{k}.net/x", html) for k, html in enumerate(forms)]
+    moved = {100: ("http://c.net/d/e/x?q", link % "y", "c.net/d/e/y"), 101: ("http://c.net/d/e/x", link % "../y?z", "c.net/d/y?z"), 102: ("http://c.net", meta % "0;url=./y", "c.net/y"), 103: ("http://c.net/d/x", link % "/r/../s", "c.net/s"), 104: ("http://c.net/d/x?q", link % "?p", "c.net/d/x?p"), 105: ("http://c.net/d/x", link % "/r?u=http://b.com/de/1", "c.net/r?u=http://b.com/de/1")}
+    table = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judged(table(pages)).collect()} == dict(enumerate(forms.values()))
+    for url, html, want in moved.values():
+        assert [r.b for r in url_filter.links(table([(1, url, html)])).collect()] == [want]
+
+
 def test_licences(spark):
     mit = licenses.KNOWN[0][1]
     texts = [mit, f"Copyright (c) 2020 Someone\n\n{mit.upper()}", f"{mit} and more", "Some text\nReleased under the MIT Licence\nmore", None, "", "..."]
