@@ -240,4 +240,4 @@ def verdicts(docs: DataFrame, chain: Chain) -> DataFrame:
                 out = judge(texts[i:j], chain)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, out.values())], ["doc_id", *out])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.lean(run), _SCHEMA)

@@ -193,7 +193,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weights(benchmark: DataFrame) -> Weights:
     """Counted over all items. Only shingles that several items hold come to the driver, 16 bytes each."""
-    found = distinct_items(benchmark).mapInArrow(counted, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 or shingle is null")
+    found = distinct_items(benchmark).mapInArrow(c.lean(counted), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 or shingle is null")
     keys, n, items = [], [], 0
     for b in found.toArrow().to_batches():
         null = b.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -238,7 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
                 rows = pa.array([x[0] for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([index.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.float64())], ["doc_id", "item_id", "start", "similarity"])
 
-        part = plain.mapInArrow(run, schema)
+        part = plain.mapInArrow(c.lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -255,5 +255,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
                 keep[[x[0] for x in batch_leaks(b.column(at).cast(pa.binary()).to_pylist(), index)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(c.lean(run), docs.schema)
     return docs

@@ -9,7 +9,12 @@ the survivors are verified exactly.
 Groups of copies aren't expanded: equal texts are one set; in a few rounds each bucket offers its members to a hub and components
 come from the links found. Only buckets that then still hold several components offer pairs, across components only, and only those
 whose distances from a common hub allow a link (Jaccard distance is a metric) and whose parity bitmaps do: a shingle that only one of
-two sets holds flips one bit, so the bits in which the bitmaps differ bound the shingles that aren't common from below.
+two sets holds flips one bit, so the bits in which the bitmaps differ bound the shingles that aren't common from below. Every pair, of
+the rounds and of the rest, must share a prefix token under the other orders too before its sets are fetched.
+
+Token ids carry their frequency class, which says how large a bucket can be: the rows of large buckets are dealt over salts, and a bucket
+whose members offer pairs is cut into groups of BLOCK members, a task's key being a pair of groups, so none sees all pairs of a bucket.
+Shingles are compared by 48-bit hashes, texts by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapengine.llm import common as c
@@ -30,6 +35,8 @@ HOT = 64
 HOT_CLASS = 63
 #: Bytes of text whose shingles a task holds at a time.
 CHUNK = 2 << 20
+#: Members of a bucket that offer pairs to as many others under one key, and rows of a bucket that are joined under one key.
+BLOCK, ROWS = 256, 1024
 #: Rounds in which buckets offer their members to a hub before the pairs that are left are listed.
 ROUNDS = 2
 SEEDS = (0x1B873593CC9E2D51, 0x85EBCA6B27D4EB2F)
@@ -209,7 +216,8 @@ def prefixed(percent: int):
             if k < least:
                 continue
             p = (n - least + 1) - (n - k)
-            t, kl = tok[e - k : e], klass[e - k : e]
+            kl = klass[e - k : e]
+            t = tok[e - k : e] | (kl.astype(np.uint64) << np.uint64(48))
             rest = [t[np.lexsort((c.mixed(t ^ np.uint64(seed)), kl))[:p]].view(np.int64) for seed in SEEDS]
             rows.append((s, n, k, p, t.view(np.int64), *rest, _parity(t)))
             if len(rows) >= 512:
@@ -221,15 +229,32 @@ def prefixed(percent: int):
     return run
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, filtered: bool) -> DataFrame:
-    """pairs(a, b) with both sizes in s and the exact overlap o; filtered: only pairs that share a prefix token under the other orders too."""
-    side = lambda x: sets.select(*[F.col(k).alias(f"{x}_{k}") for k in ("sid", "n", "toks", *(("second", "third") if filtered else ()))])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
-    if filtered:
-        both = both.where(F.arrays_overlap("a_second", "b_second")).where(F.arrays_overlap("a_third", "b_third"))
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) that share a prefix token under the other orders too, with both sizes in s and the exact overlap o. Whole sets are fetched for those only."""
+    side = lambda x, *columns: sets.select(*[F.col(k).alias(f"{x}_{k}") for k in ("sid", *columns)])
+    orders = ("second", "third")
+    near = pairs.join(side("a", *orders), F.col("a") == F.col("a_sid")).join(side("b", *orders), F.col("b") == F.col("b_sid"))
+    near = near.where(F.arrays_overlap("a_second", "b_second")).where(F.arrays_overlap("a_third", "b_third")).select("a", "b")
+    both = near.join(side("a", "n", "toks"), F.col("a") == F.col("a_sid")).join(side("b", "n", "toks"), F.col("b") == F.col("b_sid"))
     return both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("s"), F.size(F.array_intersect("a_toks", "b_toks")).alias("o"))
 
 
+def _salts(tok: Column) -> Column:
+    """Over how many keys the rows of a token's bucket are dealt: by its frequency class, 2 ** class to 2 ** (class + 1) texts; the last class is of unknown size."""
+    of = F.shiftright(tok, 48)
+    return F.when(of == HOT_CLASS, F.lit(64)).when(of >= 10, F.least(F.lit(1024), F.pow(F.lit(2.0), of - 9).cast("int"))).otherwise(F.lit(1))
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """The rows of buckets, dealt over salts by their set."""
+    return df.withColumn("salt", F.pmod(F.xxhash64("sid"), _salts(F.col("tok"))).cast("int"))
+
+
+def _to_all_salts(df: DataFrame) -> DataFrame:
+    """One row of each bucket, for all of its salts."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("tok")) - 1)))
+
+
 def _linked(overlaps: DataFrame, percent: int) -> DataFrame:
     return overlaps.where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b")
 
@@ -241,8 +266,8 @@ def _stars(prefix: DataFrame, percent: int, seed: int) -> DataFrame:
     Members that already have the hub's root aren't offered to it.
     """
     rank = F.struct(F.round((F.col("n") - F.col("m")) / F.col("n"), 2), F.xxhash64(F.lit(seed), "sid")) if seed == 0 else F.struct(F.xxhash64(F.lit(seed), "sid"))
-    hubs = prefix.groupBy("tok", "band").agg(F.min_by(F.struct("sid", "n", "root", rank.alias("rank")), rank).alias("hub"))
-    offered = prefix.select("sid", "n", "root", "tok", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(hubs, ["tok", "band"])
+    hubs = _to_all_salts(prefix.groupBy("tok", "band").agg(F.min_by(F.struct("sid", "n", "root", rank.alias("rank")), rank).alias("hub")))
+    offered = prefix.select("sid", "n", "root", "tok", "salt", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).join(hubs, ["tok", "salt", "band"])
     offered = offered.where(F.col("root") != F.col("hub.root")).where(_fits(F.col("n"), F.col("hub.n"), percent))
     offered = offered.groupBy("sid", F.col("hub.sid").alias("hub")).agg(F.count("*").alias("k"), F.min("hub.rank").alias("rank"))
     best = offered.groupBy("sid").agg(F.max_by("hub", F.struct("k", "hub")).alias("x"), F.min_by("hub", "rank").alias("y"))
@@ -253,42 +278,49 @@ def _fits(x, y, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold several roots, with the roots that the links give."""
+def _labelled(rows: DataFrame, links: DataFrame, scratch: c.Scratch) -> DataFrame:
+    """The rows of buckets that still hold several roots, with the roots that the links give and the number of a bucket's rows in k."""
     roots = components(links).select(F.col("v").alias("sid"), F.col("root").alias("new"))
-    out = rows.drop("root").join(roots, "sid", "left").withColumn("root", F.coalesce("new", "sid")).drop("new")
-    several = out.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok")
-    return c.written(out.join(several, "tok", "left_semi"), "open")
+    out = rows.drop("root", "k").join(roots, "sid", "left").withColumn("root", F.coalesce("new", "sid")).drop("new")
+    several = out.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("tok", "k")
+    return scratch.written(out.join(_to_all_salts(several), ["tok", "salt"]), "open")
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, percent: int, scratch: c.Scratch) -> DataFrame:
     """Enough links between sets for their components: edges (a, b)."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent))).cast("int")
-    prefix = sets.select("sid", "n", "m", F.col("sid").alias("root"), band.alias("band"), F.posexplode(F.slice("toks", F.lit(1), F.col("p"))).alias("pos", "tok"))
+    prefix = _salted(sets.select("sid", "n", "m", F.col("sid").alias("root"), band.alias("band"), F.posexplode(F.slice("toks", F.lit(1), F.col("p"))).alias("pos", "tok")))
     shared = prefix.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok")
-    prefix = c.written(prefix.join(shared, "tok", "left_semi"), "prefix")
+    prefix = scratch.written(prefix.join(_to_all_salts(shared), ["tok", "salt"], "left_semi"), "prefix")
     links = distances = None
     for seed in range(ROUNDS):
-        seen = c.written(_overlaps(_stars(prefix, percent, seed).select(F.col("sid").alias("a"), F.col("hub").alias("b")), sets, False), "stars")
+        seen = scratch.written(_overlaps(_stars(prefix, percent, seed).select(F.col("sid").alias("a"), F.col("hub").alias("b")), sets), "stars")
         links = _linked(seen, percent) if links is None else links.unionByName(_linked(seen, percent))
         away = seen.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), (1 - F.col("o") / (F.col("s") - F.col("o"))).alias("d"))
         distances = away if distances is None else distances.unionByName(away)
-        prefix = _labelled(prefix, links)
+        prefix = _labelled(prefix, links, scratch)
 
     # each set's distances from its hubs, two in a round at most: two sets that link differ in them by no more than the links' distance
     hubs = distances.select(F.col("pivot").alias("sid"), "pivot", F.lit(0.0).alias("d")).distinct()
     pivots = distances.unionByName(hubs).groupBy("sid").agg(F.map_from_entries(F.collect_set(F.struct("pivot", "d"))).alias("from"))
-    rows = prefix.join(sets.select("sid", "bits"), "sid").join(pivots, "sid", "left").withColumn("from", F.coalesce("from", F.create_map().cast("map<long,double>")))
-    own = ("sid", "n", "m", "pos", "root", "from", "bits")
-    x = rows.select("tok", "band", *[F.col(k).alias(f"x_{k}") for k in own])
-    y = rows.select("tok", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)).alias("band"), *[F.col(k).alias(f"y_{k}") for k in own])
+    # a bucket's k rows fall into ceil(k / BLOCK) groups; a row meets each group under a key of both groups' numbers
+    groups = F.ceil(F.col("k") / BLOCK).cast("int")
+    rows = prefix.withColumns({"own": F.pmod(F.xxhash64(F.lit(11), "sid"), groups).cast("int"), "other": F.explode(F.sequence(F.lit(0), groups - 1))})
+    rows = rows.join(sets.select("sid", "bits"), "sid")
+    own = ("sid", "n", "m", "pos", "root", "bits")
+    x = rows.select("tok", "band", F.col("own").alias("g"), F.col("other").alias("h"), *[F.col(k).alias(f"x_{k}") for k in own])
+    y = rows.select("tok", F.explode(F.array(F.col("band"), F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("other").alias("g"), F.col("own").alias("h"), *[F.col(k).alias(f"y_{k}") for k in own])
     reach = F.least("x_pos", "y_pos") + 1 + F.least(F.expr("x_m - x_pos - 1"), F.expr("y_m - y_pos - 1"))
     near = (F.col("x_root") < F.col("y_root")) & _fits(F.col("x_n"), F.col("y_n"), percent) & ((100 + percent) * reach >= percent * (F.col("x_n") + F.col("y_n")))
     apart = sum((F.bit_count(F.col("x_bits")[k].bitwiseXOR(F.col("y_bits")[k])) for k in range(1, WORDS)), F.bit_count(F.col("x_bits")[0].bitwiseXOR(F.col("y_bits")[0])))
     near &= (100 + percent) * (F.col("x_m") + F.col("y_m") - apart) >= 2 * percent * (F.col("x_n") + F.col("y_n"))
-    near &= F.forall(F.map_keys("x_from"), lambda p: F.coalesce(F.abs(F.col("x_from")[p] - F.col("y_from")[p]) <= 1 - percent / 100 + 1e-9, F.lit(True)))
-    rest = x.join(y, ["tok", "band"]).where(near).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
-    return links.unionByName(c.written(_linked(_overlaps(rest, sets, True), percent), "links"))
+    pairs = x.join(y, ["tok", "band", "g", "h"]).where(near).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
+    # distances are fetched once for each pair, not once for each prefix token
+    for z in "ab":
+        pairs = pairs.join(pivots.select(F.col("sid").alias(z), F.col("from").alias(f"{z}_from")), z, "left").withColumn(f"{z}_from", F.coalesce(f"{z}_from", F.create_map().cast("map<long,double>")))
+    near = F.forall(F.map_keys("a_from"), lambda p: F.coalesce(F.abs(F.col("a_from")[p] - F.col("b_from")[p]) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+    rest = pairs.where(near).select("a", "b")
+    return links.unionByName(scratch.written(_linked(_overlaps(rest, sets), percent), "links"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,12 +332,15 @@ def jaccard_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id
     spark = docs.sparkSession
     n = c.partitions(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    entries = c.by_id(plain.mapInArrow(shingled(n), _MAP), n)
-    table = c.written(entries.mapInArrow(shared_tokens(n), _MAP), "shared")
+    scratch = c.Scratch(spark)
+    entries = c.by_id(plain.mapInArrow(c.lean(shingled(n)), _MAP), n)
+    table = scratch.written(entries.mapInArrow(c.lean(shared_tokens(n)), _MAP), "shared")
     packed = c.by_id(table.where("kind = 2").select("payload", "bucket"), n).select("payload")
-    sets = c.written(packed.mapInArrow(prefixed(percent), _SETS), "sets")
-    members = table.where("kind = 0").select("doc_id", "sid", "n")
-    roots = components(_links(sets, percent)).select(F.col("v").alias("sid"), "root")
+    sets = scratch.written(packed.mapInArrow(c.lean(prefixed(percent)), _SETS), "sets")
+    members = c.written(table.where("kind = 0").select("doc_id", "sid", "n"), "members")
+    scratch.drop("shared")
+    roots = components(_links(sets, percent, scratch)).select(F.col("v").alias("sid"), "root")
+    scratch.drop(*list(scratch.paths))
 
     texts = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     texts = texts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

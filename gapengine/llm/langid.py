@@ -96,7 +96,7 @@ def identified(rows: DataFrame, profile: Profile) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * len(languages), pa.int32()), pa.array(out.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in (0, 1, 3, 4)), flat], ["origin", "row_id", "host", "declared", "likelihood"])
 
-    told = rows.select("origin", "row_id", "text", "host", "declared").mapInArrow(run, "origin string, row_id long, host string, declared string, likelihood array<double>")
+    told = rows.select("origin", "row_id", "text", "host", "declared").mapInArrow(c.lean(run), "origin string, row_id long, host string, declared string, likelihood array<double>")
     if not languages:
         return told.select("origin", "row_id", "host", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
     host = F.coalesce("host", F.lit(""))

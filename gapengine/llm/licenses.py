@@ -110,6 +110,6 @@ def scanned(docs: DataFrame, known=KNOWN) -> DataFrame:
                     notices.append(sorted(own))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(found, pa.string()), pa.array(notices, pa.list_(pa.string()))], ["doc_id", "digest", "notices"])
 
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest string, notices array<string>")
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.lean(run), "doc_id long, digest string, notices array<string>")
     table = docs.sparkSession.createDataFrame(sorted(lines.items()) or [("", "")], "digest string, license_id string")
     return told.join(table, "digest", "left").select("doc_id", "digest", "license_id", "notices")

@@ -285,7 +285,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             s, n = scorer(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(n, pa.int32())], ["doc_id", "score", "n_hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_hits int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.lean(run), "doc_id long, score double, n_hits int")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -298,4 +298,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             s, _ = scorer(b.column(at).to_pylist())
             yield b.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(c.lean(run), docs.schema)
