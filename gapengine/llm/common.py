@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapengine.functions.shared import shared_dir
+
 #: Words of a text are the runs of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
@@ -21,21 +22,6 @@ CHUNK_BYTES, CHUNK_ROWS = 6 << 20, 4096
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Where none is set, one is made, but only if driver and executors are one process (tests)."""
-    sc = spark.sparkContext
-    at = sc._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints")
-    sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 class Scratch:
     """Tables in the shared folder that an operator writes on its way and drops when nothing reads them any more."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gapengine.llm import common as c
 
-#: Bounds of the training sample: documents of each label, those with the least md5 of doc_id; longer ones than LINES lines aren't taken into it.
+#: Bounds of the training sample: documents of each label, those with the least md5 of doc_id. In the fit, a document of more than LINES lines is several sequences.
 SAMPLE, LINES = {1: 1500, 0: 1500}, 200
 SHARE = 0.5
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -188,8 +188,8 @@ def fitted(texts: list[bytes], quality: list[int]) -> Chain:
         part = texts[i : i + 256]
         f, _, start, length = _lines(Chunk(part), len(part))
         for k, (s, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
-            if 0 < n <= LINES:
-                picked.append(f[s : s + n])
+            for at in range(s, s + n, LINES):
+                picked.append(f[at : min(at + LINES, s + n)])
                 y.append(quality[i + k])
     chain = Chain()
     if len(set(y)) < 2:

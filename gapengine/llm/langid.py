@@ -12,16 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapengine.llm import common as c
 from gapengine.llm.url_filter import host_of
 
-#: Bound of the sample for the trigram model: documents of each language, those with the least md5 of doc_id, and languages.
-SAMPLE, MOST_LANGUAGES = 400, 64
+#: Bound of the sample for the trigram model: documents of each language, those with the least md5 of doc_id.
+SAMPLE = 400
 TABLE = 1 << 16
-#: A text speaks as loudly as so many independent trigrams at most.
-VOICE = 48.0
+#: Trigrams overlap and follow from each other: a text speaks as loudly as this share of its trigrams would if they were independent.
+VOICE = 0.25
+#: A host of over so many rows (or 1 / HOSTS of all rows, if that is more) is hot: its rows are dealt over several keys.
+HOT, HOSTS = 100_000, 1024
 #: How sure a declaration and a suffix are, and the pseudo-counts of the hierarchy.
 DECLARED, SUFFIX, KAPPA = 0.9, 0.8, 5.0
 #: Address suffixes that stand for a language.
@@ -57,21 +60,15 @@ class Profile:
         inside[ends] = inside[ends + 1] = False
         many = np.maximum(np.add.reduceat(inside.astype(np.int64), starts), 1)
         out = np.stack([np.add.reduceat(np.where(inside, row[ids], 0), starts, dtype=np.float64) for row in self.logs], 1) if len(self.languages) else np.zeros((len(texts), 0))
-        return out / many[:, None] * np.minimum(many, VOICE)[:, None] * (n > 2)[:, None]
+        return out / many[:, None] * (VOICE * many)[:, None] * (n > 2)[:, None]
 
 
 def train(docs: DataFrame) -> Profile:
-    """From at most SAMPLE documents of each of at most MOST_LANGUAGES languages in documents(doc_id, text, lang)."""
+    """From at most SAMPLE documents of each language in documents(doc_id, text, lang). Ranks are cut before the exchange; only the picked texts come to the driver."""
     rows = docs.where("lang is not null and lang <> '' and text is not null and doc_id is not null").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    languages = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    ids = [rows.where(F.col("lang") == x).select("doc_id").orderBy(order, "doc_id").limit(SAMPLE) for x in languages]
-    if not ids:
-        return Profile.fit([])
-    picked = ids[0]
-    for x in ids[1:]:
-        picked = picked.unionByName(x)
-    got = rows.join(F.broadcast(picked.distinct()), "doc_id").toLocalIterator()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
+    picked = rows.select("lang", "doc_id").distinct().withColumn("k", rank).where(F.col("k") <= SAMPLE).select("lang", "doc_id")
+    got = rows.join(F.broadcast(picked), ["lang", "doc_id"]).toLocalIterator()
     return Profile.fit(sorted((r.lang, r.text.encode()) for r in got))
 
 
@@ -101,37 +98,36 @@ def identified(rows: DataFrame, profile: Profile) -> DataFrame:
         return told.select("origin", "row_id", "host", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
     host = F.coalesce("host", F.lit(""))
     told = c.written(told.withColumn("suffix", F.regexp_extract(host, r"([^.]*)$", 1)).withColumn("domain", F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)), "told")
-    vote = lambda x: F.sum(F.col("declared").eqNullSafe(x).cast("long"))
-    seen = [vote(x).alias(f"n_{k}") for k, x in enumerate(languages)]
-    levels, parent = {}, None
-    hosts = told.groupBy("host", "domain", "suffix").agg(*seen)
-    hosts = c.checkpointed(hosts)
-    up = [F.sum(f"n_{k}").alias(f"n_{k}") for k in range(len(languages))]
-    levels["all"] = hosts.agg(*up)
-    total = levels["all"].first()
-    n = [0 if total[0] is None else total[k] for k in range(len(languages))]
-    top = [(x + 1.0) / (sum(n) + len(n)) for x in n]
-    counts = lambda: F.array(*[F.col(f"n_{k}").cast("double") for k in range(len(languages))])
-
-    def shrunk(df: DataFrame, parent: Column) -> Column:
-        own = F.aggregate(counts(), F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts(), parent, lambda x, p: (x + KAPPA * p) / (own + KAPPA))
-
-    suffixes = hosts.groupBy("suffix").agg(*up)
-    suffixes = suffixes.select("suffix", shrunk(suffixes, F.array(*map(F.lit, top))).alias("prior_s"))
-    domains = hosts.groupBy("domain", "suffix").agg(*up).join(suffixes, "suffix")
-    domains = domains.select("domain", "suffix", shrunk(domains, F.col("prior_s")).alias("prior_d"))
-    priors = hosts.join(domains, ["domain", "suffix"])
-    priors = priors.select(F.col("host").alias("prior_host"), shrunk(priors, F.col("prior_d")).alias("prior"))
-    salts = 32  # a hot host's rows are dealt over these
-    salted = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    told = told.withColumn("salt", F.pmod(F.hash("origin", "row_id"), F.lit(salts)))
-    joined = told.join(salted, told["host"].eqNullSafe(salted["prior_host"]) & (told["salt"] == salted["salt"]))
+    known = F.array(*map(F.lit, languages))
+    # votes by (host, language), then levels of them as arrays in the languages' order
+    votes = told.groupBy("host", "domain", "suffix", "declared").agg(F.count("*").alias("rows"), F.count(F.when(F.array_contains(known, F.col("declared")), 1)).alias("n"))
+    hosts = c.checkpointed(votes.groupBy("host", "domain", "suffix").agg(F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(F.when(F.col("n") > 0, F.struct("declared", "n")))).alias("votes")))
+
+    def above(df: DataFrame, *keys: str) -> DataFrame:
+        each = df.select(*keys, F.explode_outer("votes").alias("declared", "n")).groupBy(*keys, "declared").agg(F.sum("n").alias("n"))
+        return each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("n") > 0, F.struct("declared", "n")))).alias("votes"))
+
+    def shrunk(parent: Column) -> Column:
+        counts = F.transform(known, lambda x: F.coalesce(F.try_element_at("votes", x), F.lit(0)).cast("double"))
+        own = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(counts, parent, lambda x, p: (x + KAPPA * p) / (own + KAPPA))
+
+    n = {r.declared: r.n for r in hosts.select(F.explode("votes").alias("declared", "n")).groupBy("declared").agg(F.sum("n").alias("n")).collect()}
+    top = [(n.get(x, 0) + 1.0) / (sum(n.values()) + len(languages)) for x in languages]
+    suffixes = above(hosts, "suffix").withColumn("prior_s", shrunk(F.array(*map(F.lit, top)))).drop("votes")
+    domains = above(hosts, "domain", "suffix").join(suffixes, "suffix").withColumn("prior_d", shrunk(F.col("prior_s"))).drop("votes", "prior_s")
+    priors = hosts.join(domains, ["domain", "suffix"]).select(F.col("host").alias("prior_host"), "rows", shrunk(F.col("prior_d")).alias("prior"))
+    # the rows of a hot host, of which there are at most HOSTS, are dealt over salts; other hosts' priors aren't repeated
+    total = hosts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
+    limit = max(HOT, -(-total // HOSTS))
+    hot = hosts.where(F.col("rows") > limit).select(F.col("host").alias("hot_host"), F.ceil(F.col("rows") / limit).cast("int").alias("salts"))
+    told = told.join(F.broadcast(hot), F.col("host").eqNullSafe(F.col("hot_host")), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("origin", "row_id"), F.col("salts")).cast("int"), F.lit(0))).drop("hot_host", "salts")
+    salted = priors.withColumn("prior_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.when(F.col("rows") > limit, F.ceil(F.col("rows") / limit) - 1).otherwise(F.lit(0)).cast("int")))))
+    joined = told.join(salted, told["host"].eqNullSafe(salted["prior_host"]) & (told["salt"] == salted["prior_salt"]))
     says = F.lit(None).cast("string")
     for suffix, lang in SUFFIXES.items():
         says = F.when(F.col("suffix") == suffix, F.lit(lang)).otherwise(says)
     m = max(2, len(languages))
-    known = F.array(*map(F.lit, languages))
     sure = lambda who, p, x: F.when(who.isNull() | ~F.array_contains(known, who), F.lit(0.0)).when(who == x, F.lit(float(np.log(p)))).otherwise(F.lit(float(np.log((1 - p) / (m - 1)))))
     logs = [F.col("likelihood")[k] + F.log(F.col("prior")[k]) + sure(F.col("declared"), DECLARED, x) + sure(F.col("says"), SUFFIX, x) for k, x in enumerate(languages)]
     out = joined.withColumn("says", says).withColumn("logs", F.array(*logs)).withColumn("top", F.array_max("logs"))

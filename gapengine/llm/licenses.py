@@ -46,6 +46,8 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Digests that are broadcast, 100 bytes each.
+SMALL = 100_000
 _MARK = rb"(?:copyright(?:[\s:,]*(?:\(c\)|\xc2\xa9))?|copr\.(?:\s*\(c\))?|\(c\)(?:\s*copyright)?|\xc2\xa9(?:\s*copyright)?)"
 _YEAR = rb"(?:19|20)\d\d"
 #: Words that follow "copyright" where a text only speaks of it.
@@ -93,7 +95,7 @@ def scanned(docs: DataFrame, known=KNOWN) -> DataFrame:
     """(doc_id, digest, license_id, notices) of each document: its canonical digest, the licence whose whole text it is, and the licences of its notice lines.
 
     Null, empty and wordless texts have a null digest and no licence; notices is sorted, distinct and may be empty. Repeated rows all stay; an empty table gives no rows. Other columns are ignored.
-    known is a table of the caller's own size (a licence list); it is broadcast only below Spark's size threshold.
+    known is a list of the caller's; up to SMALL digests are broadcast, more are joined by a shuffle.
     """
     lines = known_digests(known)
 
@@ -112,4 +114,7 @@ def scanned(docs: DataFrame, known=KNOWN) -> DataFrame:
 
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(c.lean(run), "doc_id long, digest string, notices array<string>")
     table = docs.sparkSession.createDataFrame(sorted(lines.items()) or [("", "")], "digest string, license_id string")
-    return told.join(table, "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    table = F.broadcast(table) if len(lines) <= SMALL else table
+    # wordless texts have no digest: kept apart, else they would all meet in one task
+    found = told.where("digest is not null").join(table, "digest", "left")
+    return found.unionByName(told.where("digest is null").withColumn("license_id", F.lit(None).cast("string")), allowMissingColumns=True).select("doc_id", "digest", "license_id", "notices")

@@ -6,8 +6,6 @@ distribution at a uniform hash of the document, so it is the same in every run a
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,27 +47,41 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     return out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), first, grow, lambda acc: acc["cdf"])).drop("mean")
 
 
+def _names(docs: DataFrame):
+    """Names of helper columns that docs doesn't have."""
+    prefix = "mix"
+    while any(x.lower().startswith(f"{prefix}_") for x in docs.columns):
+        prefix += "_"
+    return lambda name: f"{prefix}_{name}"
+
+
 def repeated(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
     """docs with n_copies and copy_no: each row as often as its Poisson count says (rows with 0 are gone), not shuffled yet.
 
     The count depends on the seed, doc_id and source alone; repeated rows have equal counts. Null ids and sources count like any other value; texts are never read.
+    docs may have columns of any name but n_copies, copy_no and mix_key, which is an error.
     """
+    if taken := {"n_copies", "copy_no", "mix_key"} & {x.lower() for x in docs.columns}:
+        raise ValueError(f"columns that the result adds are there already: {', '.join(sorted(taken))}")
+    mine = _names(docs)
     table = c.checkpointed(rates(docs, weights, alpha))
-    known = table.select(F.col("source").alias("mix_source"), F.col("draws").alias("mix_draws"), "cdf")
+    known = table.select(F.col("source").alias(mine("source")), F.col("draws").alias(mine("draws")), F.col("cdf").alias(mine("cdf")))
     small = known.limit(SMALL + 1).count() <= SMALL
     if small:  # at most SMALL sources, at most MOST + TAIL * (sqrt(MOST) + 1) terms each
-        joined = docs.join(F.broadcast(known), docs["source"].eqNullSafe(F.col("mix_source")))
+        joined = docs.join(F.broadcast(known), docs["source"].eqNullSafe(F.col(mine("source"))))
     else:  # the hot source's rows are dealt over salts
         salts = 64
-        salted = known.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        docs = docs.withColumn("mix_salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
-        joined = docs.join(salted, docs["source"].eqNullSafe(F.col("mix_source")) & (docs["mix_salt"] == salted["mix_salt"])).drop("mix_salt")
+        salted = known.withColumn(mine("salt"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        docs = docs.withColumn(mine("own_salt"), F.pmod(F.hash("doc_id"), F.lit(salts)))
+        joined = docs.join(salted, docs["source"].eqNullSafe(F.col(mine("source"))) & (F.col(mine("own_salt")) == F.col(mine("salt")))).drop(mine("salt"), mine("own_salt"))
     # the first draw's hash is of document and source alone, each further one's also of its number
-    more = F.when(F.col("mix_draws") > 1, F.transform(F.sequence(F.lit(2), F.col("mix_draws")), lambda j: c.uniform(seed, F.col("doc_id"), F.col("source"), j))).otherwise(F.array().cast("array<double>"))
-    counted = joined.withColumn("mix_u", c.uniform(seed, F.col("doc_id"), F.col("source"))).withColumn("mix_more", more)
-    counted = counted.withColumn("n_copies", F.expr("size(filter(cdf, x -> mix_u >= x)) + aggregate(mix_more, 0, (n, u) -> n + size(filter(cdf, x -> u >= x)))")).drop("mix_u", "mix_more", "mix_draws", "cdf", "mix_source")
-    dealt = counted.where("n_copies > 0").withColumn("mix_part", F.explode(F.expr(f"sequence(1, n_copies, {COPIES})")))
-    return dealt.withColumn("copy_no", F.explode(F.expr(f"sequence(mix_part, least(n_copies, mix_part + {COPIES - 1}))"))).drop("mix_part")
+    draws, u, others, cdf, part = (mine(x) for x in ("draws", "u", "more", "cdf", "part"))
+    more = F.when(F.col(draws) > 1, F.transform(F.sequence(F.lit(2), F.col(draws)), lambda j: c.uniform(seed, F.col("doc_id"), F.col("source"), j))).otherwise(F.array().cast("array<double>"))
+    counted = joined.withColumn(u, c.uniform(seed, F.col("doc_id"), F.col("source"))).withColumn(others, more)
+    below = lambda x: F.size(F.filter(F.col(cdf), lambda y: x >= y))
+    counted = counted.withColumn("n_copies", below(F.col(u)) + F.aggregate(others, F.lit(0), lambda n, x: n + below(x))).drop(u, others, draws, cdf, mine("source"))
+    dealt = counted.where("n_copies > 0").withColumn(part, F.explode(F.expr(f"sequence(1, n_copies, {COPIES})")))
+    return dealt.withColumn("copy_no", F.explode(F.expr(f"sequence(`{part}`, least(n_copies, `{part}` + {COPIES - 1}))"))).drop(part)
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: str = SEED) -> DataFrame:
@@ -80,8 +92,3 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     spark = docs.sparkSession
     out = repeated(docs, weights, alpha, seed).withColumn("mix_key", F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy_no").cast("string")).cast("binary")))
     return out.repartition(c.partitions(spark), "mix_key").sortWithinPartitions("mix_key")
-
-
-def expected(n: float, rate: float) -> tuple[float, float]:
-    """Mean and standard deviation of the rows that n documents become."""
-    return n * rate, math.sqrt(n * rate)

@@ -38,7 +38,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "n_copies", "copy_no", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), "mix_key")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "n_copies", "copy_no", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "mix_key")
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +87,9 @@ copies AS (
   FROM drawn w JOIN steps s ON w.source IS NOT DISTINCT FROM s.source AND w.u >= s.cdf
   GROUP BY ALL
 )
-SELECT doc_id, source, lang, n_chars, n_copies, copy_no::INTEGER AS copy_no, crc.crc AS text_crc32,
+SELECT doc_id, source, lang, n_chars, n_copies, copy_no::INTEGER AS copy_no, md5(coalesce(text, '')) AS text_md5,
        md5('mix-1' || chr(31) || coalesce(doc_id::VARCHAR, '') || chr(31) || copy_no::VARCHAR) AS mix_key
-FROM copies, unnest(generate_series(1, n_copies)) AS x(copy_no)
+FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy_no FROM copies)
 """
 
 URL_SQL = """
@@ -110,7 +110,8 @@ targets AS (
 ),
 edges AS (
   SELECT DISTINCT node AS a,
-         CASE WHEN regexp_extract(target, '://([^/?#]*)', 1) <> '' THEN lower(regexp_extract(target, '://([^/?#]*)', 1)) || regexp_extract(target, '://[^/?#]*([^#]*)', 1)
+         CASE WHEN target LIKE '//%' THEN lower(regexp_extract(target, '^//([^/?#]*)', 1)) || regexp_extract(target, '^//[^/?#]*([^#]*)', 1)
+              WHEN regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) <> '' THEN lower(regexp_extract(target, '://([^/?#]*)', 1)) || regexp_extract(target, '://[^/?#]*([^#]*)', 1)
               WHEN target LIKE '/%' THEN host || regexp_extract(target, '^([^#]*)', 1) END AS b
   FROM targets WHERE target <> ''
 ),
@@ -137,4 +138,4 @@ FROM fits f LEFT JOIN alias a ON f.node = a.v WHERE f.k = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": URL_SQL}
+    return {"op5_mix_sources": MIX_SQL, "op10_url_filter": URL_SQL}

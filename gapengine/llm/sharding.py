@@ -1,9 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly, equal texts stay together.
 
-Texts fall into cells by a hash of the text, so copies share a cell. A cell that would not pack well, because one text's copies
-make it heavy, is split into parts by a hash of doc_id: only cells of over a sixteenth of a shard are ever split. The cells'
-three-dimensional sizes, a bounded number, are packed by the driver, largest first, each into the shard where the dot product of
-its size with the residual capacity is highest among those that it fits. Rows then look up their cell.
+Texts fall into cells by a hash of the text, heavy cells into sub-cells by another one, so copies always share a unit. The units' three-dimensional
+sizes, a bounded number, are packed by the driver, largest first, each into the shard where the dot product of its size with the residual capacity
+is highest among those that it fits. Only a unit that fits into no shard whole (one text's copies make it heavy) is cut, into parts by a
+hash of doc_id that are packed in its place. Rows then look up their unit.
 """
 
 from __future__ import annotations
@@ -15,62 +15,90 @@ from pyspark.sql import functions as F
 
 from gapengine.llm import common as c
 
-#: Cells before heavy ones are split, and the share of a shard that a cell of several rows may take before that.
-CELLS, SHARE = 8192, 16
+#: Cells, sub-cells of a heavy one, and the share of a shard from which on a cell is heavy.
+CELLS, SUBCELLS, SHARE = 8192, 64, 1 / 16
+#: A unit of over this share of a shard that fits nowhere whole is cut; smaller ones go where most bytes are left.
+CUT = 1 / 64
+#: Rows of a part, which one task ranks; never more than MOST parts.
+ROWS, MOST = 100_000, 1 << 18
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, tokens, text_crc32, cell, part_key) of each row."""
+    """(doc_id, size, tokens, text_crc32, cell, sub_key, part_key) of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     data = F.encode(text, "UTF-8")
     tokens = F.length(F.regexp_replace(F.regexp_replace(F.translate(text, "\t\n\x0b\x0c\r", "     "), "[^ ]+", "x"), " ", ""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), tokens.cast("long").alias("tokens"), F.crc32(data).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(CELLS)).cast("int").alias("cell"), F.xxhash64(F.lit(7), F.col("doc_id")).alias("part_key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), tokens.cast("long").alias("tokens"), F.crc32(data).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(CELLS)).cast("int").alias("cell"), F.xxhash64(F.lit(3), text).alias("sub_key"), F.xxhash64(F.lit(7), F.col("doc_id")).alias("part_key"))
 
 
-def packed(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each size vector (rows: cells; columns: bytes, tokens, rows).
+def packed(sizes: np.ndarray, shards: int, parts: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The shard of each size vector (rows: units; columns: bytes, tokens, rows), and of the parts of those that had to be cut (-1 in the first).
 
-    Dimensions are scaled to a capacity of one shard's fair share. Cells go by falling largest component; each goes where the dot product
-    with the residual capacity is highest among the shards that it fits in whole; if it fits nowhere, where its first dimension leaves most.
+    Dimensions are scaled to a capacity of one shard's fair share. Units go by falling largest component; each goes where the dot product with the residual capacity is highest among the
+    shards that it fits in whole. One that fits nowhere is cut if it is over CUT of a shard and has parts: its parts go by the same rule. What fits nowhere and isn't cut goes where the first dimension leaves most.
     """
     total = np.maximum(sizes.sum(0), 1e-9)
-    v = sizes / total * shards
-    rest = np.ones((shards, v.shape[1]))
-    out = np.zeros(len(v), np.int64)
-    for k in np.lexsort((np.arange(len(v)), -v.max(1))).tolist():
-        fits = (rest >= v[k] - 1e-12).all(1)
-        gain = np.where(fits, rest @ v[k], -np.inf) if fits.any() else rest[:, 0]
-        out[k] = int(np.argmax(gain))
-        rest[out[k]] -= v[k]
-    return out
+    rest = np.ones((shards, sizes.shape[1]))
+    out, cut = np.zeros(len(sizes), np.int64), {}
+
+    def place(v: np.ndarray, must: bool) -> int:
+        fits = (rest >= v - 1e-12).all(1)
+        if not fits.any() and not must:
+            return -1
+        k = int(np.argmax(np.where(fits, rest @ v, -np.inf) if fits.any() else rest[:, 0]))
+        rest[k] -= v
+        return k
+
+    scaled = sizes / total * shards
+    for k in np.lexsort((np.arange(len(sizes)), -scaled.max(1))).tolist():
+        pieces = (parts or {}).get(k)
+        out[k] = place(scaled[k], pieces is None or scaled[k].max() <= CUT)
+        if out[k] < 0:
+            v = pieces / total * shards
+            cut[k] = np.zeros(len(v), np.int64)
+            for i in np.lexsort((np.arange(len(v)), -v.max(1))).tolist():
+                cut[k][i] = place(v[i], True)
+    return out, cut
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens): every row in a shard.
 
     size: UTF-8 bytes of the text (null: none) plus 1; the law is bytes: sizes are near equal. slot counts a shard's rows from 0
-    without gaps. Equal texts share a shard unless their cell holds over a sixteenth of a shard. Null texts and ids are rows like others; repeated
+    without gaps. Equal texts share a shard unless their unit fits into none. Null texts and ids are rows like others; repeated
     rows all stay, with slots of their own; an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = c.written(measured(docs), "sizes")
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
+    vector = lambda r: (r.size, r.tokens, r.n)
     cells = rows.groupBy("cell").agg(*sums).collect()  # at most CELLS rows
     if not cells:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, tokens long")
-    fair = np.array([[r.size, r.tokens, r.n] for r in cells], float).sum(0) / (shards * SHARE)
-    parts = {r.cell: int(np.ceil(max(x / max(f, 1e-9) for x, f in zip((r.size, r.tokens, r.n), fair, strict=True)))) for r in cells}
-    # a row alone can't be split, and a cell with fewer rows than parts needs no more parts than rows
-    parts = {r.cell: min(parts[r.cell], r.n) for r in cells}
-    heavy = spark.createDataFrame([(k, n) for k, n in parts.items() if n > 1] or [(-1, 1)], "cell int, parts int")
-    marked = rows.join(F.broadcast(heavy), "cell", "left").withColumn("part", F.coalesce(F.expr("cast(pmod(part_key, parts) as int)"), F.lit(0))).drop("parts", "part_key")
-    found = marked.groupBy("cell", "part").agg(*sums).orderBy("cell", "part").collect()  # at most CELLS + 3 * shards * SHARE rows
-    where = packed(np.array([[r.size, r.tokens, r.n] for r in found], float), shards)
-    first, at = [0] * shards, []
-    for r, s in zip(found, where.tolist(), strict=True):
-        at.append((r.cell, r.part, s, first[s]))
+    fair = np.maximum(np.array([vector(r) for r in cells], float).sum(0) / shards, 1e-9)
+    share = lambda r: float((np.array(vector(r)) / fair).max())
+    heavy = spark.createDataFrame([(r.cell, SUBCELLS) for r in cells if share(r) > SHARE] or [(-1, 1)], "cell int, subcells int")  # at most 3 * shards / SHARE rows
+    marked = rows.join(F.broadcast(heavy), "cell", "left").withColumn("sub", F.coalesce(F.expr("cast(pmod(sub_key, subcells) as int)"), F.lit(0))).drop("subcells", "sub_key")
+    units = marked.groupBy("cell", "sub").agg(*sums).orderBy("cell", "sub").collect()  # at most CELLS + 3 * shards / SHARE * SUBCELLS rows
+    most = max(ROWS, -(-sum(r.n for r in units) // MOST))
+    n_parts = [max(-(-r.n // most), min(r.n, int(np.ceil(share(r) / CUT))) if share(r) > CUT else 1) for r in units]
+    several = spark.createDataFrame([(r.cell, r.sub, n) for r, n in zip(units, n_parts, strict=True) if n > 1] or [(-1, 0, 1)], "cell int, sub int, parts int")
+    marked = marked.join(F.broadcast(several), ["cell", "sub"], "left").withColumn("part", F.coalesce(F.expr("cast(pmod(part_key, parts) as int)"), F.lit(0))).drop("parts", "part_key")
+    found = marked.groupBy("cell", "sub", "part").agg(*sums).orderBy("cell", "sub", "part").collect()  # the units and at most MOST + 3 * shards / CUT parts
+    index = {(r.cell, r.sub): k for k, r in enumerate(units)}
+    of = [index[r.cell, r.sub] for r in found]
+    pieces = {}
+    for k, r in zip(of, found, strict=True):
+        pieces.setdefault(k, []).append(vector(r))
+    where, cut = packed(np.array([vector(r) for r in units], float), shards, {k: np.array(x, float) for k, x in pieces.items() if len(x) > 1})
+    first, at, used = [0] * shards, [], {}
+    for k, r in zip(of, found, strict=True):
+        i = used[k] = used.get(k, -1) + 1
+        s = int(where[k]) if where[k] >= 0 else int(cut[k][i])
+        at.append((r.cell, r.sub, r.part, s, first[s]))
         first[s] += r.n
-    plan = F.broadcast(spark.createDataFrame(at, "cell int, part int, shard int, first long"))
-    own = F.row_number().over(W.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")) - 1
-    placed = marked.withColumn("own", own).join(plan, ["cell", "part"])
+    plan = spark.createDataFrame(at, "cell int, sub int, part int, shard int, first long")
+    plan = F.broadcast(plan) if len(at) <= 1 << 17 else plan
+    own = F.row_number().over(W.partitionBy("cell", "sub", "part").orderBy("doc_id", "text_crc32", "size")) - 1
+    placed = marked.withColumn("own", own).join(plan, ["cell", "sub", "part"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")

@@ -21,9 +21,13 @@ from gapengine.llm import common as c
 
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, those with the least md5 of doc_id.
 SAMPLE = {1: 2500, 0: 5000}
-TERMS, WINDOW, THRESHOLD = 96, 6, 0.3
+WINDOW, THRESHOLD = 6, 0.3
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…"
 QUOTES = frozenset('"«»“”„‘’`')
+#: The z statistic that a term of the lexicon needs.
+Z = 4.0
+#: Terms of the lexicon that a toxic row needs before no more are taken for its sake.
+COVER = 4
 #: Words with the edges stripped that are remembered in a Python worker before it starts anew.
 REMEMBERED = 100_000
 #: Rows of a batch that are scored at a time.
@@ -167,30 +171,45 @@ class Model:
 
 
 def lexicon(texts: list[list[str]], labels: np.ndarray) -> list[str]:
-    """The words and stems (4 to 7 letters and *) that split the classes best, by the z statistic of their document shares."""
-    df = (Counter(), Counter())
+    """The words and stems (4 to 7 letters and *) that split the classes, by the z statistic of their document shares. The sample alone bounds them.
+
+    A term needs the z that the best of as many chance terms as there are candidates would reach (Z at least), and two to four toxic rows, by the number of those.
+    Best terms come first; one is taken unless all toxic rows that hold it have COVER taken terms already, so no toxic row is left without a term that it could have.
+    """
+    df: tuple[Counter, Counter] = (Counter(), Counter())
+    toxic = []
     for words, y in zip(texts, labels, strict=True):
         cores = {w.strip(EDGES) for w in words} - {""}
-        df[int(y)].update(cores | {f"{w[:k]}*" for w in cores for k in range(4, 8) if len(w) > k})
+        terms = cores | {f"{w[:n]}*" for w in cores for n in range(4, 8) if len(w) > n}
+        df[int(y)].update(terms)
+        if y:
+            toxic.append(terms)
     n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
+    least = 2 if n1 < 50 else 3 if n1 < 250 else 4
+    bar = max(Z, np.sqrt(2 * np.log(max(2, len(df[1])))))
     ranked = []
     for term, a in df[1].items():
         b = df[0][term]
-        if a >= 4 and a / n1 > 2 * b / n0:
+        if a >= least and a / n1 > 2 * b / n0:
             p = (a + b) / (n1 + n0)
-            ranked.append(((a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)), term, a, b))
-    ranked.sort(key=lambda x: (-x[0], x[1]))
-    out: dict[str, tuple[int, int]] = {}
-    for z, term, a, b in ranked:
-        # a term within a chosen stem, or a stem of a chosen one, that splits the very same documents adds nothing
-        if z < 4 or len(out) >= TERMS or any((term.startswith(x.rstrip("*")) or x.startswith(term.rstrip("*"))) and n == (a, b) and not (x.endswith("*") and not term.endswith("*")) for x, n in out.items()):
-            continue
-        out[term] = (a, b)
+            z = (a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+            if z >= bar:
+                ranked.append((-z, len(term), term))
+    ranked.sort()
+    holders: dict[str, list[int]] = {term: [] for *_, term in ranked}
+    for k, terms in enumerate(toxic):
+        for term in holders.keys() & terms:
+            holders[term].append(k)
+    out, covered = [], np.zeros(len(toxic), int)
+    for term, rows in holders.items():
+        if (covered[rows] < COVER).any():
+            out.append(term)
+            covered[rows] += 1
     return sorted(out)
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge logistic regression by Newton steps: coefficients with the intercept first, centre, scale."""
+def regression(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted ridge logistic regression by Newton steps: coefficients with the intercept first, centre, scale."""
     centre, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1
     z = np.hstack([np.ones((len(x), 1)), (x - centre) / scale])
@@ -198,17 +217,23 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.nda
     penalty[0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * beta)
+        step = np.linalg.solve((z * (weights * p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (weights * (y - p)) - penalty * beta)
         beta += step
         if np.abs(step).max() < 1e-6:
             break
     return beta, centre, scale
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """The model of labelled texts; without both classes it scores every text with the share of toxic ones (0.05 of none)."""
+def fit(texts: list[str | None], labels: list[int], share: float | None = None) -> Model:
+    """The model of labelled texts; without both classes it scores every text with the share of toxic ones (0.05 of none).
+
+    share: of toxic rows among all labelled ones, if texts are a sample that hasn't it; the classes are weighed by it, so that a score is a probability at any size.
+    """
+    # copies of a text count once: a term that only they share says nothing
+    distinct = dict.fromkeys(zip((t or "" for t in texts), labels, strict=True))
+    texts, labels = [t for t, _ in distinct], [y for _, y in distinct]
     y = np.array(labels, float)
-    tokens = [t.lower().split() if t else [] for t in texts]
+    tokens = [t.lower().split() for t in texts]
     terms = lexicon(tokens, y) if 0 < y.sum() < len(y) else []
     memory = Memory(Matcher(terms))
     found = [hits(w, memory) for w in tokens]
@@ -232,8 +257,9 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         model.coefficients[0] = np.log(share / (1 - share))
         return model
     x = np.array([model.features(w, f) for w, f in zip(tokens, found, strict=True)])
-    # classes count as often as they do among all labelled rows of the sample
-    model.coefficients, model.centre, model.scale = regression(x, y)
+    own = y.mean()
+    share = own if share is None else share
+    model.coefficients, model.centre, model.scale = regression(x, y, np.where(y == 1, share / own, (1 - share) / (1 - own)))
     return model
 
 
@@ -249,7 +275,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn=None) -> Model:
     picked = F.broadcast(ids[0].unionByName(ids[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").where("text is not null")
     got = sorted((r.doc_id, r.text, r.toxic) for r in rows.toLocalIterator())
-    return fit([t for _, t, _ in got], [y for *_, y in got])
+    counts = {r.toxic: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    return fit([t for _, t, _ in got], [y for *_, y in got], share if 0 < share < 1 else None)
 
 
 class Scorer:

@@ -84,7 +84,7 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, de
     """(page_id, host, path, rule, verdict) of every row of pages(page_id, url, html).
 
     redirects(source, target), if given, adds edges between URLs. Null URLs and those without :// have an empty host and path and no rule;
-    null html has no links; repeated rows all stay; an empty table gives no rows. Other columns are ignored. Only linked URLs are shuffled.
+    null html has no links; repeated rows all stay; an empty table gives no rows. Other columns are ignored. Only rows with a URL that no rule fits are looked up among the aliases.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"), node_of(F.col("url").cast("string")).alias("node"))
     own = ruled(own, rules)
@@ -95,4 +95,6 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, de
     nodes = ruled(roots.withColumn("url", F.concat(F.lit("x://"), F.col("v"))).select("v", "root", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
     groups = nodes.groupBy("root").agg(F.bool_or(F.col("rule_verdict") == "allow").alias("allowed"), F.bool_or(F.col("rule_verdict") == "block").alias("blocked"))
     carried = nodes.where("rule is null").join(groups, "root").select(F.col("v").alias("node"), F.when(F.col("allowed"), F.lit("allow")).when(F.col("blocked"), F.lit("block")).alias("alias_verdict")).where("alias_verdict is not null")
-    return own.join(carried, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit(default)).alias("verdict"))
+    open_rows = F.col("rule").isNull() & F.col("node").isNotNull()  # rows without a node would all meet in one task
+    looked_up = own.where(open_rows).join(carried, "node", "left")
+    return looked_up.unionByName(own.where(~open_rows).withColumn("alias_verdict", F.lit(None).cast("string"))).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit(default)).alias("verdict"))
