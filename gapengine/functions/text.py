@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 #: A word with at most one inner apostrophe or hyphen part.
 TOKEN = r"(?U)[^\W_]+(?:['’-][^\W_]+)?"
 FRAMING_TOKEN = r"[a-z][a-z0-9'-]+"
-#: Suffixes that the light stemmer strips, longest first.
-SUFFIXES = ("ization", "ations", "ation", "ments", "ness", "ment", "ings", "ing", "ers", "ies", "ed", "er", "es", "ly", "s")
+#: Suffixes that the light stemmer strips, longest first.
+SUFFIXES = ("ings", "edly", "ing", "ers", "ies", "ied", "est", "es", "ed", "er", "ly", "s")
 INGEST_SEPARATOR, STAGE_SEPARATOR = "\x1f", "\x1e"
 
 
 def canonical(c: Column) -> Column:
-    """Runs of white space become one blank, ends are stripped. (NFKC is in functions.udfs; it changes nothing in ASCII texts.)"""
+    """Runs of white space become one blank, ends are stripped. (NFKC comes before it: functions.udfs.nfkc.)"""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
@@ -51,7 +51,8 @@ def stem(c: Column, suffixes: Iterable[str] = SUFFIXES, keep: int = 4) -> Column
 
 def framing_terms(c: Column, stop: Iterable[str] = ()) -> Column:
     """Distinct stems of ASCII words of three letters or more, in their first order; stop words go before and after stemming."""
-    words = F.transform(F.regexp_extract_all(F.lower(c), F.lit(FRAMING_TOKEN), 0), lambda w: F.regexp_replace(w, "^['-]+|['-]+$", ""))
+    # distinct words first: what follows is done once for each
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(FRAMING_TOKEN), 0)), lambda w: F.regexp_replace(w, "^['-]+|['-]+$", ""))
     stopped = F.array(*[F.lit(s) for s in stop]).cast("array<string>")
     words = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stopped, w))
     return F.array_distinct(F.filter(F.transform(words, lambda w: stem(w)), lambda w: ~F.array_contains(stopped, w)))

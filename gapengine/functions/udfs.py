@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -17,6 +18,17 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)?")
 _SPAN = re.compile(r"\S+")
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility form; only texts that aren't ASCII go to Python."""
+    ascii_only = c.rlike(r"^[\x00-\x7F]*$")
+    return F.coalesce(F.when(ascii_only, c), _nfkc(F.when(~ascii_only, c)))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()))
@@ -24,56 +36,129 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
 
 def folded_key(c: Column) -> Column:
     """Exact Unicode case folding; Python is called only for texts that aren't ASCII."""
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(c)).otherwise(nfkc_casefold(c))
-
-
-def embed(text: str, size: int) -> np.ndarray:
-    """Feature hashing of word 1- and 2-grams and letter 3- and 4-grams, of unit length (zero without a token)."""
-    words = [w.casefold() for w in _TOKEN.findall(text)]
-    grams = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    letters = [f"^{w}$"[i : i + n] for w in words for n in (3, 4) for i in range(len(w) + 3 - n)]
-    out = np.zeros(size)
-    for kind, found, weight in (("w", grams, 1.0), ("c", letters, 0.35)):
-        for g in found:
-            h = int.from_bytes(hashlib.blake2b(f"{kind}:{g}".encode(), digest_size=8).digest(), "big")
-            out[h % size] += (1 if h >> 63 else -1) * weight / np.sqrt(len(found))
-    norm = np.linalg.norm(out)
-    return out / norm if norm else out
+    ascii_only = c.rlike(r"^[\x00-\x7F]*$")
+    return F.coalesce(F.when(ascii_only, F.lower(c)), nfkc_casefold(F.when(~ascii_only, c)))
+
+
+#: N-gram sizes and weights of the embedding's two kinds of features.
+WORD_GRAMS, LETTER_GRAMS, LETTER_WEIGHT = (1, 2), (3, 4), 0.35
+#: Words and word pairs that a Python worker remembers the features of.
+REMEMBERED = 400_000
+
+
+class Embedder:
+    """Feature hashing of word and letter n-grams, of unit length (zero without a token).
+
+    Each distinct feature is hashed once; a word's features are kept as arrays, so a batch is a few array operations and one bincount.
+    """
+
+    def __init__(self, size: int = 768):
+        if size < 32:
+            raise ValueError("an embedding has 32 dimensions at least")
+        self.size = size
+        self.features: dict[str, tuple[int, float]] = {}
+        self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.pairs: dict[str, tuple[int, float]] = {}
+
+    def hashed(self, feature: str, weight: float) -> tuple[int, float]:
+        raw = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+        return raw % self.size, -weight if raw >> 63 else weight
+
+    def word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.hashed(f"w:{w}", 1.0)]
+        marked = f"^{w}$"
+        for n in LETTER_GRAMS:
+            for i in range(len(marked) - n + 1):
+                gram = f"c{n}:{marked[i : i + n]}"
+                if (x := self.features.get(gram)) is None:
+                    x = self.features[gram] = self.hashed(gram, LETTER_WEIGHT / np.sqrt(n))
+                found.append(x)
+        return np.array([x for x, _ in found], np.int64), np.array([y for _, y in found])
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        for memory in (self.features, self.words, self.pairs):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        at, value, of = [], [], []
+        for row, t in enumerate(texts):
+            words = [w.casefold() for w in _TOKEN.findall(t or "")]
+            for w in words:
+                if (x := self.words.get(w)) is None:
+                    x = self.words[w] = self.word(w)
+                at.append(x[0]), value.append(x[1])
+            pairs = [f"w:{a}\x1f{b}" for a, b in zip(words, words[1:], strict=False)]
+            for p in pairs:
+                if p not in self.pairs:
+                    self.pairs[p] = self.hashed(p, 1 / np.sqrt(2))
+            if pairs:
+                both = [self.pairs[p] for p in pairs]
+                at.append(np.array([x for x, _ in both], np.int64)), value.append(np.array([y for _, y in both]))
+            of.append(len(at))
+        sizes = np.fromiter(map(len, at), np.int64, len(at))
+        rows = np.repeat(np.repeat(np.arange(len(texts)), np.diff([0, *of])), sizes)
+        flat = np.concatenate([np.zeros(0, np.int64), *at]) + rows * self.size
+        out = np.bincount(flat, np.concatenate([np.zeros(0), *value]), len(texts) * self.size).astype(float).reshape(len(texts), self.size)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
+
+
+def embed(text: str, size: int = 768) -> np.ndarray:
+    """The embedding of one text."""
+    return Embedder(size)([text])[0]
 
 
 def hash_embed(c: Column, size: int = 768) -> Column:
     @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: embed(x or "", size).astype(np.float32).tolist())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embedder = Embedder(size)
+        for s in batches:
+            texts = s.tolist()
+            yield pd.Series([v for i in range(0, len(texts), 256) for v in embedder(texts[i : i + 256])], index=s.index, dtype=object)
 
     return run(c)
 
 
-def _norm(text: str) -> str:
-    return " ".join(text.split()).casefold()
-
-
 def best_span(quote: str | None, source: str | None, threshold: float) -> tuple[bool, float, int, int, str | None]:
-    """The window of tokens, of two fewer to two more than the quote's, that is most like it; the earliest of equals. Valid from the threshold on."""
-    if not quote or not quote.strip() or not source:
+    """The window of tokens, of two fewer to two more than the quote's, that is most like it; the earliest of equals. Valid from the threshold on.
+
+    Letters that a window has in common with the quote bound its ratio. The bounds of all windows come from running sums of letter counts; windows are
+    compared from the highest bound down, until none that is left can be better.
+    """
+    spans = [m.span() for m in _SPAN.finditer(source or "")]
+    want = " ".join((quote or "").split()).casefold()
+    if not want or not spans:
+        return False, 0.0, -1, -1, None
+    tokens = [source[a:b].casefold() for a, b in spans]
+    letters = {ch: k for k, ch in enumerate(sorted(set(want) - {" "}))}
+    need = np.array([want.count(ch) for ch in letters], np.int64)
+    counts = np.zeros((len(tokens) + 1, len(letters)), np.int64)
+    for i, t in enumerate(tokens, 1):
+        for ch in t:
+            if ch in letters:
+                counts[i, letters[ch]] += 1
+    counts = np.cumsum(counts, 0)
+    length = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+    n = len(quote.split())
+    bounds, windows = [], []
+    for width in range(max(1, n - 2), min(n + 2, len(tokens)) + 1):
+        first = np.arange(len(tokens) - width + 1)
+        common = np.minimum(counts[first + width] - counts[first], need).sum(1) + min(width - 1, n - 1)
+        bounds.append(2 * common / (len(want) + length[first + width] - length[first] + width - 1))
+        windows.append(np.stack([first, np.full(len(first), width)], 1))
+    if not bounds:
         return False, 0.0, -1, -1, None
-    spans = [m.span() for m in _SPAN.finditer(source)]
-    n, want = len(quote.split()), _norm(quote)
-    best = (0.0, -1, -1)
-    matcher = SequenceMatcher(None, autojunk=False)
-    matcher.set_seq2(want)
-    for width in range(max(1, n - 2), n + 3):
-        for i in range(len(spans) - width + 1):
-            a, b = spans[i][0], spans[i + width - 1][1]
-            matcher.set_seq1(_norm(source[a:b]))
-            if matcher.real_quick_ratio() <= best[0] or matcher.quick_ratio() <= best[0]:
-                if not (best[1] > a and matcher.quick_ratio() == best[0]):
-                    continue
-            r = matcher.ratio()
-            if r > best[0] or r == best[0] and a < best[1]:
-                best = (r, a, b)
-    r, a, b = best
-    return r >= threshold, round(r, 6), a, b, source[a:b] if a >= 0 else None
+    bound, window = np.concatenate(bounds), np.concatenate(windows)
+    best = (0.0, 0, 0)
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] < -best[0] - 1e-12:
+            break
+        i, width = window[k].tolist()
+        r = SequenceMatcher(None, want, " ".join(tokens[i : i + width])).ratio()
+        if r > 0:
+            best = min(best, (-r, spans[i][0], spans[i + width - 1][1]))
+    r, a, b = -best[0], best[1], best[2]
+    valid = r > 0 and r >= threshold
+    return (True, round(r, 6), a, b, source[a:b]) if valid else (False, round(r, 6), -1, -1, None)
 
 
 def fuzzy_span(quote: Column, source: Column, threshold: float = 0.92) -> Column:

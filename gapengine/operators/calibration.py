@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapengine.functions import numbers
+from gapengine.functions.shared import Tables
 
 
 def brier(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -65,11 +66,19 @@ def fit(rows: DataFrame, method: str = "auto", score: str = "score", y: str = "y
 
 
 def folds(rows: DataFrame, id_col: str, y: str = "y", most: int = 5, seed: str = "folds") -> tuple[DataFrame, int]:
-    """Rows with a fold, dealt in turn within each class by a hash of the id; as many folds as the smaller class has rows, most at most (0: fewer than two)."""
-    sizes = [r[1] for r in rows.groupBy(y).count().collect()]
-    k = min(most, min(sizes)) if len(sizes) == 2 else 0
-    order = W.partitionBy(y).orderBy(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")).cast("binary")), id_col)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % max(1, k)), k if k >= 2 else 0
+    """Rows with a fold, dealt in turn within each class by a hash of the id; as many folds as the smaller class has rows, most at most (0: fewer than two).
+
+    The hashes' upper bits make bins; rows are ranked within a (class, bin), and a running sum of the bins' sizes, one row each, makes the ranks go on from bin to bin.
+    """
+    told = rows.withColumn("_h", F.xxhash64(F.lit(seed), id_col)).withColumn("_bin", F.shiftright("_h", 56))
+    sizes = told.groupBy(F.col(y).alias("_y"), "_bin").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_y").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    classes = [r[1] for r in sizes.groupBy("_y").agg(F.sum("_n")).collect()]
+    k = min(most, min(classes)) if len(classes) == 2 else 0
+    offsets = sizes.withColumn("_before", before).select("_y", F.col("_bin").alias("_b"), "_before")
+    order = W.partitionBy(y, "_bin").orderBy("_h", id_col)
+    dealt = told.withColumn("_k", F.row_number().over(order) - 1).join(F.broadcast(offsets), F.col(y).eqNullSafe(F.col("_y")) & (F.col("_bin") == F.col("_b")))
+    return dealt.withColumn("fold", ((F.col("_k") + F.col("_before")) % max(1, k)).cast("int")).drop("_h", "_bin", "_y", "_b", "_k", "_before"), k if k >= 2 else 0
 
 
 def cross_fitted(rows: DataFrame, id_col: str, method: str = "platt", score: str = "score", y: str = "y", most: int = 5) -> DataFrame:
@@ -77,7 +86,7 @@ def cross_fitted(rows: DataFrame, id_col: str, method: str = "platt", score: str
     dealt, k = folds(rows, id_col, y, most)
     if not k:
         return fit(rows, method, score, y).apply(rows, score).withColumn("fold", F.lit(None).cast("int"))
-    dealt = dealt.persist()
+    dealt = Tables(rows.sparkSession, "folds").keep(dealt)
     out = None
     for i in range(k):
         part = fit(dealt.where(F.col("fold") != i), method, score, y).apply(dealt.where(F.col("fold") == i), score)

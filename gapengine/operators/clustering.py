@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapengine.functions import numbers
 
 THRESHOLD, FEW = 0.26, 100
+#: Bits of a hash that name the bin of a resampled row.
+BIN_BITS = 12
 
 
 def greedy_labels(vectors: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -71,14 +74,19 @@ def clustered(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
 def replicates(rows: DataFrame, iterations: int = 40, fraction: float = 0.8, id_col: str = "id", seed: int = 0) -> DataFrame:
     """(replicate, …): subsamples without replacement of exactly max(1, floor(n * fraction)) rows each, by a hash of seed, replicate and id.
 
-    The cut is a quantile of the hashes, so no window sorts a replicate in one task: rows below it come in full and only those at the cut are counted out.
+    The hashes' upper bits make BINS bins; whole bins are taken in order, and only the rows of the bin in which the size is reached are ranked. Rows of equal ids are told apart by nothing, so any of them may be taken.
     """
     n = rows.count()
     size = max(1, int(n * fraction)) if n else 0
     own = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("_h", F.xxhash64(F.lit(seed), F.col("replicate"), F.col(id_col)))
-    cuts = own.groupBy("replicate").agg(F.percentile("_h", F.lit(size / max(1, n))).alias("_cut")) if n <= 100_000 else own.groupBy("replicate").agg(F.approx_percentile("_h", F.lit(size / n), F.lit(100_000)).alias("_cut"))
-    out = own.join(F.broadcast(cuts), "replicate").where(F.col("_h") <= F.col("_cut"))
-    return out.drop("_h", "_cut")
+    own = own.withColumn("_bin", F.shiftright("_h", 64 - BIN_BITS))
+    counts = own.groupBy("replicate", "_bin").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(W.partitionBy("replicate").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cuts = counts.withColumn("_before", before).where((F.col("_before") < size) & (F.col("_before") + F.col("k") >= size)).select("replicate", F.col("_bin").alias("_cut"), (F.lit(size) - F.col("_before")).alias("_left"))
+    dealt = own.join(F.broadcast(cuts), "replicate")  # a row for each replicate
+    whole = dealt.where(F.col("_bin") < F.col("_cut"))
+    last = dealt.where(F.col("_bin") == F.col("_cut")).withColumn("_rank", F.row_number().over(W.partitionBy("replicate").orderBy("_h", id_col))).where(F.col("_rank") <= F.col("_left")).drop("_rank")
+    return whole.unionByName(last).drop("_h", "_bin", "_cut", "_left")
 
 
 def survival(runs: DataFrame, baseline: DataFrame, iterations: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapengine.functions import numbers
 from gapengine.types import FEATURES
 
+#: Weights of the evidence score.
 WEIGHTS = {"vol": 1.0, "div": 0.5, "sent": 0.0, "rec": 0.0, "cons": 1.0, "agree": 1.0, "coh": 1.0}
 VOLUME_CAP, MAX_SOURCES, HALF_LIFE = 20, 3, 365.0
 DISSENT, SUPPORT = 0.35, -0.05

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapengine.functions import numbers, text
+from gapengine.functions import numbers, text, udfs
 from gapengine.operators import priority
 
 
@@ -16,7 +16,7 @@ def of_package(rows: DataFrame, package: str) -> DataFrame:
 def triaged(rows: DataFrame, package: str | None = None) -> DataFrame:
     """rows(package, text, rating, time, source_id, version as strings) with parsed columns and status: other, blank, invalid or ok."""
     match = F.lit(True) if package is None else F.coalesce(text.folded(F.col("package")) == package.strip().lower(), F.lit(False))
-    clean = F.coalesce(text.canonical(F.col("text")), F.lit(""))
+    clean = F.coalesce(text.canonical(udfs.nfkc(F.col("text"))), F.lit(""))
     bad = numbers.invalid_rating(F.col("rating")) | numbers.invalid_datetime(F.col("time"))
     status = F.when(~match, "other").when(clean == "", "blank").when(bad, "invalid").otherwise("ok")
     return rows.select(F.col("package").alias("package_name"), clean.alias("text"), numbers.parse_rating(F.col("rating")).alias("rating"), numbers.parse_datetime(F.col("time")).alias("timestamp"), F.coalesce(F.col("source_id").cast("string"), F.lit("")).alias("source_id"), F.coalesce(F.col("version").cast("string"), F.lit("")).alias("version_id"), status.alias("status"))

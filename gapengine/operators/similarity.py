@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gapengine.functions import numbers
+from gapengine.functions.shared import shared_dir
 
-#: Rows of the smaller side that one pass compares the other side with, so what a task is sent is bounded.
-BLOCK = 8192
+#: Rows of a block of either side: a task multiplies two blocks, so what it holds is bounded.
+BLOCK = 4096
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -27,62 +26,76 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _empty(ids: dict) -> pa.Table:
+    """No pairs: the columns of ids (name: field) and a similarity."""
+    return pa.table([pa.array([], to_arrow_type(f.dataType)) for f in ids.values()] + [pa.array([], pa.float64())], [*ids, "similarity"])
+
+
+def _blocks(rows: DataFrame, tasks: int) -> int:
+    """Blocks that a side is dealt into: of at most about BLOCK rows, and as many as there are tasks for if they have some rows at least."""
+    n = rows.count()
+    return max(1, -(-n // BLOCK), min(tasks, n // 256))
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(left rows, right rows) of every pair of blocks. left and right: (id, v). Each side is repeated once for each block of the other, which comparing all with all takes."""
+    tasks = left.sparkSession.sparkContext.defaultParallelism
+    n_left = _blocks(left, tasks)
+    n_right = max(1, -(-right.count() // BLOCK))
+    own = left.withColumns({"lb": F.pmod(F.xxhash64("id"), F.lit(n_left)), "rb": F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))})
+    other = right.withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int"), "lb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long")))})
+    return own.groupBy("lb", "rb").cogroup(other.groupBy("lb", "rb")).applyInArrow(compare, schema)
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, query_vec: str, item_vec: str) -> DataFrame:
     """(query_id, item_id, similarity, rank): the k most similar items of each query; ties go to the lower item id.
 
-    The items' side is taken in blocks of bounded size, each multiplied with the other side's batches as matrices; blocks are cut by a dense number, and only k rows a query leave each task.
+    Blocks of both sides meet in tasks, each multiplied as matrices; only k rows a query leave each pair of blocks.
     """
-
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = items.select(F.col(item_id).alias("i"), F.col(item_vec).cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
-    source = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("v"))
-    kind_q, kind_i = source.schema["q"].dataType.simpleString(), dealt.schema["i"].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        own = dealt.where(F.col("block") == b).select("i", "v").orderBy("i").toArrow()
-        ids, matrix = own.column("i").combine_chunks(), _matrix(own.column("v"))
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                m = min(k, len(ids))
-                x = _matrix(batch.column(1))
-                for i in range(0, len(x), 1024):
-                    s = np.round(x[i : i + 1024] @ matrix.T, 12)
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :m]
-                    rows = np.repeat(np.arange(i, i + len(s)), m)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "item_id", "similarity"])
-
-        part = source.mapInArrow(run, f"query_id {kind_q}, item_id {kind_i}, similarity double")
-        out = part if out is None else out.unionByName(part)
+    own = queries.select(F.col(query_id).alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
+    other = items.select(F.col(item_id).alias("id"), F.col(item_vec).cast("array<double>").alias("v"))
+    kind_q, kind_i = own.schema["id"].dataType.simpleString(), other.schema["id"].dataType.simpleString()
+
+    empty = _empty({"query_id": own.schema["id"], "item_id": other.schema["id"]})
+
+    def compare(q: pa.Table, i: pa.Table) -> pa.Table:
+        if not q.num_rows or not i.num_rows:
+            return empty
+        i = i.sort_by("id")
+        ids, m = i.column("id").combine_chunks(), min(k, i.num_rows)
+        x, y = _matrix(q.column("v")), _matrix(i.column("v"))
+        rows, best, values = [], [], []
+        for at in range(0, len(x), 1024) if m else ():
+            s = np.round(x[at : at + 1024] @ y.T, 12)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :m]
+            rows.append(np.repeat(np.arange(at, at + len(s)), m)), best.append(order.ravel()), values.append(np.take_along_axis(s, order, 1).ravel())
+        cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        return pa.table([q.column("id").combine_chunks().take(pa.array(cat(rows, np.int64))), ids.take(pa.array(cat(best, np.int64))), pa.array(cat(values, np.float64))], ["query_id", "item_id", "similarity"])
+
+    out = _block_pairs(own, other, compare, f"query_id {kind_q}, item_id {kind_i}, similarity double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def redundant_pairs(rows: DataFrame, threshold: float, id_col: str, vec: str) -> DataFrame:
-    """(a, b, similarity) with a < b and a cosine of at least threshold; all rows against all, in blocks of bounded size."""
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    dealt = rows.select(F.col(id_col).alias("i"), F.col(vec).cast("array<double>").alias("v"))
-    kind = dealt.schema["i"].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        own = dealt.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toArrow()
-        ids, matrix = own.column("i").combine_chunks(), _matrix(own.column("v"))
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                s = _matrix(batch.column(1)) @ matrix.T
-                i, j = np.nonzero(s >= threshold - 1e-12)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j])], ["a", "b", "similarity"])
-
-        part = dealt.mapInArrow(run, f"a {kind}, b {kind}, similarity double").where("a < b")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(a, b, similarity) with a < b and a cosine of at least threshold; all rows against all, in pairs of blocks of bounded size."""
+    own = rows.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    kind = own.schema["id"].dataType.simpleString()
+
+    empty = _empty({"a": own.schema["id"], "b": own.schema["id"]})
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return empty
+        x, y = _matrix(a.column("v")), _matrix(b.column("v"))
+        left, right, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for at in range(0, len(x), 1024) if len(y) else ():
+            s = x[at : at + 1024] @ y.T
+            i, j = np.nonzero(s >= threshold - 1e-12)
+            left.append(i + at), right.append(j), values.append(s[i, j])
+        return pa.table([a.column("id").combine_chunks().take(pa.array(np.concatenate(left))), b.column("id").combine_chunks().take(pa.array(np.concatenate(right))), pa.array(np.concatenate(values))], ["a", "b", "similarity"])
+
+    return _block_pairs(own, own, compare, f"a {kind}, b {kind}, similarity double").where("a < b")
 
 
 def candidate_similarity(needs: DataFrame, items: DataFrame, need_cols: dict[str, str], item_vec: str, pairs: DataFrame) -> DataFrame:
@@ -93,11 +106,7 @@ def candidate_similarity(needs: DataFrame, items: DataFrame, need_cols: dict[str
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root): the least id that each can reach. Labels take the least neighbour's and then their label's label; each round is cut off by a checkpoint."""
-    sc = edges.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"checkpoints-{uuid.uuid4().hex[:8]}"))
+    shared_dir(edges.sparkSession)
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     e = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")).checkpoint()

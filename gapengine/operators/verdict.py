@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,3 +63,28 @@ def tuned(rows: DataFrame, lows: list[float], highs: list[float], folds: int = 5
     picked = others.withColumn("k", F.row_number().over(W.partitionBy("fold").orderBy(*order))).where("k = 1")
     fold = picked.agg(F.round(F.sum("right") / F.sum("n"), 6).alias("fold_accuracy"))
     return out.crossJoin(F.broadcast(fold)).select("low", "high", "accuracy", "fold_accuracy", "rank")
+
+
+def adjudicated(matches: DataFrame, adjudicate: Callable[[dict], dict | None], low: float = LOW, high: float = HIGH) -> DataFrame:
+    """matches with the verdicts that adjudicate gives for ambiguous rows: low <= similarity < high, not a matter of framing.
+
+    adjudicate takes a row (need_id, item_id, latent_need, jtbd_statement, full, similarity, verdict) as a dict and returns {verdict, item_id, quote} or None. An answer counts only if its
+    verdict is one of IGNORED, UNDER-PRIORITIZED and COVERED, its item is the row's, its quote stands in the item's text word for word and it doesn't call a closed item covered; others are passed over.
+    Rows are asked about where they are, a batch at a time; adjudicate must be a function that workers can import or unpickle.
+    """
+    ambiguous = (F.col("similarity") >= low) & (F.col("similarity") < high) & ~F.col("is_misunderstood") & F.col("item_id").isNotNull()
+    asked = ("need_id", "item_id", "latent_need", "jtbd_statement", "full", "similarity", "verdict", "closed")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            answers = []
+            for row in f.to_dict("records"):
+                got = adjudicate({k: row[k] for k in asked if k != "closed"}) or {}
+                named = got.get("verdict")
+                fine = named in ("IGNORED", "UNDER-PRIORITIZED", "COVERED") and got.get("item_id") == row["item_id"] and bool(got.get("quote")) and got["quote"] in (row["full"] or "") and not (named == "COVERED" and row["closed"])
+                answers.append(named if fine else None)
+            yield pd.DataFrame({"need_id": f["need_id"], "adjudicated_verdict": pd.Series(answers, index=f.index, dtype=object)})
+
+    told = matches.where(ambiguous).select(*asked).mapInPandas(run, "need_id string, adjudicated_verdict string")
+    out = matches.join(told, "need_id", "left")
+    return out.withColumn("verdict", F.coalesce("adjudicated_verdict", "verdict")).drop("adjudicated_verdict")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +75,39 @@ def worse(before: Column, proposed: Column) -> Column:
     """A critic may only raise the severity."""
     rank = lambda c: F.when(c == "UNSUPPORTED", 2).when(c == "WEAK", 1).otherwise(0)
     return F.when(proposed.isNotNull() & (rank(proposed) > rank(before)), proposed).otherwise(before)
+
+
+def item_quotes(gaps: DataFrame, items: DataFrame) -> DataFrame:
+    """(gap_id, id, kind, quote, source, start, end) of the backlog quotes of gaps(id, item_id, roadmap_quote). The source is the item's four parts in lines of their own, blank ones too, as offsets count them."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    source = F.concat_ws("\n", part(F.col("title")), part(F.col("body")), part(F.array_join("labels", " ")), part(F.col("milestone")))
+    told = items.select(F.col("id").alias("item_id"), source.alias("source"))
+    none = F.lit(None).cast("int")
+    return gaps.where("item_id is not null and trim(coalesce(roadmap_quote, '')) <> ''").select(F.col("id").alias("gap_id"), "item_id", F.col("roadmap_quote").alias("quote")).join(told, "item_id").select("gap_id", F.col("item_id").alias("id"), F.lit("item").alias("kind"), "quote", "source", none.alias("start"), none.alias("end"))
+
+
+def verified_spans(reports: DataFrame) -> DataFrame:
+    """(gap_id, id, span): of each gap and signal the last valid report's span; reports(gap_id, id, kind, valid, found_span, position)."""
+    ok = reports.where("valid and id is not null and found_span is not null and kind = 'signal'")
+    return ok.groupBy("gap_id", "id").agg(F.max_by("found_span", "position").alias("span"))
+
+
+def criticised(gaps: DataFrame, critic: Callable[[dict], dict | None]) -> DataFrame:
+    """gaps with the critique that critic proposes where that is worse; the ids that it cites must all be the gap's own, else its answer is passed over.
+
+    critic takes (id, latent_need, verdict, critique, signal_ids) as a dict and returns {critique, cited} or None.
+    """
+    asked = ("id", "latent_need", "verdict", "critique", "signal_ids")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            answers = []
+            for row in f.to_dict("records"):
+                row["signal_ids"] = list(row["signal_ids"])
+                got = critic(row) or {}
+                fine = got.get("critique") in ("DEFENSIBLE", "WEAK", "UNSUPPORTED") and set(got.get("cited") or ()) <= set(row["signal_ids"])
+                answers.append(got["critique"] if fine else None)
+            yield pd.DataFrame({"id": f["id"], "proposed": pd.Series(answers, index=f.index, dtype=object)})
+
+    told = gaps.select(*asked).mapInPandas(run, "id string, proposed string")
+    return gaps.join(told, "id", "left").withColumn("critique", worse(F.col("critique"), F.col("proposed"))).drop("proposed")

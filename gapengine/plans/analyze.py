@@ -1,4 +1,7 @@
-"""The whole analysis: signals and backlog in, ranked and verified gaps out, as one chain of DataFrames."""
+"""The whole analysis: signals and backlog in, ranked and verified gaps out, as one chain of DataFrames.
+
+What several later steps read is written to the run's tables, so each plan begins at a scan and no step is computed twice.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapengine.functions import numbers, text, udfs
+from gapengine.functions.shared import Tables
 from gapengine.lexicon import DEFAULT, Lexicon
+from gapengine.plans import guards
 from gapengine.operators import clustering, confidence, evidence, framing, needs, priority, rank, similarity, verdict, verify
 
 
@@ -27,87 +32,99 @@ class Config:
     weights: dict[str, float] = field(default_factory=lambda: dict(confidence.WEIGHTS))
 
 
-def infer_needs(signals: DataFrame, config: Config, embed: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def infer_needs(signals: DataFrame, config: Config, embed: Callable | None = None, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
     """Needs (id, latent_need, jtbd_statement, symptom, signal_ids, kano_class, importance, satisfaction, opportunity_score, …) and the members (id, need_id, …).
 
-    signals(id, text, source, rating, timestamp). Clusters are nameable by the lexicon's domains or they are dropped.
+    signals(id, text, source, rating, timestamp). Clusters are nameable by the lexicon's domains or they are dropped. Needs come with the highest opportunity first, ties by id.
     """
+    tables = tables or Tables(signals.sparkSession, "needs")
     spark, lex = signals.sparkSession, config.lexicon
     embed = embed or (lambda c: udfs.hash_embed(c, config.dimensions))
     total = signals.count()
     kept, _ = needs.friction_split(needs.sentiment(signals, lex), lex)
-    kept = kept.withColumn("vec", embed(F.col("text"))).persist()
-    labels = clustering.clustered(kept, "id", "vec").withColumnRenamed("cluster", "cluster_no")
+    kept = tables.keep(kept.withColumn("vec", embed(F.col("text"))), "kept")
+    labels = tables.keep(clustering.clustered(kept, "id", "vec"), "clusters").withColumnRenamed("cluster", "cluster_no")
     members = kept.join(labels, "id")
     sizes = members.groupBy("cluster_no").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= needs.adaptive_minimum(config.min_cluster, total))
-    members = needs.capped(members.join(sizes.select("cluster_no"), "cluster_no"), "cluster_no", "id", config.max_members).persist()
+    members = tables.keep(needs.capped(members.join(sizes.select("cluster_no"), "cluster_no"), "cluster_no", "id", config.max_members), "members")
     domains = lex.domain_words(spark)
-    matches = needs.domain_match(members, domains, "cluster_no")
-    aspects = needs.cluster_aspects(members, "cluster_no", stop=lex.stop)
+    matches = tables.keep(needs.domain_match(members, domains, "cluster_no"), "matches")
+    aspects = tables.keep(needs.cluster_aspects(members, "cluster_no", stop=lex.stop), "aspects")
     drop = needs.unnameable(sizes.select("cluster_no"), matches, aspects, domains, "cluster_no", lex.weak)
-    named = members.join(drop, "cluster_no", "left_anti")
+    named = tables.keep(members.join(drop, "cluster_no", "left_anti"), "named")
     top = aspects.groupBy("cluster_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "aspect"))), lambda x: x["aspect"]).alias("aspects"))
     templates = spark.createDataFrame([(d, title, job) for d, (title, job) in lex.templates.items()], "domain string, title string, job string")
     frame = named.select("cluster_no").distinct().join(matches.select("cluster_no", "domain"), "cluster_no", "left").join(templates, "domain", "left").join(top, "cluster_no", "left")
-    first = F.element_at("aspects", 1)
+    first = F.try_element_at("aspects", F.lit(1))
     frame = frame.select("cluster_no", "domain", F.coalesce("title", F.concat(F.lit("Recurring problem with "), first)).alias("latent_need"), F.coalesce("job", F.concat(F.lit("When I deal with "), first, F.lit(", I want it to go well"))).alias("jtbd_statement"), F.coalesce("aspects", F.array().cast("array<string>")).alias("aspects"))
     kano = needs.kano(named, "cluster_no").select("cluster_no", "kano_class", "negative_share")
-    ground = needs.grounded(named, matches, domains, "cluster_no").persist()
+    ground = tables.keep(needs.grounded(named, matches, domains, "cluster_no"), "grounded")
     # one need for each domain or title: clusters that are framed alike share it
     ids = ground.groupBy("cluster_no").agg(F.array_sort(F.collect_list("id")).alias("signal_ids"), F.min_by("text", "id").alias("symptom"))
     score = needs.scored(ground, "cluster_no", total)
-    base = frame.join(ids, "cluster_no").join(kano, "cluster_no").join(score, "cluster_no").withColumn("id", text.ids_id("N", F.col("signal_ids")))
-    vectors = base.select("id", embed(F.concat_ws("\n", "latent_need", "jtbd_statement")).alias("v"))
+    base = tables.keep(frame.join(ids, "cluster_no").join(kano, "cluster_no").join(score, "cluster_no").withColumn("id", text.ids_id("N", F.col("signal_ids"))), "base")
+    vectors = tables.keep(base.select("id", embed(F.concat_ws("\n", "latent_need", "jtbd_statement")).alias("v")), "vectors")
     roots = similarity.components(similarity.redundant_pairs(vectors, config.merge_at, "id", "v"))
     merged = needs.merged(base.select("id", "latent_need", F.col("opportunity").alias("opportunity"), "signal_ids", "aspects", F.lit(1.0).alias("self_consistency"), F.lit(0).cast("long").alias("failures")), roots)
     lead = base.select("id", "jtbd_statement", "symptom", "kano_class", "negative_share", "domain")
     joined = merged.join(lead, "id").withColumn("lead_id", F.col("id"))
-    joined = joined.withColumn("need_id", text.ids_id("N", F.col("signal_ids")))
-    own = joined.select("need_id", F.explode("signal_ids").alias("id")).join(kept.drop("vec"), "id")
+    joined = tables.keep(joined.withColumn("need_id", text.ids_id("N", F.col("signal_ids"))), "joined")
+    own = tables.keep(joined.select("need_id", F.explode("signal_ids").alias("id")).join(kept.drop("vec"), "id"), "need_members")
     rescored = needs.scored(own, "need_id", total)
     scope = needs.temporal_scope(own, "need_id")
     out = joined.drop("id", "lead_id").join(rescored, "need_id").join(scope, "need_id")
     out = out.select(F.col("need_id").alias("id"), "latent_need", "jtbd_statement", "symptom", "signal_ids", "aspects", "kano_class", "domain", F.round("importance", 6).alias("importance"), F.round("satisfaction", 6).alias("satisfaction"), F.round("opportunity", 6).alias("opportunity_score"), "support", "mean_intensity", "self_consistency", "merged_from", "evidence_start", "evidence_end")
-    return out.persist(), own
+    return tables.keep(out, "needs").orderBy(F.desc("opportunity_score"), "id"), own
+
 
+def detect_gaps(need: DataFrame, items: DataFrame, config: Config, embed: Callable | None = None, as_of=None, keep_covered: bool = False, tables: Tables | None = None, adjudicate: Callable | None = None) -> DataFrame:
+    """A row for each need: its matched item, similarity, framing, priority, verdict and stability, highest opportunity first. items as operators.ingest.roadmap() gives them.
 
-def detect_gaps(need: DataFrame, items: DataFrame, config: Config, embed: Callable | None = None, as_of=None, keep_covered: bool = False) -> DataFrame:
-    """A row for each need: its matched item, similarity, framing, priority, verdict and stability. items as operators.ingest.roadmap() gives them."""
+    adjudicate: see operators.verdict.adjudicated(); without it the thresholds decide alone.
+    """
+    tables = tables or Tables(need.sparkSession, "gaps")
     embed = embed or (lambda c: udfs.hash_embed(c, config.dimensions))
     stop = sorted(config.lexicon.stop)
     whole = text.joined_text(F.col("title"), F.col("body"), F.array_join("labels", " "), F.col("milestone"))
-    backlog = items.withColumn("full", whole).withColumn("vec", embed(F.col("full"))).withColumn("terms", text.framing_terms(F.col("full"), stop)).persist()
+    backlog = items.withColumn("full", whole).withColumn("vec", embed(F.col("full"))).withColumn("terms", text.framing_terms(F.col("full"), stop))
+    backlog = tables.keep(backlog, "backlog")
     latent = text.joined_text(F.col("latent_need"), F.col("jtbd_statement"))
     side = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col("latent_need"))
-    own = need.withColumn("vec", embed(latent)).withColumn("symptom_terms", text.framing_terms(side("symptom"), stop)).withColumn("job_terms", text.framing_terms(side("jtbd_statement"), stop)).persist()
-    pool = similarity.top_k(own, backlog, framing.POOL, "id", "id", "vec", "vec").select(F.col("query_id").alias("need_id"), "item_id", "similarity", F.col("rank").alias("pool_rank")).persist()
+    own = need.withColumn("vec", embed(latent)).withColumn("symptom_terms", text.framing_terms(side("symptom"), stop)).withColumn("job_terms", text.framing_terms(side("jtbd_statement"), stop))
+    own = tables.keep(own, "own")
+    pool = tables.keep(similarity.top_k(own, backlog, framing.POOL, "id", "id", "vec", "vec").select(F.col("query_id").alias("need_id"), "item_id", "similarity", F.col("rank").alias("pool_rank")), "pool")
     df = framing.document_frequency(backlog)
     named = own.select(F.col("id").alias("need_id"), "symptom_terms", "job_terms")
-    probe = framing.probes(named, df, backlog.count()).persist()
+    probe = tables.keep(framing.probes(named, df, backlog.count()), "probes")
     item_terms = backlog.select(F.col("id").alias("item_id"), F.explode("terms").alias("term"))
-    frames = framing.verdicts(named, probe, framing.best_items(framing.coverage(probe, item_terms, pool.select("need_id", "item_id", "pool_rank"))))
+    frames = tables.keep(framing.verdicts(named, probe, framing.best_items(framing.coverage(probe, item_terms, pool.select("need_id", "item_id", "pool_rank")))), "framings")
     first = pool.where("pool_rank = 1").select("need_id", F.col("item_id").alias("top_item"))
     m = own.select(F.col("id").alias("need_id"), "vec", "latent_need", "jtbd_statement", "signal_ids", "opportunity_score", "kano_class", "self_consistency").join(frames, "need_id").join(first, "need_id", "left")
     m = m.withColumn("item_id", F.when(F.col("is_misunderstood"), F.col("symptom_item")).otherwise(F.col("top_item")))
     when = F.lit(as_of).cast("timestamp") if as_of is not None else F.col("snapshot")
     low = priority.low_reasons(F.col("priority"), F.col("milestone"), F.col("milestone_due"), F.col("created_at"), F.col("state"), when)
     told = backlog.crossJoin(F.broadcast(evidence.snapshot_time(items))).select(F.col("id").alias("item_id"), F.col("vec").alias("item_vec"), F.col("title").alias("item_title"), "full", "state", low.alias("low_reasons"))
-    m = m.join(told, "item_id", "left")
+    m = tables.keep(m.join(told, "item_id", "left"), "matched")
     m = m.withColumn("similarity", F.coalesce(numbers.clip(numbers.cosine(F.col("vec"), F.col("item_vec"))), F.lit(0.0))).withColumn("is_low", F.coalesce(F.size("low_reasons") > 0, F.lit(False))).withColumn("closed", F.coalesce(F.col("state") == "closed", F.lit(False)))
     v = verdict.guarded(verdict.verdict(F.col("is_misunderstood"), F.col("similarity"), F.col("is_low"), config.low, config.high), F.col("closed"))
     s = verdict.stability(F.col("is_misunderstood"), F.col("similarity"), F.col("is_low"), F.col("symptom_coverage"), F.col("job_coverage"), F.col("closed"), config.low, config.high)
-    m = m.withColumn("verdict", v).withColumn("stability", s)
+    m = tables.keep(m.withColumn("verdict", v).withColumn("stability", s), "verdicts")
+    if adjudicate:
+        m = tables.keep(verdict.adjudicated(m, adjudicate, config.low, config.high), "adjudicated")
     hit_terms = probe.where("side = 'symptom'").groupBy("need_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("o"), "term"))), lambda x: x["term"]).alias("probe_terms"))
     m = m.join(hit_terms, "need_id", "left").withColumn("roadmap_quote", framing.quote(F.col("full"), F.col("item_title"), F.coalesce("probe_terms", F.array().cast("array<string>"))))
     out = m.select(evidence.gap_id(F.col("need_id"), F.coalesce("item_id", F.lit("")), F.col("verdict")).alias("id"), "need_id", "item_id", "latent_need", "jtbd_statement", "kano_class", "verdict", F.round("similarity", 6).alias("similarity"), "signal_ids", "opportunity_score", "self_consistency", "eligible", "symptom_coverage", "job_coverage", "is_low", "closed", "stability", "item_title", "roadmap_quote", F.col("full").alias("item_text"))
-    return out if keep_covered else out.where("verdict <> 'COVERED'")
+    out = tables.keep(out if keep_covered else out.where("verdict <> 'COVERED'"), "gaps")
+    return out.orderBy(F.desc("opportunity_score"), "id")
 
 
-def score_gaps(gaps: DataFrame, signals: DataFrame, config: Config, embed: Callable | None = None) -> DataFrame:
-    """Gaps with the features, the evidence score, dissent and the weakest assumption."""
+def score_gaps(gaps: DataFrame, signals: DataFrame, config: Config, embed: Callable | None = None, tables: Tables | None = None) -> DataFrame:
+    """Gaps with the features, the evidence score, dissent, the weakest assumption, their evidence's time scope and a status text."""
+    tables = tables or Tables(gaps.sparkSession, "scores")
     embed = embed or (lambda c: udfs.hash_embed(c, config.dimensions))
     told = needs.sentiment(signals, config.lexicon).select(F.col("id").alias("signal_id"), "source", F.when(F.col("rating").isNotNull(), confidence.signal_sentiment(F.lit(None).cast("double"), F.col("rating"))).otherwise(F.col("sentiment")).alias("sentiment"), "timestamp", embed(F.col("text")).alias("vec"))
-    cited = gaps.select(F.col("id").alias("gap_id"), F.explode(F.array_distinct("signal_ids")).alias("signal_id")).join(told, "signal_id", "left").withColumn("resolved", F.col("source").isNotNull()).persist()
+    cited = gaps.select(F.col("id").alias("gap_id"), F.explode(F.array_distinct("signal_ids")).alias("signal_id")).join(told, "signal_id", "left").withColumn("resolved", F.col("source").isNotNull())
+    cited = tables.keep(cited, "cited")
     feats = confidence.features(cited)
     coh = similarity.cohesion(cited.where("resolved"), "gap_id", "vec").select("gap_id", F.col("cohesion").alias("coh"))
     against = confidence.counterevidence(cited).select("gap_id", F.col("share").alias("dissent"))
@@ -115,41 +132,69 @@ def score_gaps(gaps: DataFrame, signals: DataFrame, config: Config, embed: Calla
     out = out.withColumn("agree", confidence.agreement(F.col("resolved"), F.lit(0))).withColumn("coh", F.coalesce("coh", F.lit(0.5)))
     out = out.withColumn("raw", confidence.evidence_score(weights=config.weights))
     weak = confidence.weakest_assumption(F.col("stability.gate"), F.col("stability.margin"), config.low, F.coalesce("dissent", F.lit(0.0)), F.col("coh"), F.col("eligible"), F.col("vol"))
-    return out.withColumn("weakest", weak).withColumnRenamed("gap_id", "id")
+    scope = cited.where("resolved").groupBy("gap_id").agg(F.min("timestamp").alias("evidence_start"), F.max("timestamp").alias("evidence_end"))
+    status = F.concat(F.lit("raw evidence score, not calibrated; "), F.coalesce(F.col("cited").cast("string"), F.lit("0")), F.lit(" signals cited"))
+    out = out.withColumn("weakest", weak).withColumn("confidence_status", status).join(scope, "gap_id", "left")
+    return tables.keep(out.withColumnRenamed("gap_id", "id"), "scored")
 
 
-def verify_gaps(gaps: DataFrame, signals: DataFrame, need: DataFrame, items: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """Gaps that aren't unsupported, with a critique, and the report of each quote."""
+def verify_gaps(gaps: DataFrame, signals: DataFrame, need: DataFrame, items: DataFrame, config: Config, tables: Tables | None = None, critic: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """Gaps that aren't unsupported, with a critique, and the report of each quote of a signal or (kind item) of the backlog.
+
+    critic: see operators.verify.criticised(); it can only raise a severity.
+    """
+    tables = tables or Tables(gaps.sparkSession, "verification")
     named = gaps.select(F.col("id").alias("gap_id"), "need_id", "item_id", "signal_ids", "verdict", F.col("signal_ids").alias("quote_ids"))
     ev = evidence.evidence(named.select("gap_id", "signal_ids"), signals)
     quotes = ev.select("gap_id", F.inline("quotes")).join(signals.select("id", F.col("text").alias("source")), "id").select("gap_id", "id", F.col("span").alias("quote"), "source", F.lit(0).alias("start"), F.length("span").alias("end"))
-    reports = verify.verified_quotes(quotes, config.fuzzy).persist()
+    planned = verify.item_quotes(gaps, items)
+    quotes = quotes.select("gap_id", "id", F.lit("signal").alias("kind"), "quote", "source", "start", "end").unionByName(planned)
+    reports = tables.keep(verify.canonicalised(verify.verified_quotes(quotes, config.fuzzy)), "reports")
     issues = verify.reference_issues(named, signals, need, items).groupBy("gap_id").agg(F.count("*").alias("issues"))
-    valid = reports.groupBy("gap_id").agg(F.count_if("valid").alias("valid_quotes"), F.count("*").alias("checked_quotes"))
+    of_signals = F.col("kind") == "signal"
+    valid = reports.groupBy("gap_id").agg(F.count_if(F.col("valid") & of_signals).alias("valid_quotes"), F.count_if(of_signals).alias("checked_quotes"), F.count_if(~of_signals & ~F.col("valid")).alias("bad_item_quotes"))
     out = gaps.join(issues.withColumnRenamed("gap_id", "id"), "id", "left").join(valid.withColumnRenamed("gap_id", "id"), "id", "left")
-    out = out.withColumn("critique", verify.critique(F.coalesce("issues", F.lit(0)), F.size(F.array_distinct("signal_ids")), F.coalesce("valid_quotes", F.lit(0)), F.col("verdict"), F.col("item_id")))
+    out = out.withColumn("critique", verify.critique(F.coalesce("issues", F.lit(0)) + F.coalesce("bad_item_quotes", F.lit(0)), F.size(F.array_distinct("signal_ids")), F.coalesce("valid_quotes", F.lit(0)), F.col("verdict"), F.col("item_id")))
+    out = tables.keep(out, "critiqued")
+    if critic:
+        out = tables.keep(verify.criticised(out, critic), "criticised")
     return out.where("critique <> 'UNSUPPORTED'"), reports
 
 
 @dataclass
 class Result:
+    """The tables of a run. release() deletes them; until then they can be read as often as needed."""
+
     needs: DataFrame
     gaps: DataFrame
     ranked: DataFrame
     reports: DataFrame
     manifest: dict
+    tables: Tables
+
+    def release(self) -> None:
+        self.tables.release()
 
 
-def analyze(signals: DataFrame, items: DataFrame, config: Config | None = None, embed: Callable | None = None, as_of=None, calibrate: Callable[[DataFrame], DataFrame] | None = None) -> Result:
-    """needs, gaps, scores, calibration (a function that adds confidence to scored gaps, optional), verification, ranking and a manifest of counts."""
+def analyze(
+    signals: DataFrame, items: DataFrame, config: Config | None = None, embed: Callable | None = None, as_of=None, calibrate: Callable[[DataFrame], DataFrame] | None = None, adjudicate: Callable | None = None, critic: Callable | None = None,
+) -> Result:
+    """needs, gaps, scores, calibration (a function that adds confidence to scored gaps, optional), verification, ranking and a manifest of counts.
+
+    An empty backlog, and signals or items with empty or repeated ids, are errors.
+    """
     config = config or Config()
-    need, _ = infer_needs(signals, config, embed)
-    gaps = score_gaps(detect_gaps(need, items, config, embed, as_of), signals, config, embed)
-    verified, reports = verify_gaps(gaps, signals, need, items, config)
+    guards.unique_ids(signals, "signals")
+    guards.unique_ids(items, "items")
+    if items.isEmpty():
+        raise ValueError("there is no backlog to compare with")
+    tables = Tables(signals.sparkSession, "analysis")
+    need, _ = infer_needs(signals, config, embed, tables)
+    gaps = score_gaps(detect_gaps(need, items, config, embed, as_of, tables=tables, adjudicate=adjudicate), signals, config, embed, tables)
+    verified, reports = verify_gaps(gaps, signals, need, items, config, tables, critic)
     rows = verified.withColumnRenamed("latent_need", "title").withColumnRenamed("opportunity_score", "opportunity").withColumn("evidence", F.size(F.array_distinct("signal_ids")))
-    ranked = rank.ranked(calibrate(rows), config.top_k) if calibrate else rank.ranked_uncalibrated(rows, config.top_k)
-    ranked = ranked.persist()
+    ranked = tables.keep(rank.ranked(calibrate(rows), config.top_k) if calibrate else rank.ranked_uncalibrated(rows, config.top_k), "ranked")
     n = ranked.count()
     assigned = rank.assignment(signals, need).first()
     manifest = {"signals": assigned.signals, "assigned_signals": assigned.assigned, "unassigned_signals": assigned.unassigned, "needs": need.count(), "gaps": gaps.count(), "verified": verified.count(), "ranked": n, "shortfall": rank.shortfall(config.top_k, n), "calibrated": calibrate is not None}
-    return Result(need, gaps, ranked, reports, manifest)
+    return Result(need, gaps, ranked, reports, manifest, tables)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapengine.functions import numbers, text, udfs
 from gapengine.lexicon import Lexicon
 from gapengine.operators import audit, calibration, clustering, confidence, evidence, framing, ingest, labeling, needs, priority, rank, report, similarity, verdict, verify
+from gapengine.plans import analyze
 
 #: Function words of the tables' invented languages stand in for sentiment and domain words, so that the operators have something to find.
 LEXICON = Lexicon(positive=frozenset({"is", "was"}), negative=frozenset({"that", "with"}), intense=frozenset({"for"}), friction=frozenset({"by"}), phrases=("thshe", "the of"))
@@ -582,6 +584,31 @@ def q75_worklist_drift(spark, sf):
     return labeling.drift(work, now, "o_orderkey", ["o_orderstatus", "o_orderpriority"]).groupBy("stale", "drifted").agg(F.count("*").alias("n"))
 
 
+def q76_pool_coverage(spark, sf):
+    """Coverage within a pool: of a turn, the first ten documents by id of the source whose number is the conversation's modulo 20."""
+    own, docs, probe = probe_parts(spark, sf)
+    d = t(spark, sf, "documents")
+    rank = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    top = d.select("source", F.col("doc_id").alias("item_id"), rank.alias("pool_rank")).where("pool_rank <= 10")
+    pool = own.select("need_id", F.concat(F.lit("src"), F.substring_index("need_id", ":", 1).cast("long") % 20).alias("source")).join(top, "source").select("need_id", "item_id", "pool_rank")
+    return framing.best_items(framing.coverage(probe, docs.select("item_id", F.explode("terms").alias("term")), pool))
+
+
+def q77_analysis(spark, sf):
+    """The whole analysis: users' turns as signals, benchmark items as the backlog."""
+    c, b = t(spark, sf, "conversations"), t(spark, sf, "benchmark")
+    s = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("turns").alias("source"), "text", as_of().alias("timestamp"), (1.0 + F.col("conv_id") % 5).alias("rating"))
+    none = lambda kind: F.lit(None).cast(kind)
+    issues = b.select(
+        F.col("item_id").cast("int").alias("number"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"), F.when(F.col("item_id") % 3 == 0, "closed").otherwise("open").alias("state"), none("string").alias("state_reason"), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("P3"))).otherwise(F.array().cast("array<string>")).alias("labels"),
+        none("string").alias("milestone"), none("int").alias("milestone_number"), none("timestamp").alias("milestone_due"), as_of().alias("created_at"), as_of().alias("updated_at"), none("timestamp").alias("closed_at"), none("string").alias("html_url"), none("string").alias("pull_request"),
+    )
+    milestones = spark.createDataFrame([], "number int, title string, body string, state string, due timestamp, created_at timestamp, updated_at timestamp, closed_at timestamp, html_url string")
+    lexicon = Lexicon(negative=LEXICON.negative, positive=LEXICON.positive, domains={d: frozenset(w) for d, w in DOMAINS.items()}, templates={d: (f"Needs of {d}", f"When {d} matters") for d in DOMAINS})
+    result = analyze.analyze(s, ingest.roadmap(issues, milestones, "owner/name", as_of()), analyze.Config(low=0.1, high=0.6, lexicon=lexicon), as_of=AS_OF)
+    return result.ranked.select("id", "title", "verdict", "critique", "score", "rank")
+
+
 def flagship(spark, sf):
     """Adjacent turns as needs, documents as the backlog: probes, coverage, verdicts, stability, unique titles and rank."""
     own, docs, probe = probe_parts(spark, sf)

@@ -177,6 +177,13 @@ SQL = {
     "q26_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({terms('text')}) AS term FROM documents) GROUP BY 1",
     "q27_probes": f"WITH {PROBES} SELECT need_id, side, term, round(idf, 6) AS idf, kk::INTEGER AS k FROM probes",
     "q28_coverage": f"WITH {BEST} SELECT need_id, side, item_id, coverage FROM best",
+    "q76_pool_coverage": f"""WITH {PROBES}, mass AS (SELECT need_id, side, sum(idf) AS mass FROM probes WHERE kk >= 3 GROUP BY 1, 2),
+        top AS (SELECT * FROM (SELECT source, doc_id AS item_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pool_rank FROM documents) WHERE pool_rank <= 10),
+        pool AS (SELECT need_id, item_id, pool_rank FROM turns t JOIN top ON source = 'src' || (t.need_id.split(':')[1]::BIGINT % 20)),
+        got AS (SELECT p.need_id, side, item_id, any_value(pool_rank) AS pool_rank, sum(idf) AS got FROM probes p JOIN pool USING (need_id) JOIN item_terms USING (item_id, term) WHERE kk >= 3 GROUP BY 1, 2, 3)
+        SELECT need_id, side, item_id, coverage FROM (
+          SELECT need_id, side, item_id, round(got / mass, 6) AS coverage, row_number() OVER (PARTITION BY need_id, side ORDER BY round(got / mass, 6) DESC, pool_rank) AS k FROM got JOIN mass USING (need_id, side)
+        ) WHERE k = 1""",
     "q29_framing_verdict": f"""WITH {BEST}, v AS (SELECT z.need_id, z.kk >= 3 AS eligible, s.item_id AS symptom_item, coalesce(s.coverage, 0.0)::DOUBLE AS symptom_coverage, coalesce(j.coverage, 0.0)::DOUBLE AS job_coverage FROM sizes z LEFT JOIN best s ON s.need_id = z.need_id AND s.side = 'symptom' LEFT JOIN best j ON j.need_id = z.need_id AND j.side = 'job')
         SELECT *, eligible AND symptom_coverage >= 0.5 AND job_coverage < 0.5 AND round(symptom_coverage - job_coverage, 6) >= 0.1 AS is_misunderstood FROM v""",
     "q30_verdict_tree": f"WITH {MATCHED} SELECT id, item_id, similarity, {VERDICT} AS verdict FROM m",

@@ -60,10 +60,10 @@ def records(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] =
     """
     if path.endswith((".jsonl", ".ndjson")):
         return spark.read.schema(schema).json(path)
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("t"))
     bare = F.from_json("t", f"array<struct<{_struct(schema)}>>")
     wrapped = [F.from_json("t", f"struct<`{k}`: array<struct<{_struct(schema)}>>>")[k] for k in keys]
-    is_list = F.ltrim(F.regexp_replace("t", "^\ufeff", "")).startswith("[")
+    is_list = F.ltrim("t").startswith("[")
     found = F.when(is_list, bare).otherwise(F.coalesce(*wrapped) if wrapped else F.lit(None))
     return text.select(F.inline(found))
 

@@ -20,7 +20,7 @@ from gapengine.functions.numbers import parse_datetime
 USER = "struct<title:string,number:int,due_on:string>"
 ISSUE = f"number int, title string, body string, state string, state_reason string, labels array<string>, milestone {USER}, created_at string, updated_at string, closed_at string, html_url string, pull_request string"
 MILESTONE = "number int, title string, description string, state string, created_at string, updated_at string, closed_at string, due_on string, html_url string"
-MAX_PAGES, MAX_ITEMS = 200, 50_000
+MAX_PAGES, MAX_ITEMS, MAX_BYTES = 1_000, 100_000, 256 << 20
 
 
 def label_text(labels) -> list[str]:
@@ -77,6 +77,34 @@ def next_page(link: str | None) -> str | None:
     return None
 
 
+def rate_limited(status: int, headers: dict) -> str | None:
+    """What to tell the user of an answer that a rate limit caused; None of other answers."""
+    if status not in (403, 429) or (headers.get("x-ratelimit-remaining") != "0" and "retry-after" not in headers):
+        return None
+    when = headers.get("retry-after") or headers.get("x-ratelimit-reset")
+    return f"the forge's rate limit is used up; try again {'after ' + when + ' s' if 'retry-after' in headers else 'at ' + str(when) if when else 'later'}, or with a token"
+
+
+def web_fetch(url: str, transport, token: str | None = None, origin: str | None = None) -> tuple[list[dict], str | None]:
+    """(records, Link header) of one page. transport(url, headers) -> (status, headers with lower-case names, body). The token goes to its own origin only."""
+    headers = {"accept": "application/json"}
+    if token and origin and urlsplit(url)[:2] == urlsplit(origin)[:2] and urlsplit(url).scheme == "https":
+        headers["authorization"] = f"Bearer {token}"
+    status, got, body = transport(url, headers)
+    if said := rate_limited(status, got):
+        raise PermissionError(said)
+    if status in (401, 403):
+        raise PermissionError("the forge doesn't accept the token")
+    if status != 200:
+        raise ValueError(f"the forge answered {status}")
+    if len(body) > MAX_BYTES:
+        raise ValueError("a page is too large")
+    rows = json.loads(body)
+    if not isinstance(rows, list):
+        raise ValueError("a page isn't a list")
+    return rows, got.get("link")
+
+
 def pages(fetch, url: str, max_pages: int = MAX_PAGES, max_items: int = MAX_ITEMS) -> Iterator[list[dict]]:
     """Pages of a listing. fetch(url) -> (records, Link header). Loops, other origins and too many pages or items are errors."""
     origin, seen, items = urlsplit(url)[:2], set(), 0

@@ -10,6 +10,7 @@ from gapengine.functions.text import valid_id
 PRIORITY = "struct<tier:string,score:double,is_low_priority:boolean,has_explicit_priority:boolean,reasons:array<string>,matched_labels:array<string>>"
 SIGNALS = "id string, source string, source_id string, text string, timestamp timestamp, rating double, package_name string, metadata struct<duplicate_count:int,deduplication:string,version_id:string>"
 ROADMAP = f"id string, type string, repository string, number int, title string, body string, state string, state_reason string, labels array<string>, milestone string, milestone_number int, milestone_due timestamp, created_at timestamp, updated_at timestamp, closed_at timestamp, html_url string, priority {PRIORITY}"
+#: The names of verdicts, kinds of needs, priority tiers and confidence features.
 VERDICTS = ("IGNORED", "UNDER-PRIORITIZED", "MISUNDERSTOOD", "COVERED")
 KANO = ("basic", "performance", "excitement")
 TIERS = ("critical", "high", "medium", "low", "backlog", "unspecified")
