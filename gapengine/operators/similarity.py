@@ -43,7 +43,9 @@ def _block_pairs(left: DataFrame, right: DataFrame, compare, schema: str) -> Dat
     n_left = _blocks(left, tasks)
     n_right = max(1, -(-right.count() // BLOCK))
     own = left.withColumns({"lb": F.pmod(F.xxhash64("id"), F.lit(n_left)), "rb": F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))})
-    other = right.withColumns({"rb": F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int"), "lb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long")))})
+    # the right side's columns are made anew: both sides may be one DataFrame
+    other = right.select(F.col("id").alias("i"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("lb"))
+    other = other.select(F.col("i").alias("id"), F.col("w").alias("v"), "lb", F.pmod(F.xxhash64("i"), F.lit(n_right)).cast("int").alias("rb"))
     return own.groupBy("lb", "rb").cogroup(other.groupBy("lb", "rb")).applyInArrow(compare, schema)
 
 
