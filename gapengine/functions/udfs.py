@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -118,6 +118,24 @@ def hash_embed(c: Column, size: int = 768) -> Column:
     return run(c)
 
 
+def model_embed(c: Column, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> Column:
+    """Embeddings of a model that the caller brings: load() runs once in each Python worker and returns texts -> matrix; rows are scaled to unit length, null texts are empty."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for s in batches:
+            texts = [x or "" for x in s.tolist()]
+            rows = []
+            for i in range(0, len(texts), batch):
+                x = np.asarray(encode(texts[i : i + batch]), np.float64)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                rows += list(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32))
+            yield pd.Series(rows, index=s.index, dtype=object)
+
+    return run(c)
+
+
 def best_span(quote: str | None, source: str | None, threshold: float) -> tuple[bool, float, int, int, str | None]:
     """The window of tokens, of two fewer to two more than the quote's, that is most like it; the earliest of equals. Valid from the threshold on.
 

@@ -110,3 +110,28 @@ def test_calibration_of_one_class_and_cross_fitting(spark):
     data = rows_of(spark, [(s := r.random(), r.random() < s) for _ in range(60)])
     got = calibration.cross_fitted(data, "id").collect()
     assert len(got) == 60 and {x.fold for x in got} == set(range(5)) and all(0 < x.p < 1 for x in got)
+
+
+def test_embedding_by_an_own_model(spark):
+    got = [r.v for r in spark.createDataFrame([("abc",), (None,)], "t string").select(udfs.model_embed(F.col("t"), lambda: lambda texts: np.array([[len(t), 4.0 * (len(t) > 0)] for t in texts])).alias("v")).collect()]
+    assert np.allclose(got, [[0.6, 0.8], [0, 0]])
+
+
+def test_model_client(tmp_path):
+    from gapengine.sources.model import Client, stub
+
+    schema = {"type": "object", "properties": {"verdict": {"enum": ["a", "b"]}, "n": {"type": "integer"}, "ids": {"type": "array"}}}
+    assert Client().ask("p", schema) == stub(schema) == {"verdict": "a", "n": 0, "ids": []}
+    said, waits = iter([RuntimeError("busy"), {"n": 1}, {"n": 2}]), []
+
+    def transport(prompt, schema):
+        x = next(said)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    client = Client(transport, tmp_path, wait=waits.append, clock=lambda: 0.0)
+    assert [client.ask("p", schema), client.ask("p", schema), client.ask("p", schema, sample=1)] == [{"n": 1}, {"n": 1}, {"n": 2}]
+    assert (client.calls, client.failures, waits) == (3, 1, [1.0])
+    with pytest.raises(StopIteration):
+        Client(transport, retries=0).ask("q", schema)
