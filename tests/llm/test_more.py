@@ -209,7 +209,7 @@ def model(docs, n, limit):
     """Probabilities by (a, b, w), and the rows that come out."""
     m, first = pitman_yor, [batch(docs)]
     counts = Counter()
-    for f in m.frequent(first):
+    for f in m.frequent(0.0)(first):
         for a, b, k in zip(*(f.column(i).to_pylist() for i in range(3)), strict=True):
             counts[a, b] += k
     key = lambda x: np.array(x, np.int64).view(np.uint64)
