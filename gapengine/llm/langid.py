@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gapengine.llm import common as c
 from gapengine.llm.url_filter import host_of
 
-#: Bound of the sample for the trigram model: documents of each language, those with the least md5 of doc_id.
+#: Bound of the sample for the trigram model: documents of each language, those with the least hash of doc_id.
 SAMPLE = 400
 TABLE = 1 << 16
 #: Trigrams overlap and follow from each other: a text speaks as loudly as this share of its trigrams would if they were independent.
@@ -64,10 +64,15 @@ class Profile:
 
 
 def train(docs: DataFrame) -> Profile:
-    """From at most SAMPLE documents of each language in documents(doc_id, text, lang). Ranks are cut before the exchange; only the picked texts come to the driver."""
+    """From at most SAMPLE documents of each language in documents(doc_id, text, lang), those with the least hashes of their ids. Only the picked texts come to the driver.
+
+    Rows whose hash is so low that about three times SAMPLE of their language are lower are ranked, and no others, so what a task ranks is bounded.
+    """
     rows = docs.where("lang is not null and lang <> '' and text is not null and doc_id is not null").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
-    picked = rows.select("lang", "doc_id").distinct().withColumn("k", rank).where(F.col("k") <= SAMPLE).select("lang", "doc_id")
+    own = rows.select("lang", "doc_id", c.uniform(F.col("doc_id")).alias("u"))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
+    low = own.join(sizes, "lang").where(F.col("u") * F.col("n") < 3 * SAMPLE).select("lang", "doc_id", "u").distinct()
+    picked = low.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("k") <= SAMPLE).select("lang", "doc_id")
     got = rows.join(F.broadcast(picked), ["lang", "doc_id"]).toLocalIterator()
     return Profile.fit(sorted((r.lang, r.text.encode()) for r in got))
 
