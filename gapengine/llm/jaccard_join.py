@@ -108,7 +108,8 @@ def shingled(n: int):
                 tok, doc = key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64)
                 size = np.bincount(doc, minlength=j - i)
                 sid = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(t)) for t in tokens), np.uint64, j - i)
-                rows = [(b, 0, d, s, k, None) for b, d, s, k in zip(_bucket(sid, n).tolist(), ids[i:j], _signed(sid), size.tolist(), strict=True)]
+                # documents are only passed on, so copies of a text needn't go to one bucket
+                rows = [(b, 0, d, s, k, None) for b, d, s, k in zip(((_bucket(sid, n) + np.arange(j - i, dtype=np.uint64)) % np.uint64(n)).tolist(), ids[i:j], _signed(sid), size.tolist(), strict=True)]
                 first = np.zeros(j - i, bool)  # copies in this chunk count once
                 first[np.unique(sid, return_index=True)[1]] = True
                 keep = first[doc]
