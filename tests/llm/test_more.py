@@ -349,3 +349,13 @@ def test_pipeline_keeps_columns_and_its_order(spark, tmp_path):
     assert Counter(r.doc_id for r in rows) == copies and {r.shard for r in rows} == set(range(8))
     components = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(kept).collect()}
     assert len(set(components.values())) == len(components)
+
+
+def test_quality_verdict_on_held_out_rows():
+    rows = duckdb.sql("SELECT d.doc_id, text, quality FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL ORDER BY md5(d.doc_id::VARCHAR)").fetchall()
+    held, learned = rows[::4], [r for k, r in enumerate(rows) if k % 4]
+    sample = [(t.encode(), q) for want, n in crf_quality.SAMPLE.items() for _, t, q in [r for r in learned if r[2] == want][:n]]
+    chain = crf_quality.fitted([t for t, _ in sample], [q for _, q in sample])
+    kept = np.concatenate([crf_quality.judge([t.encode() for _, t, _ in held[i : i + 256]], chain)["kept"] for i in range(0, len(held), 256)])
+    good = np.array([q == 1 for *_, q in held])
+    assert (kept == good).mean() >= 0.95 and kept[~good].mean() <= 0.02
