@@ -28,10 +28,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows of df as a table in the shared folder: its lineage ends here."""
+    def written(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """The rows of df as a table in the shared folder, in a folder for each value of parts: its lineage ends here."""
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
         self.paths[name] = [*self.paths.get(name, []), path]
         self.spark.sparkContext._jvm.System.gc()  # the context cleaner then removes the shuffle files of finished plans
         return self.spark.read.schema(df.schema).parquet(path)
@@ -42,6 +42,15 @@ class Scratch:
             removed(self.spark, path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the tables in the shared folder that an operator's result reads; the result is of no use any more."""
+    spark = df.sparkSession
+    top = shared_dir(spark)
+    folder = top.split(":", 1)[-1].rstrip("/")
+    for name in {f.split(folder + "/", 1)[1].split("/", 1)[0] for f in df.inputFiles() if folder + "/" in f}:
+        removed(spark, f"{top}/{name}")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapengine.llm import common as c
-from gapengine.llm import crf_quality, decontaminate, jaccard_join, langid, licenses, mixing, pitman_yor, sharding, toxicity, url_filter
+from gapengine.llm import ball_kmeans, crf_quality, decontaminate, jaccard_join, langid, licenses, line_runs, mixing, pitman_yor, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_license_scan, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_pitman_yor, op7_decontaminate, op8_vector_shards, op9_line_quality, op10_url_filter)
+    own = (op1_toxicity, op2_license_scan, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_pitman_yor, op7_decontaminate, op8_vector_shards, op9_line_quality, op10_url_filter, op12_line_runs, op13_ball_kmeans)
     return {f.__name__: f for f in own}
 
 
@@ -137,5 +146,45 @@ FROM fits f LEFT JOIN alias a ON f.node = a.v WHERE f.k = 1
 """
 
 
+LINES_SQL = """
+WITH
+l AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+),
+r AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.doc_id, l.pos, l.line, r.key IS NOT NULL AND l.doc_id <> r.last AS goes FROM l LEFT JOIN r USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def kmeans_sql(k: int = ball_kmeans.CLUSTERS, rounds: int = ball_kmeans.ROUNDS, dims: int = ball_kmeans.DIMS, scale: int = ball_kmeans.SCALE, seed: str = ball_kmeans.SEED) -> str:
+    """Plain k-means, comparing all with all: one assignment and one update for each round."""
+    out = f"""WITH
+kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+),
+v AS MATERIALIZED (SELECT vec_id, i, floor({scale} * (embedding[i])::DOUBLE)::BIGINT AS x FROM kept, range(1, {dims + 1}) AS t(i)),
+start AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR)) - 1 AS c FROM kept QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT s.c, v.i, v.x AS y FROM start s JOIN v USING (vec_id))"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (
+  SELECT vec_id, c, d FROM (SELECT v.vec_id, c.c, sum((v.x - c.y) * (v.x - c.y))::BIGINT AS d FROM v JOIN c{r} c USING (i) GROUP BY v.vec_id, c.c)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+)"""
+        if r < rounds:
+            out += f""",
+m{r} AS (SELECT a.c, v.i, sum(v.x)::BIGINT AS s, count(*) AS n FROM a{r} a JOIN v USING (vec_id) GROUP BY a.c, v.i),
+c{r + 1} AS MATERIALIZED (SELECT c.c, c.i, CASE WHEN m.n IS NULL THEN c.y ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS y FROM c{r} c LEFT JOIN m{r} m USING (c, i))"""
+    return f"""{out},
+named AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY c)
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, n.sha AS centroid_sha256
+FROM a{rounds} a JOIN named n USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": MIX_SQL, "op10_url_filter": URL_SQL}
+    return {"op5_mix_sources": MIX_SQL, "op10_url_filter": URL_SQL, "op12_line_runs": LINES_SQL, "op13_ball_kmeans": kmeans_sql()}
