@@ -47,7 +47,7 @@ def lines(rows: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc, mark, at, h1, h2, first) of each line with a key of at least least_chars code points; first: no earlier line of its document has the key. Hashes have 128 bits."""
     hashed = F.transform(keys(F.col("text")), lambda x, i: F.when(F.char_length(x) >= least_chars, F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), i.alias("at"))))
     ordered = rows.select("doc", "mark", F.array_sort(F.array_compact(hashed)).alias("own"))
-    before = F.concat(F.array(F.lit(None).cast("struct<h1:bigint,h2:bigint,at:int>")), F.slice("own", 1, F.greatest(F.size("own") - 1, F.lit(0))))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("struct<h1:bigint,h2:bigint,at:int>")), F.col("own")), F.lit(1), F.size("own"))
     marked = F.zip_with("own", before, lambda x, y: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["at"].alias("at"), (y.isNull() | (x["h1"] != y["h1"]) | (x["h2"] != y["h2"])).alias("first")))
     return ordered.select("doc", "mark", F.inline(marked)).select("doc", "mark", "at", "h1", "h2", "first")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapengine.llm import common as c
-from gapengine.llm import ball_kmeans, crf_quality, decontaminate, jaccard_join, langid, licenses, line_runs, mixing, pitman_yor, sharding, toxicity, url_filter
+from gapengine.llm import ball_kmeans, crf_quality, decontaminate, jaccard_join, langid, licenses, line_runs, mixing, pitman_yor, sharding, tiered_search, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiers")
+
+
 def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -72,7 +76,7 @@ def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_license_scan, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_pitman_yor, op7_decontaminate, op8_vector_shards, op9_line_quality, op10_url_filter, op12_line_runs, op13_ball_kmeans)
+    own = (op1_toxicity, op2_license_scan, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_pitman_yor, op7_decontaminate, op8_vector_shards, op9_line_quality, op10_url_filter, op11_tiered_search, op12_line_runs, op13_ball_kmeans)
     return {f.__name__: f for f in own}
 
 
@@ -146,6 +150,27 @@ FROM fits f LEFT JOIN alias a ON f.node = a.v WHERE f.k = 1
 """
 
 
+SEARCH_SQL = r"""
+WITH
+t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+tot AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM len),
+w AS (SELECT term, floor(1000 * ln((2.0 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, tot GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // length AS m FROM len, tot),
+s AS (
+  SELECT q.item_id, p.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 LINES_SQL = """
 WITH
 l AS (
@@ -187,4 +212,4 @@ FROM a{rounds} a JOIN named n USING (c)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": MIX_SQL, "op10_url_filter": URL_SQL, "op12_line_runs": LINES_SQL, "op13_ball_kmeans": kmeans_sql()}
+    return {"op5_mix_sources": MIX_SQL, "op10_url_filter": URL_SQL, "op11_tiered_search": SEARCH_SQL, "op12_line_runs": LINES_SQL, "op13_ball_kmeans": kmeans_sql()}
