@@ -158,7 +158,8 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT,
     lost = tmp.written(losses(found, repeated, often).groupBy("doc", "mark").agg(F.collect_set("at").alias("lost")), "lost")  # of one document each
     tmp.drop("lines", "hot", "repeated")
     rows = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("__mark", F.xxhash64("__text"))
-    rows = rows.join(lost.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("lost").alias("__lost")), ["__doc", "__mark"], "left").withColumn("__lines", F.split("__text", "\n", -1))
+    mine = lost.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("lost").alias("__lost"))
+    rows = rows.join(mine.hint("merge"), ["__doc", "__mark"], "left").withColumn("__lines", F.split("__text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
     kept = F.when(F.col("__lost").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n"))
     made = {"n_lines": F.size("__lines").cast("long"), "n_dropped": F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("long"), "kept": kept}
