@@ -2,102 +2,38 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from gapengine.functions import numbers
-from gapengine.functions.shared import shared_dir
-
-#: Rows of a block of either side: a task multiplies two blocks, so what it holds is bounded.
-BLOCK = 4096
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if column.null_count:
-        raise ValueError("a vector is null")
-    flat = np.asarray(column.flatten(), np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-
-def _empty(ids: dict) -> pa.Table:
-    """No pairs: the columns of ids (name: field) and a similarity."""
-    return pa.table([pa.array([], to_arrow_type(f.dataType)) for f in ids.values()] + [pa.array([], pa.float64())], [*ids, "similarity"])
-
-
-def _blocks(rows: DataFrame, tasks: int) -> int:
-    """Blocks that a side is dealt into: of at most about BLOCK rows, and as many as there are tasks for if they have some rows at least."""
-    n = rows.count()
-    return max(1, -(-n // BLOCK), min(tasks, n // 256))
-
-
-def _block_pairs(left: DataFrame, right: DataFrame, compare, schema: str) -> DataFrame:
-    """compare(left rows, right rows) of every pair of blocks. left and right: (id, v). Each side is repeated once for each block of the other, which comparing all with all takes."""
-    tasks = left.sparkSession.sparkContext.defaultParallelism
-    n_left = _blocks(left, tasks)
-    n_right = max(1, -(-right.count() // BLOCK))
-    own = left.withColumns({"lb": F.pmod(F.xxhash64("id"), F.lit(n_left)), "rb": F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))})
-    # the right side's columns are made anew: both sides may be one DataFrame
-    other = right.select(F.col("id").alias("i"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("lb"))
-    other = other.select(F.col("i").alias("id"), F.col("w").alias("v"), "lb", F.pmod(F.xxhash64("i"), F.lit(n_right)).cast("int").alias("rb"))
-    return own.groupBy("lb", "rb").cogroup(other.groupBy("lb", "rb")).applyInArrow(compare, schema)
-
-
-def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, query_vec: str, item_vec: str) -> DataFrame:
-    """(query_id, item_id, similarity, rank): the k most similar items of each query; ties go to the lower item id.
-
-    Blocks of both sides meet in tasks, each multiplied as matrices; only k rows a query leave each pair of blocks.
-    """
-    own = queries.select(F.col(query_id).alias("id"), F.col(query_vec).cast("array<double>").alias("v"))
-    other = items.select(F.col(item_id).alias("id"), F.col(item_vec).cast("array<double>").alias("v"))
-    kind_q, kind_i = own.schema["id"].dataType.simpleString(), other.schema["id"].dataType.simpleString()
-
-    empty = _empty({"query_id": own.schema["id"], "item_id": other.schema["id"]})
-
-    def compare(q: pa.Table, i: pa.Table) -> pa.Table:
-        if not q.num_rows or not i.num_rows:
-            return empty
-        i = i.sort_by("id")
-        ids, m = i.column("id").combine_chunks(), min(k, i.num_rows)
-        x, y = _matrix(q.column("v")), _matrix(i.column("v"))
-        rows, best, values = [], [], []
-        for at in range(0, len(x), 1024) if m else ():
-            s = np.round(x[at : at + 1024] @ y.T, 12)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :m]
-            rows.append(np.repeat(np.arange(at, at + len(s)), m)), best.append(order.ravel()), values.append(np.take_along_axis(s, order, 1).ravel())
-        cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-        return pa.table([q.column("id").combine_chunks().take(pa.array(cat(rows, np.int64))), ids.take(pa.array(cat(best, np.int64))), pa.array(cat(values, np.float64))], ["query_id", "item_id", "similarity"])
-
-    out = _block_pairs(own, other, compare, f"query_id {kind_q}, item_id {kind_i}, similarity double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def redundant_pairs(rows: DataFrame, threshold: float, id_col: str, vec: str) -> DataFrame:
-    """(a, b, similarity) with a < b and a cosine of at least threshold; all rows against all, in pairs of blocks of bounded size."""
-    own = rows.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    kind = own.schema["id"].dataType.simpleString()
-
-    empty = _empty({"a": own.schema["id"], "b": own.schema["id"]})
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return empty
-        x, y = _matrix(a.column("v")), _matrix(b.column("v"))
-        left, right, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for at in range(0, len(x), 1024) if len(y) else ():
-            s = x[at : at + 1024] @ y.T
-            i, j = np.nonzero(s >= threshold - 1e-12)
-            left.append(i + at), right.append(j), values.append(s[i, j])
-        return pa.table([a.column("id").combine_chunks().take(pa.array(np.concatenate(left))), b.column("id").combine_chunks().take(pa.array(np.concatenate(right))), pa.array(np.concatenate(values))], ["a", "b", "similarity"])
-
-    return _block_pairs(own, own, compare, f"a {kind}, b {kind}, similarity double").where("a < b")
+from gapengine.functions.shared import Tables, shared_dir
+from gapengine.operators import pivots
+
+
+def _sides(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return rows.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, query_vec: str, item_vec: str, tables: Tables | None = None) -> DataFrame:
+    """(query_id, item_id, similarity, rank): the k most similar items of each query; ties go to the lower item id. Blocks of items that can't hold one of them are skipped."""
+    return pivots.nearest(_sides(queries, query_id, query_vec), _sides(items, item_id, item_vec), k, tables or Tables(queries.sparkSession, "nearest"))
+
+
+def redundant_pairs(rows: DataFrame, threshold: float, id_col: str, vec: str, tables: Tables | None = None) -> DataFrame:
+    """(a, b, similarity) with a < b and a cosine of at least threshold, which is over 0. Pairs of blocks that are too far apart are skipped."""
+    if threshold <= 1e-12:
+        raise ValueError("a threshold of 0 or less makes all pairs")
+    return pivots.similar_pairs(_sides(rows, id_col, vec), threshold, tables or Tables(rows.sparkSession, "pairs"))
+
+
+def redundant_groups(rows: DataFrame, threshold: float, id_col: str, vec: str, tables: Tables | None = None) -> DataFrame:
+    """(id, root): what components(redundant_pairs()) gives, without the pairs of equal vectors: they are linked through the first of them by id, so a large group of copies makes as many rows."""
+    own = _sides(rows, id_col, vec).where(F.exists("v", lambda x: x != 0))
+    firsts = own.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    members = own.select("id", "v").join(firsts, "v").select("id", "first", "n")
+    roots = components(redundant_pairs(firsts.select(F.col("first").alias("id"), "v"), threshold, "id", "v", tables))
+    out = members.join(roots.withColumnRenamed("id", "first"), "first", "left")
+    return out.where("root is not null or n > 1").select("id", F.coalesce("root", "first").alias("root"))
 
 
 def candidate_similarity(needs: DataFrame, items: DataFrame, need_cols: dict[str, str], item_vec: str, pairs: DataFrame) -> DataFrame:

@@ -189,13 +189,13 @@ def q22_redundancy_pairs(spark, sf):
 
 
 def q23_components(spark, sf):
-    return similarity.components(pairs(spark, sf))
+    return similarity.redundant_groups(t(spark, sf, "embeddings"), 0.4, "vec_id", "embedding")
 
 
 def q24_merge_groups(spark, sf):
     e = t(spark, sf, "embeddings")
     table = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("need "), F.col("label")).alias("latent_need"), ((F.col("vec_id") * 37) % 2000 / 100).alias("opportunity"), F.array("vec_id", F.col("vec_id") % 50).alias("signal_ids"), F.array(F.concat(F.lit("a"), F.col("label"))).alias("aspects"), (F.col("label") / 100).alias("self_consistency"), F.col("label").cast("long").alias("failures"))
-    out = needs.merged(table, similarity.components(pairs(spark, sf)))
+    out = needs.merged(table, similarity.redundant_groups(e, 0.4, "vec_id", "embedding"))
     return out.select("id", "latent_need", F.array_join("signal_ids", ",").alias("signal_ids"), F.array_join("aspects", ",").alias("aspects"), F.round("self_consistency", 6).alias("self_consistency"), "failures", F.array_join("merged_from", ",").alias("merged_from"))
 
 

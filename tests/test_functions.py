@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapengine.functions import udfs
-from gapengine.operators import calibration, clustering, similarity
+from gapengine.operators import calibration, clustering, pivots, similarity
 
 
 def slow_embedding(text, size):
@@ -73,7 +73,7 @@ def test_similarity_in_blocks_equals_one_matrix(spark, monkeypatch):
     s = np.round(unit @ unit.T, 12)
     pairs = {(i, j) for i in range(70) for j in range(i + 1, 70) if s[i, j] >= 0.5}
     for block in (4096, 16):
-        monkeypatch.setattr(similarity, "BLOCK", block)
+        monkeypatch.setattr(pivots, "BLOCK", block)
         top = {(x.query_id, x["rank"]): x.item_id for x in similarity.top_k(rows, rows, 3, "id", "id", "v", "v").collect()}
         assert top == {(i, k + 1): int(j) for i in range(70) for k, j in enumerate(np.lexsort((np.arange(70), -s[i]))[:3])}
         assert {(x.a, x.b) for x in similarity.redundant_pairs(rows, 0.5, "id", "v").collect()} == pairs
