@@ -41,3 +41,9 @@ class Tables:
         """Deletes the folder; DataFrames that read it are of no use any more."""
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its files have fewer splits than that: one row group is one task, however dear what follows is. Large tables have more splits and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -96,8 +96,8 @@ def detect_gaps(need: DataFrame, items: DataFrame, config: Config, embed: Callab
     df = framing.document_frequency(backlog)
     named = own.select(F.col("id").alias("need_id"), "symptom_terms", "job_terms")
     probe = tables.keep(framing.probes(named, df, backlog.count()), "probes")
-    item_terms = backlog.select(F.col("id").alias("item_id"), F.explode("terms").alias("term"))
-    frames = tables.keep(framing.verdicts(named, probe, framing.best_items(framing.coverage(probe, item_terms, pool.select("need_id", "item_id", "pool_rank")))), "framings")
+    item_terms = backlog.select(F.col("id").alias("item_id"), "terms")
+    frames = tables.keep(framing.verdicts(named, probe, framing.best_covered(probe, item_terms, pool.select("need_id", "item_id", "pool_rank"))), "framings")
     first = pool.where("pool_rank = 1").select("need_id", F.col("item_id").alias("top_item"))
     m = own.select(F.col("id").alias("need_id"), "vec", "latent_need", "jtbd_statement", "signal_ids", "opportunity_score", "kano_class", "self_consistency").join(frames, "need_id").join(first, "need_id", "left")
     m = m.withColumn("item_id", F.when(F.col("is_misunderstood"), F.col("symptom_item")).otherwise(F.col("top_item")))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapengine.functions import numbers, text, udfs
+from gapengine.functions.shared import Tables, spread
 from gapengine.lexicon import Lexicon
 from gapengine.operators import audit, calibration, clustering, confidence, evidence, framing, ingest, labeling, needs, priority, rank, report, similarity, verdict, verify
 from gapengine.plans import analyze
@@ -23,7 +24,8 @@ TERMS = ("tion", "heit")
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df  # texts are dear to go through
 
 
 def as_of():
@@ -219,9 +221,10 @@ def turns(spark, sf):
 
 
 def probe_parts(spark, sf):
-    own, docs = turns(spark, sf), doc_terms(spark, sf)
-    df = framing.document_frequency(docs)
-    return own, docs, framing.probes(own, df, t(spark, sf, "documents").count())
+    tables = Tables(spark, "probes")
+    own, docs = tables.keep(turns(spark, sf), "turns"), tables.keep(doc_terms(spark, sf), "terms")  # each is read several times
+    probe = framing.probes(own, framing.document_frequency(docs), t(spark, sf, "documents").count())
+    return own, docs, tables.keep(probe, "probes")
 
 
 def q26_document_frequency(spark, sf):
@@ -235,14 +238,12 @@ def q27_probes(spark, sf):
 
 def q28_coverage(spark, sf):
     _, docs, probe = probe_parts(spark, sf)
-    cov = framing.coverage(probe, docs.select("item_id", F.explode("terms").alias("term")))
-    return framing.best_items(cov)
+    return framing.best_covered(probe, docs)
 
 
 def q29_framing_verdict(spark, sf):
     own, docs, probe = probe_parts(spark, sf)
-    best = framing.best_items(framing.coverage(probe, docs.select("item_id", F.explode("terms").alias("term"))))
-    return framing.verdicts(own, probe, best)
+    return framing.verdicts(own, probe, framing.best_covered(probe, docs))
 
 
 def matched(spark, sf):
@@ -591,7 +592,7 @@ def q76_pool_coverage(spark, sf):
     rank = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
     top = d.select("source", F.col("doc_id").alias("item_id"), rank.alias("pool_rank")).where("pool_rank <= 10")
     pool = own.select("need_id", F.concat(F.lit("src"), F.substring_index("need_id", ":", 1).cast("long") % 20).alias("source")).join(top, "source").select("need_id", "item_id", "pool_rank")
-    return framing.best_items(framing.coverage(probe, docs.select("item_id", F.explode("terms").alias("term")), pool))
+    return framing.best_covered(probe, docs, pool)
 
 
 def q77_analysis(spark, sf):
@@ -612,8 +613,7 @@ def q77_analysis(spark, sf):
 def flagship(spark, sf):
     """Adjacent turns as needs, documents as the backlog: probes, coverage, verdicts, stability, unique titles and rank."""
     own, docs, probe = probe_parts(spark, sf)
-    best = framing.best_items(framing.coverage(probe, docs.select("item_id", F.explode("terms").alias("term"))))
-    v = framing.verdicts(own, probe, best)
+    v = framing.verdicts(own, probe, framing.best_covered(probe, docs))
     low, closed = F.col("job_coverage") > 0, F.lit(False)
     kind = verdict.guarded(verdict.verdict(F.col("is_misunderstood"), F.col("symptom_coverage"), low), closed)
     told = verdict.stability(F.col("is_misunderstood"), F.col("symptom_coverage"), low, F.col("symptom_coverage"), F.col("job_coverage"), closed)
