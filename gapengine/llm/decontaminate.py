@@ -121,6 +121,17 @@ class Index:
         total = sum(weights[x] * n for x, n in bag.items()) + sum(self.weights[x] * n for x, n in other.items()) - both
         return both / total if total else 0.0
 
+    def short_in(self, tokens: list[bytes]) -> list[tuple[int, int]]:
+        """(item, start) of the items of fewer than five words whose words stand in this order in a text; the first place of each."""
+        sizes, begins = {len(k) for k in self.short}, {k[0] for k in self.short}
+        found: dict[int, int] = {}
+        for at, w in enumerate(tokens):
+            if w in begins:
+                for n in sizes:
+                    for k in self.short.get(tuple(tokens[at : at + n]), ()) if at + n <= len(tokens) else ():
+                        found.setdefault(k, at)
+        return sorted(found.items())
+
     def search(self, h: np.ndarray) -> dict[int, tuple[int, float]]:
         """From the shingle hashes of one document: the first best window of each item that is found."""
         at = np.flatnonzero(self.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -165,7 +176,7 @@ def batch_leaks(texts: list[bytes | None], index: Index) -> list[tuple[int, int,
         lengths = np.fromiter(map(len, tokens), np.int64, j - i)
         doc = np.repeat(np.arange(j - i), lengths)
         if index.short:
-            out += [(i + r, k, 0, 1.0) for r, t in enumerate(tokens) if 0 < len(t) < c.SHINGLE for k in index.short.get(tuple(t), ())]
+            out += [(i + r, k, at, 1.0) for r, t in enumerate(tokens) for k, at in index.short_in(t)]
         h, at = c.windows(c.hashed([w for t in tokens for w in t]), doc)
         if not len(h):
             continue
@@ -223,7 +234,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, start, similarity): a row for each document and benchmark item that a window of it repeats; start counts words.
 
-    Items of fewer than five words are found only as a whole document's sequence. Null and empty texts hold nothing; a null doc_id is kept;
+    Items of fewer than five words, which have no shingle to be like, are found where their words stand in this order. Null and empty texts hold nothing; a null doc_id is kept;
     repeated rows give repeated results; without items or documents there are no rows. Other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -244,7 +255,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows, all columns, that repeat no benchmark item; the texts never leave their tasks."""
+    """The rows, all columns, that repeat no benchmark item; the texts never leave their tasks. Null and empty texts repeat nothing and stay.
+
+    A few words in a row prove nothing: for an item of fewer than five words only a document that is that item, word for word, goes.
+    """
     at, all_weights = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(weights(benchmark))
     for items in blocks(benchmark):
 
@@ -252,7 +266,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
             index = Index(items, similarity, all_weights.value)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[x[0] for x in batch_leaks(b.column(at).cast(pa.binary()).to_pylist(), index)]] = False
+                texts = b.column(at).cast(pa.binary()).to_pylist()
+                found = batch_leaks(texts, index)
+                keep[[r for r, k, *_ in found if index.length[k] >= c.SHINGLE or len(words(texts[r])) == index.length[k]]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(c.lean(run), docs.schema)

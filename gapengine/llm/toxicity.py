@@ -26,10 +26,10 @@ EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘
 QUOTES = frozenset('"«»“”„‘’`')
 #: The z statistic that a term of the lexicon needs.
 Z = 4.0
-#: Terms of the lexicon that a toxic row needs before no more are taken for its sake.
-COVER = 4
+#: Classes of terms by how well they tell, each with a count of its own among a text's features.
+CLASSES = 8
 #: Words with the edges stripped that are remembered in a Python worker before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Rows of a batch that are scored at a time.
 ROWS = 512
 
@@ -114,26 +114,28 @@ class Matcher:
 
 
 class Memory(dict):
-    """Hits by raw word."""
+    """A number for each raw word, and the word's hits by that number."""
 
     def __init__(self, match: Matcher):
         super().__init__()
         self.match = match
+        self.words: list[str] = []
+        self.hits: list[tuple[tuple[int, int], ...]] = []
 
-    def __missing__(self, word: str):
-        out = self[word] = self.match(word.strip(EDGES))
+    def __missing__(self, word: str) -> int:
+        out = self[word] = len(self.words)
+        self.words.append(word)
+        self.hits.append(self.match(word.strip(EDGES)))
         return out
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-def hits(words: list[str], memory: Memory) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    return [(i, h) for i, h in enumerate([memory[w] for w in words]) if h]
 
-
-def quoted(words: list[str], i: int) -> bool:
-    """Whether a quotation mark opens in the window before a word (or at it) and one closes at it or in the window after."""
-    before = any(QUOTES & set(w) for w in words[max(0, i - WINDOW) : i]) or words[i][0] in QUOTES
-    after = any(QUOTES & set(w) for w in words[i + 1 : i + 1 + WINDOW]) or words[i][-1] in QUOTES
-    return before and after
+def around(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values over the windows before and after the positions at."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[at] - sums[np.maximum(at - WINDOW, 0)], sums[np.minimum(at + 1 + WINDOW, len(values))] - sums[at + 1]
 
 
 @dataclass
@@ -146,23 +148,10 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
 
-    def features(self, words: list[str], found: list[tuple[int, tuple[tuple[int, int], ...]]]) -> np.ndarray:
-        out = np.zeros(8 + len(self.terms))
-        plain = cited = top = near = around = 0.0
-        for i, terms in found:
-            weight = max(self.exact[k] if e == 0 else self.fuzzy[k] for k, e in terms)
-            if quoted(words, i):
-                cited += weight
-            else:
-                plain += weight
-            top = max(top, weight)
-            near += all(e > 0 for _, e in terms)
-            around += sum(self.context.get(w.strip(EDGES), 0.0) for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW])
-            for k, e in terms:
-                out[8 + k] += e == 0
-        n = len(found)
-        out[8:] = np.log1p(out[8:])
-        out[:8] = np.sign(plain) * np.log1p(abs(plain)), np.sign(cited) * np.log1p(abs(cited)), top, np.log1p(100 * n / max(10, len(words))), around / n if n else 0, np.log1p(len(words)), near / n if n else 0, np.log1p(n)
+    def classes(self) -> np.ndarray:
+        """The class of each term: equally many in each, by falling weight."""
+        out = np.zeros(len(self.terms), np.int64)
+        out[np.lexsort((np.arange(len(self.terms)), -self.exact))] = np.arange(len(self.terms)) * CLASSES // max(1, len(self.terms))
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -170,41 +159,71 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+class Features:
+    """Features of texts as rows: sums over plain and quoted hits, the strongest one, shares, the hits' windows, and a count of exact hits for each class of terms. A word is looked up once; the rest is sums of arrays."""
+
+    def __init__(self, model: Model):
+        self.model, self.memory = model, Memory(Matcher(model.terms))
+        self.classes = model.classes()
+        self.table, self.known = np.zeros((1024, 7 + CLASSES), np.float32), 0
+
+    def _grown(self) -> np.ndarray:
+        """For each word known: has hits, weight, only near hits, context, holds a quotation mark, begins with one, ends with one; exact hits by class."""
+        m, old, n = self.model, self.known, len(self.memory.words)
+        if old < n:
+            while len(self.table) < n:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            words = self.memory.words[old:n]
+            self.table[old:n, 3] = [m.context.get(w.strip(EDGES), 0.0) for w in words]
+            for k, w in enumerate(words, old):
+                if not QUOTES.isdisjoint(w):
+                    self.table[k, 4:7] = 1, w[0] in QUOTES, w[-1] in QUOTES
+                if found := self.memory.hits[k]:
+                    self.table[k, :3] = 1, max(m.exact[t] if e == 0 else m.fuzzy[t] for t, e in found), all(e > 0 for _, e in found)
+                    for t, e in found:
+                        self.table[k, 7 + self.classes[t]] += e == 0
+            self.known = n
+        return self.table
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Of one text, and its hits."""
+        if len(self.memory) > REMEMBERED:
+            self.memory, self.known = Memory(self.memory.match), 0
+            self.table[:] = 0
+        own = self.memory.numbers(words)
+        rows = self._grown()[own].astype(np.float64)
+        out, at = np.zeros(8 + CLASSES), np.flatnonzero(rows[:, 0])
+        out[5] = np.log1p(len(words))
+        if len(at):
+            before, after = around(rows[:, 4], at)
+            cited = ((before > 0) | (rows[at, 5] > 0)) & ((after > 0) | (rows[at, 6] > 0))
+            weight = rows[at, 1]
+            plain, quoted, n = weight[~cited].sum(), weight[cited].sum(), len(at)
+            out[:5] = np.sign(plain) * np.log1p(abs(plain)), np.sign(quoted) * np.log1p(abs(quoted)), max(0.0, weight.max()), np.log1p(100 * n / max(10, len(words))), sum(x.sum() for x in around(rows[:, 3], at)) / n
+            out[6:8] = rows[at, 2].sum() / n, np.log1p(n)
+            out[8:] = np.log1p(rows[at, 7:].sum(0))
+        return out, len(at)
+
+
 def lexicon(texts: list[list[str]], labels: np.ndarray) -> list[str]:
     """The words and stems (4 to 7 letters and *) that split the classes, by the z statistic of their document shares. The sample alone bounds them.
 
     A term needs the z that the best of as many chance terms as there are candidates would reach (Z at least), and two to four toxic rows, by the number of those.
-    Best terms come first; one is taken unless all toxic rows that hold it have COVER taken terms already, so no toxic row is left without a term that it could have.
     """
     df: tuple[Counter, Counter] = (Counter(), Counter())
-    toxic = []
     for words, y in zip(texts, labels, strict=True):
         cores = {w.strip(EDGES) for w in words} - {""}
-        terms = cores | {f"{w[:n]}*" for w in cores for n in range(4, 8) if len(w) > n}
-        df[int(y)].update(terms)
-        if y:
-            toxic.append(terms)
+        df[int(y)].update(cores | {f"{w[:n]}*" for w in cores for n in range(4, 8) if len(w) > n})
     n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
     least = 2 if n1 < 50 else 3 if n1 < 250 else 4
     bar = max(Z, np.sqrt(2 * np.log(max(2, len(df[1])))))
-    ranked = []
+    out = []
     for term, a in df[1].items():
         b = df[0][term]
         if a >= least and a / n1 > 2 * b / n0:
             p = (a + b) / (n1 + n0)
-            z = (a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-            if z >= bar:
-                ranked.append((-z, len(term), term))
-    ranked.sort()
-    holders: dict[str, list[int]] = {term: [] for *_, term in ranked}
-    for k, terms in enumerate(toxic):
-        for term in holders.keys() & terms:
-            holders[term].append(k)
-    out, covered = [], np.zeros(len(toxic), int)
-    for term, rows in holders.items():
-        if (covered[rows] < COVER).any():
-            out.append(term)
-            covered[rows] += 1
+            if (a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)) >= bar:
+                out.append(term)
     return sorted(out)
 
 
@@ -236,27 +255,28 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
     tokens = [t.lower().split() for t in texts]
     terms = lexicon(tokens, y) if 0 < y.sum() < len(y) else []
     memory = Memory(Matcher(terms))
-    found = [hits(w, memory) for w in tokens]
     k = len(terms)
     counts = np.zeros((2, 2, k))
     near: tuple[Counter, Counter] = (Counter(), Counter())
-    for w, f, label in zip(tokens, found, y.astype(int), strict=True):
-        for t, e in {(t, min(e, 1)) for _, h in f for t, e in h}:
+    for w, label in zip(tokens, y.astype(int), strict=True):
+        found = [(i, h) for i, h in enumerate([memory.hits[x] for x in memory.numbers(w).tolist()]) if h]
+        for t, e in {(t, min(e, 1)) for _, h in found for t, e in h}:
             counts[label, e, t] += 1
-        for i, _ in f:
+        for i, _ in found:
             near[label].update(x.strip(EDGES) for x in w[max(0, i - WINDOW) : i] + w[i + 1 : i + 1 + WINDOW])
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
     unseen = counts[0, 1] + counts[1, 1] < 3
     fuzzy = np.where(unseen, odds[0] - 1, np.minimum(odds[1], odds[0]))
     m1, m0 = sum(near[1].values()) + 1, sum(near[0].values()) + 1
-    context = {w: float(np.log((near[1][w] + 1) / m1) - np.log((near[0][w] + 1) / m0)) for w, n in (near[0] + near[1]).most_common(2048) if n >= 20}
-    model = Model(terms, odds[0] if k else np.zeros(0), fuzzy if k else np.zeros(0), context, np.zeros(9 + k), np.zeros(8 + k), np.ones(8 + k))
+    context = {w: float(np.log((near[1][w] + 1) / m1) - np.log((near[0][w] + 1) / m0)) for w, n in (near[0] + near[1]).items() if n >= 20}
+    model = Model(terms, odds[0] if k else np.zeros(0), fuzzy if k else np.zeros(0), context, np.zeros(9 + CLASSES), np.zeros(8 + CLASSES), np.ones(8 + CLASSES))
     if not terms:
         share = min(0.95, max(0.05, y.mean() if len(y) else 0.0))
         model.coefficients[0] = np.log(share / (1 - share))
         return model
-    x = np.array([model.features(w, f) for w, f in zip(tokens, found, strict=True)])
+    features = Features(model)
+    x = np.array([features(w)[0] for w in tokens])
     own = y.mean()
     share = own if share is None else share
     model.coefficients, model.centre, model.scale = regression(x, y, np.where(y == 1, share / own, (1 - share) / (1 - own)))
@@ -284,18 +304,11 @@ class Scorer:
     """Scores texts in a worker."""
 
     def __init__(self, model: Model):
-        self.model, self.memory = model, Memory(Matcher(model.terms))
+        self.model, self.features = model, Features(model)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
-        if len(self.memory) > REMEMBERED:
-            self.memory = Memory(self.memory.match)
-        rows, counts = [], []
-        for t in texts:
-            w = t.lower().split() if t else []
-            found = hits(w, self.memory)
-            rows.append(self.model.features(w, found))
-            counts.append(len(found))
-        return (self.model.score(np.array(rows)) if rows else np.zeros(0)), counts
+        told = [self.features(t.lower().split() if t else []) for t in texts]
+        return (self.model.score(np.array([x for x, _ in told])) if told else np.zeros(0)), [n for _, n in told]
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,3 +262,100 @@ def test_balls_drop_no_nearest_centroid():
         reach = [int(math.isqrt(int(d[old == i, i].max()))) + 1 if (old == i).any() else 2 for i in range(12)]
         new, best, _ = ball_kmeans.Balls(at, reach).assigned(x, old)
         assert (new == d.argmin(1)).all() and (best == d.min(1)).all()
+
+
+# what was mended in earlier operators
+
+
+def test_units_of_many_texts_are_cut_between_texts(spark, monkeypatch):
+    """Many texts a unit, as in a large table: 1,000 texts of three copies and one of 900, which alone is over a shard."""
+    from gapengine.llm import sharding
+
+    monkeypatch.setattr(sharding, "CELLS", 8)
+    monkeypatch.setattr(sharding, "SUBCELLS", 2)
+    texts = [f"text number {k} " + "y" * (k % 40) for k in range(1000)] * 3 + ["a hot text"] * 900
+    got = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    where, sizes, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in got:
+        where[texts[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(texts) and {t for t, s in where.items() if len(s) > 1} == {"a hot text"}
+    assert max(sizes.values()) <= 1.1 * sum(sizes.values()) / 8 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_notices_in_any_case_and_by_a_shuffle(spark):
+    from gapengine.llm import licenses
+
+    texts = ["SPDX-LiCense-Identifier: MIT\ncode", "x\n  released UNDER the mozilla public LICENCE 2.0\nSPDX-License-Identifier: GPL-3.0-or-later", licenses.KNOWN[0][1], "no such thing", None, "word " * 200_000 + "\nLicensed under CC BY 4.0."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(0, None, ["MIT"]), (1, None, ["GPL-3.0", "MPL-2.0"]), (2, "MIT", []), (3, None, []), (4, None, []), (5, None, ["CC-BY-4.0"])]
+    for small in (100_000, 10):
+        assert sorted((r.doc_id, r.license_id, r.notices) for r in licenses.scanned(rows, small=small).collect()) == want
+
+
+def test_whole_licences_of_a_folder(spark, tmp_path):
+    from gapengine.llm import licenses
+
+    (tmp_path / "Own-1.0.txt").write_text("Own License\nYou may read this, and only this.\nCopyright 2020 Somebody")
+    rows = spark.createDataFrame([(1, "OWN LICENCE - you may read this and only this")], "doc_id long, text string")
+    assert licenses.scanned(rows, [*licenses.KNOWN, *licenses.texts_in(str(tmp_path))]).first().license_id == "Own-1.0"
+
+
+def test_short_items_are_found_within_texts_but_drop_only_themselves(spark):
+    from gapengine.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "so The quick Fox ran, the quick fox"), (2, "the quick fox"), (3, "quick the fox"), (4, None), (5, ""), (6, "a b c d e f g h i j")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "The quick fox"), (8, "a b c d e f g h i j"), (9, None), (10, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.start) for r in decontaminate.leaks(docs, items).collect()) == [(1, 7, 1), (2, 7, 0), (6, 8, 0)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [1, 3, 4, 5]
+    for d, i in ((docs, items.limit(0)), (docs.limit(0), items), (docs.limit(0), items.limit(0))):
+        assert decontaminate.leaks(d, i).count() == 0 and decontaminate.without_leaks(d, i).count() == d.count()
+
+
+def test_every_window_of_a_text_is_compared(spark):
+    """Brute force: the weighted similarity of each window of an item's size, for texts with planted and edited items."""
+    from gapengine.llm import decontaminate
+
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.choice([6, 9, 14, 25])))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        own = [r.choice(words) for _ in range(r.choice([3, 20, 80]))]
+        if i % 2:
+            t = items[r.randrange(12)][1].split()
+            if i % 4 == 3 and len(t) > 12:
+                t[r.randrange(len(t))] = "edited"
+            own[5:5] = t
+        docs.append((i, " ".join(own)))
+    shingles = lambda t: Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4))
+    bags = {k: shingles(t.split()) for k, t in items}
+    n = Counter(s for b in bags.values() for s in b)
+    weight = lambda s: math.log1p(len(items) / max(1, n[s]))
+    want = {}
+    for i, text in docs:
+        t = text.split()
+        for k, other in bags.items():
+            size = min(len(items[k][1].split()), len(t))
+            for a in range(len(t) - size + 1):
+                bag = shingles(t[a : a + size])
+                both = sum(weight(s) * min(x, other[s]) for s, x in bag.items())
+                total = sum(weight(s) * x for s, x in bag.items()) + sum(weight(s) * x for s, x in other.items()) - both
+                if total and both / total >= 0.8 and both / total > want.get((i, k), (0, 0))[1] + 1e-12:
+                    want[i, k] = (a, both / total)
+    got = {(x.doc_id, x.item_id): (x.start, x.similarity) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 20 and len(want.keys() - got.keys()) <= 0.1 * len(want) and not got.keys() - want.keys()
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 and got[k][0] == want[k][0] for k in got)
+
+
+def test_toxicity_of_a_very_long_text_and_of_all_its_terms(spark):
+    from gapengine.llm import toxicity
+
+    bad = [f"vile{chr(97 + k % 26)}{chr(97 + k // 26)}word" for k in range(60)]
+    texts = [f"plain words here {bad[k % 60]} and {bad[(k * 7 + 1) % 60]} again {k}" for k in range(300)] + [f"plain words here and {k} again" for k in range(900)]
+    model = toxicity.fit(texts, [1] * 300 + [0] * 900)
+    assert len(set(bad) & set(model.terms)) == 60  # no term is left out for being covered by others
+    long = "plain words here " * 200_000
+    scored = toxicity.Scorer(model)([long, f"{bad[3]} {bad[9]} again", None, ""])[0]
+    assert scored[1] > 0.3 > scored[0] and scored[2] == scored[3]
