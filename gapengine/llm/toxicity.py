@@ -147,6 +147,8 @@ class Model:
     coefficients: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
     def classes(self) -> np.ndarray:
         """The class of each term: equally many in each, by falling weight."""
@@ -155,6 +157,7 @@ class Model:
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        x = np.clip(x, self.low, self.high)  # a text that is longer than all that were learned from isn't told by its length
         z = ((x - self.centre) / self.scale) @ self.coefficients[1:] + self.coefficients[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -270,13 +273,14 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
     fuzzy = np.where(unseen, odds[0] - 1, np.minimum(odds[1], odds[0]))
     m1, m0 = sum(near[1].values()) + 1, sum(near[0].values()) + 1
     context = {w: float(np.log((near[1][w] + 1) / m1) - np.log((near[0][w] + 1) / m0)) for w, n in (near[0] + near[1]).items() if n >= 20}
-    model = Model(terms, odds[0] if k else np.zeros(0), fuzzy if k else np.zeros(0), context, np.zeros(9 + CLASSES), np.zeros(8 + CLASSES), np.ones(8 + CLASSES))
+    model = Model(terms, odds[0] if k else np.zeros(0), fuzzy if k else np.zeros(0), context, np.zeros(9 + CLASSES), np.zeros(8 + CLASSES), np.ones(8 + CLASSES), np.full(8 + CLASSES, -np.inf), np.full(8 + CLASSES, np.inf))
     if not terms:
         share = min(0.95, max(0.05, y.mean() if len(y) else 0.0))
         model.coefficients[0] = np.log(share / (1 - share))
         return model
     features = Features(model)
     x = np.array([features(w)[0] for w in tokens])
+    model.low, model.high = x.min(0), x.max(0)
     own = y.mean()
     share = own if share is None else share
     model.coefficients, model.centre, model.scale = regression(x, y, np.where(y == 1, share / own, (1 - share) / (1 - own)))

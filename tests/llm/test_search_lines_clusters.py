@@ -353,7 +353,7 @@ def test_toxicity_of_a_very_long_text_and_of_all_its_terms(spark):
     from gapengine.llm import toxicity
 
     bad = [f"vile{chr(97 + k % 26)}{chr(97 + k // 26)}word" for k in range(60)]
-    texts = [f"plain words here {bad[k % 60]} and {bad[(k * 7 + 1) % 60]} again {k}" for k in range(300)] + [f"plain words here and {k} again" for k in range(900)]
+    texts = [f"plain words here {bad[k % 60]} and {bad[(k * 7 + 1) % 60]} again {k}" for k in range(300)] + [f"plain words here then and {k % 11} again {k}" for k in range(900)]
     model = toxicity.fit(texts, [1] * 300 + [0] * 900)
     assert len(set(bad) & set(model.terms)) == 60  # no term is left out for being covered by others
     long = "plain words here " * 200_000
