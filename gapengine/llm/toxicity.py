@@ -165,8 +165,8 @@ class Model:
 class Features:
     """Features of texts as rows: sums over plain and quoted hits, the strongest one, shares, the hits' windows, and a count of exact hits for each class of terms. A word is looked up once; the rest is sums of arrays."""
 
-    def __init__(self, model: Model):
-        self.model, self.memory = model, Memory(Matcher(model.terms))
+    def __init__(self, model: Model, match: Matcher | None = None):
+        self.model, self.memory = model, Memory(match or Matcher(model.terms))
         self.classes = model.classes()
         self.table, self.known = np.zeros((1024, 7 + CLASSES), np.float32), 0
 
@@ -208,18 +208,26 @@ class Features:
         return out, len(at)
 
 
-def lexicon(texts: list[list[str]], labels: np.ndarray) -> list[str]:
+def lexicon(texts: list[str], labels: np.ndarray) -> list[str]:
     """The words and stems (4 to 7 letters and *) that split the classes, by the z statistic of their document shares. The sample alone bounds them.
 
     A term needs the z that the best of as many chance terms as there are candidates would reach (Z at least), and two to four toxic rows, by the number of those.
     """
+    def terms(text: str) -> set[str]:
+        cores = {w.strip(EDGES) for w in set(text.split())} - {""}
+        return cores | {f"{w[:n]}*" for w in cores for n in range(4, 8) if len(w) > n}
+
     df: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, y in zip(texts, labels, strict=True):
-        cores = {w.strip(EDGES) for w in words} - {""}
-        df[int(y)].update(cores | {f"{w[:n]}*" for w in cores for n in range(4, 8) if len(w) > n})
+    for text, y in zip(texts, labels, strict=True):
+        if y:
+            df[1].update(terms(text))
+    candidates = len(df[1])
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            df[0].update(terms(text) & df[1].keys())
     n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
     least = 2 if n1 < 50 else 3 if n1 < 250 else 4
-    bar = max(Z, np.sqrt(2 * np.log(max(2, len(df[1])))))
+    bar = max(Z, np.sqrt(2 * np.log(max(2, candidates))))
     out = []
     for term, a in df[1].items():
         b = df[0][term]
@@ -254,14 +262,18 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
     # copies of a text count once: a term that only they share says nothing
     distinct = dict.fromkeys(zip((t or "" for t in texts), labels, strict=True))
     texts, labels = [t for t, _ in distinct], [y for _, y in distinct]
+    del distinct
     y = np.array(labels, float)
-    tokens = [t.lower().split() for t in texts]
-    terms = lexicon(tokens, y) if 0 < y.sum() < len(y) else []
+    texts = [t.lower() for t in texts]  # split anew in each pass: words take ten times the room
+    terms = lexicon(texts, y) if 0 < y.sum() < len(y) else []
     memory = Memory(Matcher(terms))
     k = len(terms)
     counts = np.zeros((2, 2, k))
     near: tuple[Counter, Counter] = (Counter(), Counter())
-    for w, label in zip(tokens, y.astype(int), strict=True):
+    for t, label in zip(texts, y.astype(int), strict=True):
+        if len(memory) > REMEMBERED:
+            memory = Memory(memory.match)
+        w = t.split()
         found = [(i, h) for i, h in enumerate([memory.hits[x] for x in memory.numbers(w).tolist()]) if h]
         for t, e in {(t, min(e, 1)) for _, h in found for t, e in h}:
             counts[label, e, t] += 1
@@ -278,8 +290,8 @@ def fit(texts: list[str | None], labels: list[int], share: float | None = None)
         share = min(0.95, max(0.05, y.mean() if len(y) else 0.0))
         model.coefficients[0] = np.log(share / (1 - share))
         return model
-    features = Features(model)
-    x = np.array([features(w)[0] for w in tokens])
+    features = Features(model, memory.match)
+    x = np.array([features(t.split())[0] for t in texts])
     model.low, model.high = x.min(0), x.max(0)
     own = y.mean()
     share = own if share is None else share
