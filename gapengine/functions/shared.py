@@ -31,10 +31,10 @@ class Tables:
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "table", *parts: str) -> DataFrame:
         path = f"{self.folder}/{self.made}-{name}"
         self.made += 1
-        df.write.parquet(path)
+        df.write.partitionBy(*parts).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -42,62 +43,96 @@ def folded_key(c: Column) -> Column:
 
 #: N-gram sizes and weights of the embedding's two kinds of features.
 WORD_GRAMS, LETTER_GRAMS, LETTER_WEIGHT = (1, 2), (3, 4), 0.35
-#: Words and word pairs that a Python worker remembers the features of.
+#: Words and letter n-grams that a Python worker remembers the features of.
 REMEMBERED = 400_000
 
 
+class Numbers(dict):
+    """A number for each distinct word, in order of first sight."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+
+class Folded(Numbers):
+    """Numbers in which words that differ in case only are equal."""
+
+    def __init__(self):
+        super().__init__()
+        self.own = Numbers()
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = self.own[word.casefold()]
+        return n
+
+
 class Embedder:
     """Feature hashing of word and letter n-grams, of unit length (zero without a token).
 
-    Each distinct feature is hashed once; a word's features are kept as arrays, so a batch is a few array operations and one bincount.
+    A batch's words become numbers once; what follows is arrays: counts of (row, word), a table of each word's features, and one bincount. Features are hashed in bulk, letters' once.
     """
 
     def __init__(self, size: int = 768):
         if size < 32:
             raise ValueError("an embedding has 32 dimensions at least")
         self.size = size
-        self.features: dict[str, tuple[int, float]] = {}
-        self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.pairs: dict[str, tuple[int, float]] = {}
-
-    def hashed(self, feature: str, weight: float) -> tuple[int, float]:
-        raw = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
-        return raw % self.size, -weight if raw >> 63 else weight
-
-    def word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.hashed(f"w:{w}", 1.0)]
-        marked = f"^{w}$"
-        for n in LETTER_GRAMS:
-            for i in range(len(marked) - n + 1):
-                gram = f"c{n}:{marked[i : i + n]}"
-                if (x := self.features.get(gram)) is None:
-                    x = self.features[gram] = self.hashed(gram, LETTER_WEIGHT / np.sqrt(n))
-                found.append(x)
-        return np.array([x for x, _ in found], np.int64), np.array([y for _, y in found])
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.grams = Folded(), Numbers()
+        self.start, self.gram_of = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.gram_at, self.gram_value = np.zeros(0, np.int64), np.zeros(0)
+        self.word_at, self.word_value = np.zeros(0, np.int64), np.zeros(0)
+
+    def hashed(self, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Dimension and sign of each feature."""
+        blake = hashlib.blake2b
+        raw = np.frombuffer(b"".join([blake(f.encode(), digest_size=8).digest() for f in features]), "<u8")
+        return (raw % np.uint64(self.size)).astype(np.int64), np.where(raw >> np.uint64(63), -1.0, 1.0)
+
+    def learned(self) -> None:
+        """Adds the words and the letter n-grams that are new to the tables."""
+        new = self.numbers.own.words[len(self.word_at) :]
+        if not new:
+            return
+        at, value = self.hashed([f"w:{w}" for w in new])
+        self.word_at, self.word_value = np.concatenate([self.word_at, at]), np.concatenate([self.word_value, value])
+        marked = [f"^{w}$" for w in new]
+        parts = [[m[i : i + n] for n in LETTER_GRAMS for i in range(len(m) - n + 1)] for m in marked]
+        found = np.fromiter(map(self.grams.__getitem__, itertools.chain.from_iterable(parts)), np.int64)
+        self.gram_of = np.concatenate([self.gram_of, found])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in parts])])
+        fresh = self.grams.words[len(self.gram_at) :]
+        at, value = self.hashed([f"c{len(g)}:{g}" for g in fresh])
+        self.gram_at, self.gram_value = np.concatenate([self.gram_at, at]), np.concatenate([self.gram_value, value * LETTER_WEIGHT / np.sqrt([len(g) for g in fresh])])
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        for memory in (self.features, self.words, self.pairs):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        at, value, of = [], [], []
-        for row, t in enumerate(texts):
-            words = [w.casefold() for w in _TOKEN.findall(t or "")]
-            for w in words:
-                if (x := self.words.get(w)) is None:
-                    x = self.words[w] = self.word(w)
-                at.append(x[0]), value.append(x[1])
-            pairs = [f"w:{a}\x1f{b}" for a, b in zip(words, words[1:], strict=False)]
-            for p in pairs:
-                if p not in self.pairs:
-                    self.pairs[p] = self.hashed(p, 1 / np.sqrt(2))
-            if pairs:
-                both = [self.pairs[p] for p in pairs]
-                at.append(np.array([x for x, _ in both], np.int64)), value.append(np.array([y for _, y in both]))
-            of.append(len(at))
-        sizes = np.fromiter(map(len, at), np.int64, len(at))
-        rows = np.repeat(np.repeat(np.arange(len(texts)), np.diff([0, *of])), sizes)
-        flat = np.concatenate([np.zeros(0, np.int64), *at]) + rows * self.size
-        out = np.bincount(flat, np.concatenate([np.zeros(0), *value]), len(texts) * self.size).astype(float).reshape(len(texts), self.size)
+        if max(len(self.numbers), len(self.grams)) > REMEMBERED:
+            self.forget()
+        found = [_TOKEN.findall(t or "") for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        rows = np.repeat(np.arange(len(texts)), sizes)
+        self.learned()
+        held, counts = np.unique(rows << 32 | ids, return_counts=True)
+        own, of = held & 0xFFFFFFFF, held >> 32
+        flat, value = [of * self.size + self.word_at[own]], [counts * self.word_value[own]]
+        many = self.start[own + 1] - self.start[own]
+        at = self.gram_of[np.repeat(self.start[own] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))]
+        flat.append(np.repeat(of, many) * self.size + self.gram_at[at]), value.append(np.repeat(counts, many) * self.gram_value[at])
+        near = np.flatnonzero(rows[:-1] == rows[1:])
+        if len(near):
+            words = self.numbers.own.words
+            keys, each = np.unique(ids[near] << 32 | ids[near + 1], return_inverse=True)
+            where, sign = self.hashed([f"w:{words[a]}\x1f{words[b]}" for a, b in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True)])
+            flat.append(rows[near] * self.size + where[each]), value.append(sign[each] / np.sqrt(2))
+        out = np.bincount(np.concatenate(flat), np.concatenate(value), len(texts) * self.size).astype(float).reshape(len(texts), self.size)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
 

@@ -7,13 +7,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gapengine.functions import numbers
+from gapengine.functions.shared import Tables
+from gapengine.operators import minibatch
 
 THRESHOLD, FEW = 0.26, 100
 #: Bits of a hash that name the bin of a resampled row.
@@ -58,17 +57,30 @@ def k_for(n: int) -> int:
     return min(80, max(8, round(math.sqrt(n / 2))))
 
 
-def k_means(rows: DataFrame, id_col: str, vec: str, n: int, seed: int = 42) -> DataFrame:
-    """(id, cluster) by distributed k-means on unit vectors, k from the number of rows."""
-    unit = rows.select(F.col(id_col).alias("id"), array_to_vector(numbers.normalized(F.col(vec))).alias("features"))
-    return KMeans(k=min(k_for(n), n), seed=seed, featuresCol="features", predictionCol="cluster").fit(unit).transform(unit).select("id", "cluster")
+def k_means(rows: DataFrame, id_col: str, vec: str, n: int, seed: int = 42, tables: Tables | None = None) -> DataFrame:
+    """(id, cluster) by mini-batch k-means of unit vectors, the best of several starts; k from the number of rows."""
+    return minibatch.k_means(rows, id_col, vec, lambda _: min(k_for(n), n), seed, tables=tables).select("id", "cluster")
 
 
-def clustered(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
+def clustered(rows: DataFrame, id_col: str, vec: str, tables: Tables | None = None) -> DataFrame:
+    """(id, cluster): greedy under FEW rows, else k-means."""
     n = rows.count()
     if n < FEW:
         return greedy(rows, id_col, vec).select("id", "cluster")
-    return k_means(rows, id_col, vec, n).select(F.col("id").cast("string").alias("id"), "cluster")
+    return k_means(rows, id_col, vec, n, tables=tables).select(F.col("id").cast("string").alias("id"), "cluster")
+
+
+def clustered_by(rows: DataFrame, id_col: str, vec: str, group: str, tables: Tables | None = None) -> DataFrame:
+    """(group, id, cluster): clustered() of each group by itself, all groups in the same passes. Groups are integers; of each, only a count comes to the driver."""
+    sizes = {r.g: r.n for r in rows.groupBy(F.col(group).cast("long").alias("g")).agg(F.count("*").alias("n")).collect()}
+    few, many = [g for g, n in sizes.items() if n < FEW], [g for g, n in sizes.items() if n >= FEW]
+    out = rows.sparkSession.createDataFrame([], f"{group} long, id string, cluster int")
+    if few:
+        out = out.unionByName(greedy(rows.where(F.col(group).isin(few)), id_col, vec, group).select(F.col("grp").alias(group), "id", "cluster"))
+    if many:
+        found = minibatch.k_means(rows.where(F.col(group).isin(many)), id_col, vec, lambda n: min(k_for(n), n), group=F.col(group), tables=tables)
+        out = out.unionByName(found.select(F.col("grp").alias(group), F.col("id").cast("string").alias("id"), "cluster"))
+    return out
 
 
 def replicates(rows: DataFrame, iterations: int = 40, fraction: float = 0.8, id_col: str = "id", seed: int = 0) -> DataFrame:
