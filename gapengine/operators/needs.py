@@ -99,25 +99,29 @@ def kano(df: DataFrame, cluster: str) -> DataFrame:
     return out.withColumn("kano_class", name)
 
 
-def scored(df: DataFrame, cluster: str, total: int | Column) -> DataFrame:
-    """(cluster, support, mean_sentiment, mean_intensity, importance, satisfaction, opportunity); total: signals of the whole corpus."""
-    total = F.lit(total) if isinstance(total, int) else total
-    out = df.groupBy(cluster).agg(F.count("*").alias("support"), F.avg("sentiment").alias("mean_sentiment"), F.avg("intensity").alias("mean_intensity"))
+def scored(df: DataFrame, cluster: str, total: int | str) -> DataFrame:
+    """(cluster, support, mean_sentiment, mean_intensity, importance, satisfaction, opportunity); total: signals of the whole corpus, or a column that has their number in each row of a cluster."""
+    total = F.lit(total) if isinstance(total, int) else F.col(total)
+    out = df.groupBy(cluster).agg(F.count("*").alias("support"), F.avg("sentiment").alias("mean_sentiment"), F.avg("intensity").alias("mean_intensity"), F.max(total).alias("_total"))
+    total = F.col("_total")
     importance = F.least(F.lit(10.0), 3.5 + 4 * F.log1p(F.col("support").cast("double")) / F.log1p(total.cast("double")) + 2.5 * F.col("mean_intensity"))
     out = out.withColumn("importance", importance).withColumn("satisfaction", numbers.clip(5 * (F.col("mean_sentiment") + 1), 0, 10))
-    return out.withColumn("opportunity", numbers.opportunity(F.col("importance"), F.col("satisfaction")))
+    return out.withColumn("opportunity", numbers.opportunity(F.col("importance"), F.col("satisfaction"))).drop("_total")
 
 
 def temporal_scope(df: DataFrame, cluster: str, time: str = "timestamp") -> DataFrame:
     return df.groupBy(cluster).agg(F.min(time).alias("evidence_start"), F.max(time).alias("evidence_end"))
 
 
-def stragglers(signals: DataFrame, assigned: DataFrame, needs: DataFrame, domains: DataFrame, item: str = "id") -> DataFrame:
-    """(id, need_id): unassigned signals whose own best domain (two keyword hits at least) names exactly one need. needs(need_id, domain)."""
+def stragglers(signals: DataFrame, assigned: DataFrame, needs: DataFrame, domains: DataFrame, item: str = "id", by: str | None = None) -> DataFrame:
+    """(id, need_id): unassigned signals whose own best domain (two keyword hits at least) names exactly one need. needs(need_id, domain). by: a column of signals and needs that keeps runs apart."""
     free = signals.join(assigned.select(item), item, "left_anti")
     own = domain_match(free.withColumn("own", F.col(item)), domains, "own", item)
-    one = needs.groupBy("domain").agg(F.count("*").alias("k"), F.min("need_id").alias("need_id")).where("k = 1")
-    return own.join(one, "domain").select(F.col("own").alias(item), "need_id")
+    keys = ["domain"] if by is None else ["domain", by]
+    one = needs.groupBy(*keys).agg(F.count("*").alias("k"), F.min("need_id").alias("need_id")).where("k = 1")
+    own = own.withColumnRenamed("own", item)
+    own = own if by is None else own.join(signals.select(item, by), item)
+    return own.join(one, keys).select(item, "need_id")
 
 
 def consensus(samples: DataFrame, key: str, signature: str, requested: int | Column) -> DataFrame:

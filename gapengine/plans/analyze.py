@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from gapengine.functions import numbers, text, udfs
 from gapengine.functions.shared import Tables
 from gapengine.lexicon import DEFAULT, Lexicon
-from gapengine.plans import guards
-from gapengine.operators import clustering, confidence, evidence, framing, needs, priority, rank, similarity, verdict, verify
+from gapengine.operators import calibration, confidence, evidence, framing, needs, priority, rank, similarity, verdict, verify
+from gapengine.plans import guards, inference
 
 
 @dataclass
@@ -30,51 +30,18 @@ class Config:
     fuzzy: float = verify.THRESHOLD
     lexicon: Lexicon = field(default_factory=lambda: DEFAULT)
     weights: dict[str, float] = field(default_factory=lambda: dict(confidence.WEIGHTS))
+    fusion: str = "harmonic"
 
 
-def infer_needs(signals: DataFrame, config: Config, embed: Callable | None = None, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
-    """Needs (id, latent_need, jtbd_statement, symptom, signal_ids, kano_class, importance, satisfaction, opportunity_score, …) and the members (id, need_id, …).
+def infer_needs(signals: DataFrame, config: Config, embed: Callable | None = None, tables: Tables | None = None, extract: Callable | None = None, merge: Callable | None = None, told: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Needs (id, latent_need, jtbd_statement, symptom, signal_ids, kano_class, importance, satisfaction, opportunity_score, …), the highest opportunity first, ties by id, and the members (need_id, id, …).
 
-    signals(id, text, source, rating, timestamp). Clusters are nameable by the lexicon's domains or they are dropped. Needs come with the highest opportunity first, ties by id.
+    signals(id, text, source, rating, timestamp); told: inference.felt(signals), if it was made before. extract and merge: see inference.infer().
     """
     tables = tables or Tables(signals.sparkSession, "needs")
-    spark, lex = signals.sparkSession, config.lexicon
-    embed = embed or (lambda c: udfs.hash_embed(c, config.dimensions))
-    total = signals.count()
-    kept, _ = needs.friction_split(needs.sentiment(signals, lex), lex)
-    kept = tables.keep(kept.withColumn("vec", embed(F.col("text"))), "kept")
-    labels = tables.keep(clustering.clustered(kept, "id", "vec"), "clusters").withColumnRenamed("cluster", "cluster_no")
-    members = kept.join(labels, "id")
-    sizes = members.groupBy("cluster_no").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= needs.adaptive_minimum(config.min_cluster, total))
-    members = tables.keep(needs.capped(members.join(sizes.select("cluster_no"), "cluster_no"), "cluster_no", "id", config.max_members), "members")
-    domains = lex.domain_words(spark)
-    matches = tables.keep(needs.domain_match(members, domains, "cluster_no"), "matches")
-    aspects = tables.keep(needs.cluster_aspects(members, "cluster_no", stop=lex.stop), "aspects")
-    drop = needs.unnameable(sizes.select("cluster_no"), matches, aspects, domains, "cluster_no", lex.weak)
-    named = tables.keep(members.join(drop, "cluster_no", "left_anti"), "named")
-    top = aspects.groupBy("cluster_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "aspect"))), lambda x: x["aspect"]).alias("aspects"))
-    templates = spark.createDataFrame([(d, title, job) for d, (title, job) in lex.templates.items()], "domain string, title string, job string")
-    frame = named.select("cluster_no").distinct().join(matches.select("cluster_no", "domain"), "cluster_no", "left").join(templates, "domain", "left").join(top, "cluster_no", "left")
-    first = F.try_element_at("aspects", F.lit(1))
-    frame = frame.select("cluster_no", "domain", F.coalesce("title", F.concat(F.lit("Recurring problem with "), first)).alias("latent_need"), F.coalesce("job", F.concat(F.lit("When I deal with "), first, F.lit(", I want it to go well"))).alias("jtbd_statement"), F.coalesce("aspects", F.array().cast("array<string>")).alias("aspects"))
-    kano = needs.kano(named, "cluster_no").select("cluster_no", "kano_class", "negative_share")
-    ground = tables.keep(needs.grounded(named, matches, domains, "cluster_no"), "grounded")
-    # one need for each domain or title: clusters that are framed alike share it
-    ids = ground.groupBy("cluster_no").agg(F.array_sort(F.collect_list("id")).alias("signal_ids"), F.min_by("text", "id").alias("symptom"))
-    score = needs.scored(ground, "cluster_no", total)
-    base = tables.keep(frame.join(ids, "cluster_no").join(kano, "cluster_no").join(score, "cluster_no").withColumn("id", text.ids_id("N", F.col("signal_ids"))), "base")
-    vectors = tables.keep(base.select("id", embed(F.concat_ws("\n", "latent_need", "jtbd_statement")).alias("v")), "vectors")
-    roots = similarity.components(similarity.redundant_pairs(vectors, config.merge_at, "id", "v"))
-    merged = needs.merged(base.select("id", "latent_need", F.col("opportunity").alias("opportunity"), "signal_ids", "aspects", F.lit(1.0).alias("self_consistency"), F.lit(0).cast("long").alias("failures")), roots)
-    lead = base.select("id", "jtbd_statement", "symptom", "kano_class", "negative_share", "domain")
-    joined = merged.join(lead, "id").withColumn("lead_id", F.col("id"))
-    joined = tables.keep(joined.withColumn("need_id", text.ids_id("N", F.col("signal_ids"))), "joined")
-    own = tables.keep(joined.select("need_id", F.explode("signal_ids").alias("id")).join(kept.drop("vec"), "id"), "need_members")
-    rescored = needs.scored(own, "need_id", total)
-    scope = needs.temporal_scope(own, "need_id")
-    out = joined.drop("id", "lead_id").join(rescored, "need_id").join(scope, "need_id")
-    out = out.select(F.col("need_id").alias("id"), "latent_need", "jtbd_statement", "symptom", "signal_ids", "aspects", "kano_class", "domain", F.round("importance", 6).alias("importance"), F.round("satisfaction", 6).alias("satisfaction"), F.round("opportunity", 6).alias("opportunity_score"), "support", "mean_intensity", "self_consistency", "merged_from", "evidence_start", "evidence_end")
-    return tables.keep(out, "needs").orderBy(F.desc("opportunity_score"), "id"), own
+    told = tables.keep(inference.felt(signals, config, embed), "felt") if told is None else told
+    out, own, _ = inference.infer(told.withColumn("run", F.lit(0).cast("long")), config, tables, embed, extract, merge)
+    return out.drop("run").orderBy(F.desc("opportunity_score"), "id"), own.drop("run")
 
 
 def detect_gaps(need: DataFrame, items: DataFrame, config: Config, embed: Callable | None = None, as_of=None, keep_covered: bool = False, tables: Tables | None = None, adjudicate: Callable | None = None) -> DataFrame:
@@ -90,22 +57,30 @@ def detect_gaps(need: DataFrame, items: DataFrame, config: Config, embed: Callab
     backlog = tables.keep(backlog, "backlog")
     latent = text.joined_text(F.col("latent_need"), F.col("jtbd_statement"))
     side = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.col("latent_need"))
-    own = need.withColumn("vec", embed(latent)).withColumn("symptom_terms", text.framing_terms(side("symptom"), stop)).withColumn("job_terms", text.framing_terms(side("jtbd_statement"), stop))
+    parts = {"vec": latent, "symptom_vec": side("symptom"), "job_vec": side("jtbd_statement")}
+    own = need.withColumns({k: embed(v) for k, v in parts.items()}).withColumn("symptom_terms", text.framing_terms(side("symptom"), stop)).withColumn("job_terms", text.framing_terms(side("jtbd_statement"), stop))
     own = tables.keep(own, "own")
-    pool = tables.keep(similarity.top_k(own, backlog, framing.POOL, "id", "id", "vec", "vec").select(F.col("query_id").alias("need_id"), "item_id", "similarity", F.col("rank").alias("pool_rank")), "pool")
+    pool = tables.keep(similarity.top_k(own, backlog, framing.POOL, "id", "id", "vec", "vec", tables).select(F.col("query_id").alias("need_id"), "item_id", "similarity", F.col("rank").alias("pool_rank")), "pool")
     df = framing.document_frequency(backlog)
     named = own.select(F.col("id").alias("need_id"), "symptom_terms", "job_terms")
     probe = tables.keep(framing.probes(named, df, backlog.count()), "probes")
     item_terms = backlog.select(F.col("id").alias("item_id"), "terms")
     frames = tables.keep(framing.verdicts(named, probe, framing.best_covered(probe, item_terms, pool.select("need_id", "item_id", "pool_rank"))), "framings")
+    # whether any item at all covers the job, in the pool or not: told beside the verdict, which goes by the pool
+    wide = framing.best_covered(probe.where("side = 'job'"), item_terms, tables=tables).select("need_id", F.col("item_id").alias("job_item_corpus"), F.col("coverage").alias("job_coverage_corpus"))
+    frames = frames.join(tables.keep(wide, "wide"), "need_id", "left").withColumn("job_coverage_corpus", F.coalesce("job_coverage_corpus", F.lit(0.0)))
     first = pool.where("pool_rank = 1").select("need_id", F.col("item_id").alias("top_item"))
-    m = own.select(F.col("id").alias("need_id"), "vec", "latent_need", "jtbd_statement", "signal_ids", "opportunity_score", "kano_class", "self_consistency").join(frames, "need_id").join(first, "need_id", "left")
+    own = own if "samples" in own.columns else own.withColumn("samples", F.lit(0))
+    m = own.select(F.col("id").alias("need_id"), "latent_need", "jtbd_statement", "signal_ids", "opportunity_score", "kano_class", "self_consistency", "samples").join(frames, "need_id").join(first, "need_id", "left")
     m = m.withColumn("item_id", F.when(F.col("is_misunderstood"), F.col("symptom_item")).otherwise(F.col("top_item")))
     when = F.lit(as_of).cast("timestamp") if as_of is not None else F.col("snapshot")
     low = priority.low_reasons(F.col("priority"), F.col("milestone"), F.col("milestone_due"), F.col("created_at"), F.col("state"), when)
-    told = backlog.crossJoin(F.broadcast(evidence.snapshot_time(items))).select(F.col("id").alias("item_id"), F.col("vec").alias("item_vec"), F.col("title").alias("item_title"), "full", "state", low.alias("low_reasons"))
-    m = tables.keep(m.join(told, "item_id", "left"), "matched")
-    m = m.withColumn("similarity", F.coalesce(numbers.clip(numbers.cosine(F.col("vec"), F.col("item_vec"))), F.lit(0.0))).withColumn("is_low", F.coalesce(F.size("low_reasons") > 0, F.lit(False))).withColumn("closed", F.coalesce(F.col("state") == "closed", F.lit(False)))
+    told = backlog.crossJoin(F.broadcast(evidence.snapshot_time(items))).select(F.col("id").alias("item_id"), F.col("title").alias("item_title"), "full", "state", low.alias("low_reasons"))
+    # all three similarities are to the one item that the gap cites
+    three = similarity.candidate_similarity(own, backlog, {"similarity": "vec", "symptom_similarity": "symptom_vec", "job_similarity": "job_vec"}, "vec", m.where("item_id is not null").select("need_id", "item_id"))
+    m = tables.keep(m.join(told, "item_id", "left").join(three, ["need_id", "item_id"], "left"), "matched")
+    m = m.withColumns({c: F.coalesce(numbers.clip(F.col(c)), F.lit(0.0)) for c in ("similarity", "symptom_similarity", "job_similarity")})
+    m = m.withColumn("is_low", F.coalesce(F.size("low_reasons") > 0, F.lit(False))).withColumn("closed", F.coalesce(F.col("state") == "closed", F.lit(False)))
     v = verdict.guarded(verdict.verdict(F.col("is_misunderstood"), F.col("similarity"), F.col("is_low"), config.low, config.high), F.col("closed"))
     s = verdict.stability(F.col("is_misunderstood"), F.col("similarity"), F.col("is_low"), F.col("symptom_coverage"), F.col("job_coverage"), F.col("closed"), config.low, config.high)
     m = tables.keep(m.withColumn("verdict", v).withColumn("stability", s), "verdicts")
@@ -113,28 +88,38 @@ def detect_gaps(need: DataFrame, items: DataFrame, config: Config, embed: Callab
         m = tables.keep(verdict.adjudicated(m, adjudicate, config.low, config.high), "adjudicated")
     hit_terms = probe.where("side = 'symptom'").groupBy("need_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("o"), "term"))), lambda x: x["term"]).alias("probe_terms"))
     m = m.join(hit_terms, "need_id", "left").withColumn("roadmap_quote", framing.quote(F.col("full"), F.col("item_title"), F.coalesce("probe_terms", F.array().cast("array<string>"))))
-    out = m.select(evidence.gap_id(F.col("need_id"), F.coalesce("item_id", F.lit("")), F.col("verdict")).alias("id"), "need_id", "item_id", "latent_need", "jtbd_statement", "kano_class", "verdict", F.round("similarity", 6).alias("similarity"), "signal_ids", "opportunity_score", "self_consistency", "eligible", "symptom_coverage", "job_coverage", "is_low", "closed", "stability", "item_title", "roadmap_quote", F.col("full").alias("item_text"))
+    out = m.select(evidence.gap_id(F.col("need_id"), F.coalesce("item_id", F.lit("")), F.col("verdict")).alias("id"), "need_id", "item_id", "latent_need", "jtbd_statement", "kano_class", "verdict", *[F.round(c, 6).alias(c) for c in ("similarity", "symptom_similarity", "job_similarity")], "signal_ids", "opportunity_score", "self_consistency", "samples", "eligible", "symptom_coverage", "job_coverage", "job_coverage_corpus", "job_item_corpus", "is_low", "closed", "stability", "item_title", "roadmap_quote", F.col("full").alias("item_text"))
     out = tables.keep(out if keep_covered else out.where("verdict <> 'COVERED'"), "gaps")
     return out.orderBy(F.desc("opportunity_score"), "id")
 
 
-def score_gaps(gaps: DataFrame, signals: DataFrame, config: Config, embed: Callable | None = None, tables: Tables | None = None) -> DataFrame:
-    """Gaps with the features, the evidence score, dissent, the weakest assumption, their evidence's time scope and a status text."""
+def score_gaps(gaps: DataFrame, signals: DataFrame, config: Config, embed: Callable | None = None, tables: Tables | None = None, told: DataFrame | None = None, calibrator: calibration.Calibrator | None = None) -> DataFrame:
+    """Gaps with the features, the evidence score fused with self-consistency where answers were observed, dissent, the weakest assumption, their evidence's time scope, a calibrated confidence (null without a calibrator) and a status.
+
+    told: inference.felt(signals), if it was made before. Only cited signals are embedded that have no vector there.
+    """
     tables = tables or Tables(gaps.sparkSession, "scores")
     embed = embed or (lambda c: udfs.hash_embed(c, config.dimensions))
-    told = needs.sentiment(signals, config.lexicon).select(F.col("id").alias("signal_id"), "source", F.when(F.col("rating").isNotNull(), confidence.signal_sentiment(F.lit(None).cast("double"), F.col("rating"))).otherwise(F.col("sentiment")).alias("sentiment"), "timestamp", embed(F.col("text")).alias("vec"))
+    if told is None:
+        told = needs.sentiment(signals, config.lexicon).withColumn("vec", F.lit(None).cast("array<float>"))
+    value = F.when(F.col("rating").isNotNull(), confidence.signal_sentiment(F.lit(None).cast("double"), F.col("rating"))).otherwise(F.col("sentiment"))
+    told = told.select(F.col("id").alias("signal_id"), "source", value.alias("sentiment"), "timestamp", "text", "vec")
     cited = gaps.select(F.col("id").alias("gap_id"), F.explode(F.array_distinct("signal_ids")).alias("signal_id")).join(told, "signal_id", "left").withColumn("resolved", F.col("source").isNotNull())
+    cited = cited.withColumn("vec", F.coalesce("vec", embed(F.when(F.col("vec").isNull(), F.col("text"))))).drop("text")
     cited = tables.keep(cited, "cited")
     feats = confidence.features(cited)
     coh = similarity.cohesion(cited.where("resolved"), "gap_id", "vec").select("gap_id", F.col("cohesion").alias("coh"))
     against = confidence.counterevidence(cited).select("gap_id", F.col("share").alias("dissent"))
     out = gaps.withColumnRenamed("id", "gap_id").join(feats, "gap_id", "left").join(coh, "gap_id", "left").join(against, "gap_id", "left")
-    out = out.withColumn("agree", confidence.agreement(F.col("resolved"), F.lit(0))).withColumn("coh", F.coalesce("coh", F.lit(0.5)))
-    out = out.withColumn("raw", confidence.evidence_score(weights=config.weights))
+    out = out if "samples" in out.columns else out.withColumn("samples", F.lit(0))
+    out = out.withColumns({"agree": confidence.agreement(F.col("resolved"), F.col("samples")), "coh": F.coalesce("coh", F.lit(0.5)), "selfc": confidence.self_consistency(F.col("self_consistency"), F.col("samples"))})
+    out = out.withColumn("analytic", confidence.evidence_score(weights=config.weights))
+    out = out.withColumn("raw", F.round(confidence.fused(F.col("analytic"), F.col("selfc"), config.fusion, F.col("samples") > 0), 12)).withColumn("fusion", F.when(F.col("samples") > 0, config.fusion).otherwise("analytic-only"))
     weak = confidence.weakest_assumption(F.col("stability.gate"), F.col("stability.margin"), config.low, F.coalesce("dissent", F.lit(0.0)), F.col("coh"), F.col("eligible"), F.col("vol"))
     scope = cited.where("resolved").groupBy("gap_id").agg(F.min("timestamp").alias("evidence_start"), F.max("timestamp").alias("evidence_end"))
-    status = F.concat(F.lit("raw evidence score, not calibrated; "), F.coalesce(F.col("cited").cast("string"), F.lit("0")), F.lit(" signals cited"))
-    out = out.withColumn("weakest", weak).withColumn("confidence_status", status).join(scope, "gap_id", "left")
+    known = calibrator is not None and calibrator.kind != "identity"
+    out = out.withColumn("weakest", weak).withColumn("confidence_status", F.lit("calibrated_probability" if known else "uncalibrated_evidence_score_not_probability")).join(scope, "gap_id", "left")
+    out = calibrator.apply(out, "raw", "calibrated").withColumn("calibrated", F.round(numbers.clip(F.col("calibrated")), 6)) if known else out.withColumn("calibrated", F.lit(None).cast("double"))
     return tables.keep(out.withColumnRenamed("gap_id", "id"), "scored")
 
 
@@ -163,7 +148,7 @@ def verify_gaps(gaps: DataFrame, signals: DataFrame, need: DataFrame, items: Dat
 
 @dataclass
 class Result:
-    """The tables of a run. release() deletes them; until then they can be read as often as needed."""
+    """The tables of a run. release() deletes them; until then they can be read as often as needed. stability is None unless it was asked for."""
 
     needs: DataFrame
     gaps: DataFrame
@@ -171,6 +156,7 @@ class Result:
     reports: DataFrame
     manifest: dict
     tables: Tables
+    stability: DataFrame | None = None
 
     def release(self) -> None:
         self.tables.release()
@@ -178,10 +164,11 @@ class Result:
 
 def analyze(
     signals: DataFrame, items: DataFrame, config: Config | None = None, embed: Callable | None = None, as_of=None, calibrate: Callable[[DataFrame], DataFrame] | None = None, adjudicate: Callable | None = None, critic: Callable | None = None,
+    extract: Callable | None = None, merge: Callable | None = None, calibrator: calibration.Calibrator | None = None, replicates: int = 0,
 ) -> Result:
-    """needs, gaps, scores, calibration (a function that adds confidence to scored gaps, optional), verification, ranking and a manifest of counts.
+    """needs, gaps, scores, calibration, verification, ranking and a manifest of counts; with replicates, the needs' stability under resampling.
 
-    An empty backlog, and signals or items with empty or repeated ids, are errors.
+    A calibrator ranks gaps by calibrated confidence; calibrate, a function that adds confidence to verified gaps, does so in its place. An empty backlog, and signals or items with empty or repeated ids, are errors.
     """
     config = config or Config()
     guards.unique_ids(signals, "signals")
@@ -189,12 +176,16 @@ def analyze(
     if items.isEmpty():
         raise ValueError("there is no backlog to compare with")
     tables = Tables(signals.sparkSession, "analysis")
-    need, _ = infer_needs(signals, config, embed, tables)
-    gaps = score_gaps(detect_gaps(need, items, config, embed, as_of, tables=tables, adjudicate=adjudicate), signals, config, embed, tables)
+    told = tables.keep(inference.felt(signals, config, embed), "felt")
+    need, own = infer_needs(signals, config, embed, tables, extract, merge, told)
+    gaps = score_gaps(detect_gaps(need, items, config, embed, as_of, tables=tables, adjudicate=adjudicate), signals, config, embed, tables, told, calibrator)
     verified, reports = verify_gaps(gaps, signals, need, items, config, tables, critic)
     rows = verified.withColumnRenamed("latent_need", "title").withColumnRenamed("opportunity_score", "opportunity").withColumn("evidence", F.size(F.array_distinct("signal_ids")))
+    if calibrate is None and calibrator is not None and calibrator.kind != "identity":
+        calibrate = lambda df: df.withColumn("confidence", F.col("calibrated"))
     ranked = tables.keep(rank.ranked(calibrate(rows), config.top_k) if calibrate else rank.ranked_uncalibrated(rows, config.top_k), "ranked")
-    n = ranked.count()
-    assigned = rank.assignment(signals, need).first()
-    manifest = {"signals": assigned.signals, "assigned_signals": assigned.assigned, "unassigned_signals": assigned.unassigned, "needs": need.count(), "gaps": gaps.count(), "verified": verified.count(), "ranked": n, "shortfall": rank.shortfall(config.top_k, n), "calibrated": calibrate is not None}
-    return Result(need, gaps, ranked, reports, manifest, tables)
+    steady = inference.stability(signals, config, replicates, embed=embed, tables=tables, told=told, baseline=need) if replicates else None
+    n, total = ranked.count(), told.count()
+    assigned = own.select("id").distinct().count()
+    manifest = {"signals": total, "assigned_signals": assigned, "unassigned_signals": total - assigned, "needs": need.count(), "gaps": gaps.count(), "verified": verified.count(), "ranked": n, "shortfall": rank.shortfall(config.top_k, n), "calibrated": calibrate is not None, "replicates": replicates}
+    return Result(need, gaps, ranked, reports, manifest, tables, steady)
