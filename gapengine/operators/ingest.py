@@ -32,9 +32,19 @@ def deduplicated(rows: DataFrame, source: str = "reviews") -> DataFrame:
 
     max_by aggregates partially before the only exchange. Contradictory ratings of one text survive.
     """
-    rep = F.struct(F.coalesce(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("")).alias("iso"), "source_id", "version_id", "text")
+    rep = F.struct(iso(F.col("timestamp")).alias("iso"), "source_id", "version_id", "text")
     body = F.struct("package_name", "text", "rating", "timestamp", "source_id", "version_id")
     groups = rows.groupBy(dedup_key(F.col("text"), F.col("rating")).alias("key")).agg(F.count("*").cast("int").alias("n"), F.max_by(body, rep).alias("x"))
+    return signals(groups, source)
+
+
+def iso(time: Column) -> Column:
+    """A time as text that sorts as times do, with none first."""
+    return F.coalesce(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(""))
+
+
+def signals(groups: DataFrame, source: str = "reviews") -> DataFrame:
+    """Signals of groups(n, x): the number of equal rows and the one that stands for them."""
     x = F.col("x")
     ident = text.stable_id("S", [F.lit(source), text.folded(x["package_name"]), text.folded(x["text"]), x["rating"]])
     return groups.select(ident.alias("id"), F.lit(source).alias("source"), x["source_id"].alias("source_id"), x["text"].alias("text"), x["timestamp"].alias("timestamp"), x["rating"].alias("rating"), x["package_name"].alias("package_name"), F.struct(F.col("n").alias("duplicate_count"), F.lit("text+rating").alias("deduplication"), x["version_id"].alias("version_id")).alias("metadata"))
