@@ -12,7 +12,8 @@ from gapengine.functions import numbers, text, udfs
 from gapengine.functions.shared import Tables, spread
 from gapengine.lexicon import Lexicon
 from gapengine.operators import audit, calibration, clustering, confidence, evidence, framing, ingest, labeling, needs, priority, rank, report, similarity, verdict, verify
-from gapengine.plans import analyze
+from gapengine.plans import analyze, inference
+from gapengine.streaming import ingest as stream_ingest
 
 #: Function words of the tables' invented languages stand in for sentiment and domain words, so that the operators have something to find.
 LEXICON = Lexicon(positive=frozenset({"is", "was"}), negative=frozenset({"that", "with"}), intense=frozenset({"for"}), friction=frozenset({"by"}), phrases=("thshe", "the of"))
@@ -610,6 +611,31 @@ def q77_analysis(spark, sf):
     return result.ranked.select("id", "title", "verdict", "critique", "score", "rank")
 
 
+def q78_blind_packets(spark, sf):
+    """labels as pairs for three reviewers: each has all of them, once, in places from 0 on."""
+    pairs = t(spark, sf, "labels").select(F.col("doc_id").alias("pair_id"), "quality")
+    out = labeling.packets(pairs, ["pair_id"], ["ann", "ben", "cleo"], 7)
+    return out.groupBy("reviewer").agg(F.count("*").alias("n"), F.count_distinct("position").alias("places"), F.min("position").alias("least"), F.max("position").alias("most"), F.sum("pair_id").alias("ids"))
+
+
+def q79_need_stability(spark, sf):
+    """Users' turns as signals: how often each need comes back on five subsamples."""
+    c = t(spark, sf, "conversations")
+    s = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("turns").alias("source"), "text", as_of().alias("timestamp"), (1.0 + F.col("conv_id") % 5).alias("rating"))
+    lexicon = Lexicon(negative=LEXICON.negative, positive=LEXICON.positive, domains={d: frozenset(w) for d, w in DOMAINS.items()}, templates={d: (f"Needs of {d}", f"When {d} matters") for d in DOMAINS})
+    return inference.stability(s, analyze.Config(lexicon=lexicon), 5)
+
+
+def q80_stream_ingest(spark, sf):
+    """documents arrive as a stream of reviews; its state ends as q01's signals."""
+    tables = Tables(spark, "stream")
+    review_rows(spark, sf).write.parquet(f"{tables.folder}/in")
+    rows = spark.readStream.schema(spark.read.parquet(f"{tables.folder}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{tables.folder}/in")
+    stream_ingest.write(rows, f"{tables.folder}/out", f"{tables.folder}/state").awaitTermination()
+    out = stream_ingest.current(spark.read.parquet(f"{tables.folder}/out"), "documents")
+    return out.select("id", "source_id", "package_name", "rating", F.col("metadata.duplicate_count").alias("duplicate_count"), F.length("text").alias("text_length"))
+
+
 def flagship(spark, sf):
     """Adjacent turns as needs, documents as the backlog: probes, coverage, verdicts, stability, unique titles and rank."""
     own, docs, probe = probe_parts(spark, sf)

@@ -260,5 +260,9 @@ SQL = {
 }
 
 
+SQL["q78_blind_packets"] = "SELECT reviewer, count(*) AS n, count(*) AS places, 0::BIGINT AS least, count(*) - 1 AS most, sum(doc_id)::BIGINT AS ids FROM labels, (VALUES ('ann'), ('ben'), ('cleo')) r(reviewer) GROUP BY 1"
+SQL["q80_stream_ingest"] = SQL["q01_ingest_dedup"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
