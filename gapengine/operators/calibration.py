@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,9 +59,57 @@ def fit(rows: DataFrame, method: str = "auto", score: str = "score", y: str = "y
     if method == "isotonic":
         data = rows.select(F.col(score).alias("features"), F.col(y).cast("double").alias("label"))
         return Calibrator("isotonic", model=IsotonicRegression().fit(data))
-    data = rows.select(array_to_vector(F.array(score)).alias("features"), F.col(y).cast("double").alias("label"))
-    m = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-9, standardization=False).fit(data)
-    return Calibrator("platt", float(m.coefficients[0]), float(m.intercept))
+    return platt(rows.withColumn("fold", F.lit(0)), 1, score, y)[-1]
+
+
+#: Newton steps at most, and the step below which they end.
+STEPS, STILL = 60, 1e-10
+
+
+def platt(rows: DataFrame, k: int, score: str = "score", y: str = "y") -> list[Calibrator]:
+    """Logistic calibrators of all k folds, each fitted on the rows of the others, and last one of all rows.
+
+    A Newton step of all of them is one aggregation: each fold's rows give sums of gradients and curvatures under every model, and a model adds up those of the folds that aren't its own.
+    Steps that don't raise the likelihood are halved; classes that a score separates have no best slope, so it stops growing after STEPS.
+    """
+    own = rows.select("fold", F.col(score).cast("double").alias("_s"), F.col(y).cast("double").alias("_y"))
+    models = list(range(k)) + [None]
+
+    def sums(at: list[tuple[float, float]]) -> list[np.ndarray]:
+        parts = []
+        for m, (a, b) in enumerate(at):
+            z = F.lit(a) * F.col("_s") + F.lit(b)
+            p = numbers.sigmoid(z)
+            w, d = p * (1 - p), F.col("_y") - p
+            loss = -(F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - F.col("_y") * z)
+            parts += [F.sum(x).alias(f"m{m}_{i}") for i, x in enumerate((d * F.col("_s"), d, w * F.col("_s") * F.col("_s"), w * F.col("_s"), w, loss))]
+        found = own.groupBy("fold").agg(*parts).collect()  # a row for each fold
+        return [sum((np.array([r[f"m{m}_{i}"] for i in range(6)]) for r in found if r.fold != f), np.zeros(6)) for m, f in enumerate(models)]
+
+    at, step = [(0.0, 0.0)] * len(models), [(0.0, 0.0)] * len(models)
+    told = sums(at)
+    for _ in range(STEPS):
+        for m, t in enumerate(told):
+            curve = np.array([[t[2], t[3]], [t[3], t[4]]])
+            step[m] = tuple(np.linalg.solve(curve, t[:2])) if abs(np.linalg.det(curve)) > 1e-14 else (0.0, 0.0)
+        if max(abs(x) for s in step for x in s) < STILL:
+            break
+        ahead = [(a + da, b + db) for (a, b), (da, db) in zip(at, step, strict=True)]
+        after = sums(ahead)
+        for m in range(len(models)):
+            if after[m][5] >= told[m][5] - 1e-12 * abs(told[m][5]):
+                at[m], told[m] = ahead[m], after[m]
+        lower = [m for m in range(len(models)) if at[m] != ahead[m]]
+        for half in range(1, 12):
+            if not lower:
+                break
+            ahead = [(a + da / 2**half, b + db / 2**half) if m in lower else (a, b) for m, ((a, b), (da, db)) in enumerate(zip(at, step, strict=True))]
+            after = sums(ahead)
+            for m in list(lower):
+                if after[m][5] >= told[m][5]:
+                    at[m], told[m] = ahead[m], after[m]
+                    lower.remove(m)
+    return [Calibrator("platt", a, b) for a, b in at]
 
 
 def folds(rows: DataFrame, id_col: str, y: str = "y", most: int = 5, seed: str = "folds") -> tuple[DataFrame, int]:
@@ -81,12 +128,16 @@ def folds(rows: DataFrame, id_col: str, y: str = "y", most: int = 5, seed: str =
     return dealt.withColumn("fold", ((F.col("_k") + F.col("_before")) % max(1, k)).cast("int")).drop("_h", "_bin", "_y", "_b", "_k", "_before"), k if k >= 2 else 0
 
 
-def cross_fitted(rows: DataFrame, id_col: str, method: str = "platt", score: str = "score", y: str = "y", most: int = 5) -> DataFrame:
-    """Each row with p from a calibrator that was fitted on the other folds; without two folds, from one fitted on all. Labelled rows are few: each fit reads them again."""
+def cross_fitted(rows: DataFrame, id_col: str, method: str = "platt", score: str = "score", y: str = "y", most: int = 5, tables: Tables | None = None) -> DataFrame:
+    """Each row with p from a calibrator that was fitted on the other folds; without two folds, from one fitted on all. Platt's models are fitted together, one pass over the rows for each step of all."""
     dealt, k = folds(rows, id_col, y, most)
     if not k:
         return fit(rows, method, score, y).apply(rows, score).withColumn("fold", F.lit(None).cast("int"))
-    dealt = Tables(rows.sparkSession, "folds").keep(dealt)
+    dealt = (tables or Tables(rows.sparkSession, "folds")).keep(dealt)
+    if method == "platt":
+        models = platt(dealt, k, score, y)[:k]
+        pick = lambda of: F.element_at(F.array(*[F.lit(float(of(m))) for m in models]), F.col("fold") + 1)
+        return dealt.withColumn("p", numbers.sigmoid(pick(lambda m: m.coefficient) * F.col(score) + pick(lambda m: m.intercept)))
     out = None
     for i in range(k):
         part = fit(dealt.where(F.col("fold") != i), method, score, y).apply(dealt.where(F.col("fold") == i), score)
@@ -102,7 +153,3 @@ def joined_labels(gaps: DataFrame, labels: DataFrame) -> DataFrame:
     pair = last("need_id", "roadmap_id").withColumnRenamed("y", "y2")
     out = gaps.join(direct, "gap_id", "left").join(pair, ["need_id", "roadmap_id"], "left")
     return out.select("gap_id", F.coalesce("y1", "y2").alias("y")).where("y is not null")
-
-
-def probability(column: str = "probability") -> Column:
-    return vector_to_array(F.col(column))[1]

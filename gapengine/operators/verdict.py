@@ -54,8 +54,12 @@ def tuned(rows: DataFrame, lows: list[float], highs: list[float], folds: int = 5
     spark = rows.sparkSession
     grid = spark.createDataFrame([(lo, hi) for lo, hi in product(lows, highs) if lo < hi], "low double, high double")
     right = (verdict(F.col("is_misunderstood"), F.col("similarity"), F.col("low_priority"), F.col("low"), F.col("high")) == F.col("expected")).cast("long")
-    each = rows.crossJoin(F.broadcast(grid)).withColumn("right", right).withColumn("fold", F.pmod("position", F.lit(folds)))
-    by_fold = each.groupBy("low", "high", "fold").agg(F.sum("right").alias("right"), F.count("*").alias("n"))
+    # rows between the same neighbouring thresholds have the same verdict under every pair, so they are counted once and only the counts, of bounded number, meet the grid
+    edges = sorted({x for lo, hi in product(lows, highs) if lo < hi for x in (lo, hi, (lo + hi) / 2)})
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("similarity")))
+    counts = rows.groupBy(F.pmod("position", F.lit(folds)).alias("fold"), "low_priority", "is_misunderstood", "expected", place.alias("place")).agg(F.count("*").alias("k"), F.min("similarity").alias("similarity"))
+    each = counts.crossJoin(F.broadcast(grid)).withColumn("right", right * F.col("k"))
+    by_fold = each.groupBy("low", "high", "fold").agg(F.sum("right").alias("right"), F.sum("k").alias("n"))
     order = [F.desc("accuracy"), F.expr("round(high - low, 9)"), F.col("low"), F.col("high")]
     whole = by_fold.groupBy("low", "high").agg(F.sum("right").alias("all_right"), F.sum("n").alias("all_n"))
     out = whole.withColumn("accuracy", F.round(F.col("all_right") / F.col("all_n"), 6)).withColumn("rank", F.row_number().over(W.orderBy(*order)))
