@@ -19,8 +19,57 @@ def counts_reconcile(total: Column, matching: Column, blank: Column, invalid: Co
     return (matching == blank + invalid + duplicates + emitted) & (matching <= total) & (F.least(blank, invalid, duplicates, emitted) >= 0)
 
 
+#: Bits of a key's hash that name a leaf of the hash tree and its parent.
+LEAF, PARENT = 16, 8
+
+
+def digest_tree(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(level, bucket, n, d0 to d3): the hash tree of a table's rows by ranges of their keys' hashes, at levels 0 (all), PARENT and LEAF.
+
+    A digest is a sum of the rows' 128-bit hashes in four parts, so it doesn't depend on the order of rows, counts repeated ones, and a parent's is the sum of its children's. One pass, aggregated
+    where the rows are; 2^LEAF + 2^PARENT + 1 rows at most. Write it beside the table and the next run needs no look at the old rows.
+    """
+    cols = [F.col(c) for c in sorted(df.columns)]
+    told = [*cols, *[c.isNull() for c in cols]]  # a hash passes over nulls
+    h1, h2 = F.xxhash64(F.lit(1), *told), F.xxhash64(F.lit(2), *told)
+    low = F.lit(0xFFFFFFFF).cast("long")
+    parts = {"d0": h1.bitwiseAND(low), "d1": F.shiftrightunsigned(h1, 32), "d2": h2.bitwiseAND(low), "d3": F.shiftrightunsigned(h2, 32)}
+    leaves = df.select(bucket_of(keys).alias("bucket"), *[v.alias(k) for k, v in parts.items()]).groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in parts])
+    path = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("bucket")), F.struct(F.lit(PARENT).alias("level"), F.shiftright("bucket", LEAF - PARENT).alias("bucket")), F.struct(F.lit(LEAF).alias("level"), F.col("bucket")))
+    spread = leaves.select(F.explode(path).alias("at"), "n", *parts)
+    return spread.groupBy(F.col("at.level").alias("level"), F.col("at.bucket").alias("bucket")).agg(F.sum("n").alias("n"), *[F.sum(F.col(k).cast("decimal(38,0)")).alias(k) for k in parts])
+
+
+def bucket_of(keys: list[str]) -> Column:
+    cols = [F.col(k) for k in keys]
+    return F.shiftrightunsigned(F.xxhash64(*cols, *[c.isNull() for c in cols]), 64 - LEAF).cast("int")
+
+
+def differing_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(bucket): leaves of two hash trees that differ; only children of parents that differ are compared, and of equal trees none."""
+    values = ["n", "d0", "d1", "d2", "d3"]
+
+    def differ(level: int, above: DataFrame | None, step: int) -> DataFrame:
+        a, b = (t.where(F.col("level") == level).select("bucket", F.struct(*values).alias(name)) for t, name in ((before, "a"), (after, "b")))
+        if above is not None:
+            up = F.broadcast(above.select(F.col("bucket").alias("parent")))  # 2^PARENT at most
+            a, b = (t.join(up, F.shiftright("bucket", step) == F.col("parent"), "left_semi") for t in (a, b))
+        return a.join(b, "bucket", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket")
+
+    top = differ(0, None, 0)
+    parents = differ(PARENT, top, PARENT)
+    return differ(LEAF, parents, LEAF - PARENT)
+
+
+def narrowed(before: DataFrame, after: DataFrame, keys: list[str], tree: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of both whose ranges of keys differ; all others are alike and aren't exchanged. tree: digest_tree(before), if it was kept."""
+    leaves = F.broadcast(differing_ranges(digest_tree(before, keys) if tree is None else tree, digest_tree(after, keys)))  # 2^LEAF at most
+    return tuple(df.withColumn("bucket", bucket_of(keys)).join(leaves, "bucket", "left_semi").select(*df.columns) for df in (before, after))
+
+
 def reconciled(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """(keys, status, differing): rows of either side alone and rows whose fields differ (nulls are equal); rows that agree are left out."""
+    """(keys, status, differing): rows of either side alone and rows whose fields differ (nulls are equal); rows that agree are left out. Only ranges of keys whose digests differ are joined."""
+    left, right = narrowed(left.select(*keys, *fields), right.select(*keys, *fields), keys)
     a = left.select(*keys, F.struct(*fields).alias("_a"))
     b = right.select(*keys, F.struct(*fields).alias("_b"))
     both = a.join(b, keys, "full_outer")
@@ -30,7 +79,9 @@ def reconciled(left: DataFrame, right: DataFrame, keys: list[str], fields: list[
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that only one of two runs has, with side."""
+    """Rows that only one of two runs has, with side. Only ranges of rows whose digests differ are compared."""
+    after = after.select(*before.columns)
+    before, after = narrowed(before, after, before.columns)
     return before.exceptAll(after).withColumn("side", F.lit("before")).unionByName(after.exceptAll(before).withColumn("side", F.lit("after")))
 
 
