@@ -23,6 +23,8 @@ from gapengine.functions.shared import Tables
 BLOCK = 4096
 #: Pivots at most, rows of the sample that they are picked from for each of them, rings around a pivot, and pivots whose intervals bound a block.
 PIVOTS, SAMPLE, RINGS, BOUNDS = 128, 16, 128, 8
+#: Blocks of a pile at most, and values (rows by dimensions) that one may have: 32 MB. The nearest items of a query are looked for in a pile of blocks at a time.
+PILE, PILE_VALUES = 16, 1 << 22
 #: Angles are rounded: what is nearer than this to a bound isn't skipped.
 SLACK = 1e-6
 
@@ -119,10 +121,12 @@ def laid_out(rows: DataFrame, n: int, tables: Tables, block: int = BLOCK) -> tup
     return dealt, tables.keep(bounds, "bounds"), layout
 
 
-def sized(rows: DataFrame, block: int) -> tuple[int, int]:
-    """Rows, and how many of them make a block: fewer than block, if the vectors are so long that it would take over 32 MB."""
+def sized(rows: DataFrame, block: int) -> tuple[int, int, int]:
+    """Rows, how many of them make a block (fewer than block, if the vectors are so long that it would take over 32 MB), and how many blocks make a pile."""
     r = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    return r.n, max(1, min(block, (1 << 22) // max(1, r.d or 1)))
+    d = max(1, r.d or 1)
+    block = max(1, min(block, PILE_VALUES // d))
+    return r.n, block, max(1, min(PILE, PILE_VALUES // (block * d)))
 
 
 def gap(lo_a, hi_a, lo_b, hi_b):
@@ -147,7 +151,7 @@ def block_pairs(bounds: DataFrame, most: float) -> DataFrame:
 
 def similar_pairs(rows: DataFrame, threshold: float, tables: Tables, block: int | None = None, counter: dict | None = None) -> DataFrame:
     """(a, b, similarity) with a < b and a cosine of at least threshold, which is over 0, of rows(id, v). counter gets the pairs of blocks that there are and those that were compared, and how many rows were sent for that."""
-    n, block = sized(rows, block or BLOCK)
+    n, block, _ = sized(rows, block or BLOCK)
     kind = rows.schema["id"].dataType.simpleString()
     if n <= block:
         return within_one(rows, n, threshold, kind)
@@ -223,9 +227,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, tables: Tables, block:
     """(query_id, item_id, similarity, rank): the k most similar of items(id, v) for each of queries(id, v); equal similarities by item id.
 
     Items of one block are broadcast. Others are dealt into blocks; a query meets the blocks around it first and then those that can still hold one of its k best. counter gets the pairs of
-    queries and blocks that there are and those that were compared. Zero vectors are similar to nothing: as queries they get the first items by id, as items they have a similarity of 0.
+    queries and blocks that there are and those that were compared, and how often a query was sent to a pile after its first ones. Zero vectors are similar to nothing: as queries they get the first items by id, as items they have a similarity of 0.
     """
-    n, block = sized(items, block or BLOCK)
+    n, block, pile = sized(items, block or BLOCK)
     kinds = [x.schema["id"].dataType.simpleString() for x in (queries, items)]
     own = queries.select("id", F.col("v").cast("array<double>").alias("v"))
     if n <= block:
@@ -243,14 +247,14 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, tables: Tables, block:
     found = items.sparkSession.createDataFrame([], f"query_id {kinds[0]}, item_id {kinds[1]}, similarity double")
     if not bounds.isEmpty():
         homes = F.broadcast(items.sparkSession.createDataFrame(home_blocks(bounds, layout, k), "cell int, ring int, block int"))  # some blocks for each cell and ring
-        first = tables.keep(met(asked.join(homes, ["cell", "ring"]).select("id", "v", "block"), dealt, k, kinds, block), "first")
+        first = tables.keep(met(asked, in_piles(asked.join(homes, ["cell", "ring"]).select("id", "block"), pile), dealt, k, kinds, block, pile), "first")
         top = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         bar = top.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("similarity")).otherwise(-1.0).alias("bar"))
         open_blocks = wanted(asked.where("cell >= 0").join(bar.withColumnRenamed("query_id", "id"), "id", "left"), bounds)
-        rest = tables.keep(open_blocks.join(homes, ["cell", "ring", "block"], "left_anti").select("id", "block"), "wanted")
+        rest = tables.keep(in_piles(open_blocks.join(homes, ["cell", "ring", "block"], "left_anti").select("id", "block"), pile), "wanted")
         if counter is not None:
-            counter |= {"pairs": asked.count() * bounds.count(), "compared": rest.count() + asked.join(homes, ["cell", "ring"]).count()}
-        found = first.unionByName(met(asked.select("id", "v").join(rest, "id"), dealt, k, kinds, block))
+            counter |= {"pairs": asked.count() * bounds.count(), "compared": (rest.agg(F.sum(F.size("blocks")).alias("n")).first().n or 0) + asked.join(homes, ["cell", "ring"]).count(), "sent": rest.count()}
+        found = first.unionByName(met(asked, rest, dealt, k, kinds, block, pile))
     least = items.select(F.col("id").alias("item_id"), (F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double")))) == 0).alias("is_zero"))
     nothing = F.lit(0.0).alias("similarity")
     for q, i in ((asked, least.where("is_zero")), (asked.where("cell < 0"), least)):
@@ -305,14 +309,51 @@ def wanted(asked: DataFrame, bounds: DataFrame) -> DataFrame:
     return open_cells.join(two, "other").where(gap(F.col("near"), F.col("near"), F.col("lo"), F.col("hi")) <= F.col("reach")).select("id", "cell", "ring", "block")
 
 
-def met(queries: DataFrame, dealt: DataFrame, k: int, kinds: list[str], block: int) -> DataFrame:
-    """(query_id, item_id, similarity): the k best of each block for the queries(id, v, block) that meet it. A block that many queries meet is sent once for so many queries as make a block."""
-    parts = queries.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    left = queries.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    right = dealt.select("block", F.col("id").alias("i"), F.col("v").alias("w")).join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = right.select("block", "part", F.col("i").alias("id"), F.col("w").alias("v"))
+def in_piles(pairs: DataFrame, pile: int) -> DataFrame:
+    """(id, pile, blocks) of pairs(id, block), which a query has once each: the blocks that it meets in a pile."""
+    return pairs.groupBy("id", F.floor(F.col("block") / pile).cast("int").alias("pile")).agg(F.collect_list("block").alias("blocks"))
+
+
+def met(queries: DataFrame, pairs: DataFrame, dealt: DataFrame, k: int, kinds: list[str], block: int, pile: int) -> DataFrame:
+    """(query_id, item_id, similarity): of queries(id, v), the k best in all the blocks of a pile that they meet, by pairs(id, pile, blocks). A query is sent once to a pile, and gives k rows for it, however many
+    blocks it meets there; a pile is sent once for so many queries as it may have rows."""
+    sizes = pairs.groupBy("pile").agg(F.ceil(F.count("*") / (pile * block)).cast("int").alias("parts"))
+    left = pairs.join(sizes, "pile").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(queries.select("id", "v"), "id").select("pile", "part", "id", "v", "blocks")
+    right = dealt.select(F.floor(F.col("block") / pile).cast("int").alias("pile"), "block", "id", "v").join(sizes, "pile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select("pile", "part", F.col("block").alias("b"), F.col("id").alias("i"), F.col("v").alias("w")).select("pile", "part", F.col("i").alias("id"), F.col("w").alias("v"), F.col("b").alias("block"))
 
     def compare(q: pa.Table, i: pa.Table) -> pa.Table:
-        return best(q, i.sort_by("id") if i.num_rows else i, k).drop_columns(["rank"])
+        return piled(q, i, k)
+
+    return left.groupBy("pile", "part").cogroup(right.groupBy("pile", "part")).applyInArrow(compare, f"query_id {kinds[0]}, item_id {kinds[1]}, similarity double")
 
-    return left.select("block", "part", "id", "v").groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(compare, f"query_id {kinds[0]}, item_id {kinds[1]}, similarity double")
+
+def piled(q: pa.Table, i: pa.Table, k: int) -> pa.Table:
+    """(query_id, item_id, similarity): the k best of each query(id, v, blocks) among items(id, v, block) of its blocks; equal similarities by id."""
+    i = i.sort_by("id") if i.num_rows else i
+    value, place = np.full((q.num_rows, k), -np.inf), np.full((q.num_rows, k), i.num_rows)
+    if q.num_rows and i.num_rows:
+        x, y = unit(q.column("v")), unit(i.column("v"))
+        block = i.column("block").to_numpy()
+        lists = q.column("blocks").combine_chunks()
+        wants, of = lists.flatten().to_numpy(), np.repeat(np.arange(q.num_rows), lists.value_lengths().to_numpy())
+        for b in np.unique(block):
+            mine, asks = np.flatnonzero(block == b), of[wants == b]
+            own = y[mine].T
+            for at in range(0, len(asks), 1024):
+                some = asks[at : at + 1024]
+                s = x[some] @ own
+                low = value[some, -1]  # what a new one has to reach
+                new = np.flatnonzero(np.isneginf(low))
+                if len(new) and k <= len(mine):
+                    low[new] = np.partition(s[new], -k, axis=1)[:, -k]
+                r, c = np.nonzero(s >= low[:, None] - 1e-11)
+                r, v, p = np.append(r, np.repeat(np.arange(len(some)), k)), np.append(np.round(s[r, c], 12) + 0.0, value[some]), np.append(mine[c], place[some])
+                order = np.lexsort((p, -v, r))
+                r = r[order]
+                rank = np.arange(len(r)) - np.searchsorted(r, r)
+                first = order[rank < k]  # k of each: those held before count
+                value[some], place[some] = v[first].reshape(-1, k), p[first].reshape(-1, k)
+    rows, at = np.nonzero(value > -np.inf)
+    ids = lambda t, which: t.column("id").combine_chunks().take(pa.array(which))
+    return pa.table([ids(q, rows), ids(i, place[rows, at]), pa.array(value[rows, at])], ["query_id", "item_id", "similarity"])

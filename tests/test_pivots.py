@@ -70,3 +70,13 @@ def test_groups_of_copies_are_linked_by_their_first(spark):
     assert sorted(map(tuple, similarity.redundant_groups(rows, 0.95, "id", "v").collect())) == sorted(map(tuple, similarity.components(similarity.redundant_pairs(rows, 0.95, "id", "v")).collect()))
     with pytest.raises(ValueError):
         similarity.redundant_pairs(rows, 0.0, "id", "v")
+
+
+def test_a_query_is_sent_to_piles_of_blocks(spark):
+    """Vectors that lie all over the place: a query meets nearly every block, but it is sent once for sixteen of them."""
+    x = np.random.default_rng(10).normal(0, 1, (640, 16))
+    counter = {}
+    got = sorted((r.query_id, r["rank"], r.item_id) for r in pivots.nearest(table(spark, x), table(spark, x), 5, Tables(spark), 16, counter).collect())
+    s = cosines(x, x)
+    assert got == [(q, k + 1, int(i)) for q in range(len(x)) for k, i in enumerate(np.lexsort((np.arange(len(x)), -s[q]))[:5])]
+    assert counter["compared"] > 20 * len(x) and counter["sent"] * 5 < counter["compared"]
