@@ -79,10 +79,16 @@ def unnameable(clusters: DataFrame, matches: DataFrame, aspects: DataFrame, doma
 
 
 def grounded(members: DataFrame, matches: DataFrame, domains: DataFrame, cluster: str, item: str = "id") -> DataFrame:
-    """Members that share a keyword with their cluster's domain; all members of clusters in which none does."""
+    """Members that share a keyword with their cluster's domain; all members of clusters in which none does.
+
+    Which domains a member shares a keyword with is found in its row, so tokens needn't travel to where its cluster is; the lexicon is one row, which is broadcast.
+    """
     words = domains.groupBy("domain").agg(F.collect_set("word").alias("words"))
-    flagged = members.join(matches.select(cluster, "domain"), cluster, "left").join(words, "domain", "left")
-    flagged = flagged.withColumn("own", F.coalesce(F.arrays_overlap("tokens", "words"), F.lit(False)).cast("int")).drop("words", "domain")
+    lexicon = F.broadcast(words.agg(F.collect_list(F.struct("domain", "words")).alias("lexicon")))
+    met = F.transform(F.filter("lexicon", lambda x: F.coalesce(F.arrays_overlap("tokens", x["words"]), F.lit(False))), lambda x: x["domain"])
+    hit = members.crossJoin(lexicon).withColumn("met", met).drop("lexicon")
+    flagged = hit.join(matches.select(cluster, "domain"), cluster, "left")
+    flagged = flagged.withColumn("own", F.coalesce(F.array_contains("met", F.col("domain")), F.lit(False)).cast("int")).drop("met", "domain")
     some = flagged.groupBy(cluster).agg(F.max("own").alias("some"))
     return flagged.join(some, cluster).where((F.col("own") == 1) | (F.col("some") == 0)).drop("own", "some")
 
