@@ -43,8 +43,8 @@ def folded_key(c: Column) -> Column:
 
 #: N-gram sizes and weights of the embedding's two kinds of features.
 WORD_GRAMS, LETTER_GRAMS, LETTER_WEIGHT = (1, 2), (3, 4), 0.35
-#: Words and letter n-grams that a Python worker remembers the features of.
-REMEMBERED = 400_000
+#: Words and letter n-grams that a Python worker remembers the features of; rows and characters that it embeds at a time (a longer text is alone).
+REMEMBERED, ROWS, CHARACTERS = 250_000, 256, 1 << 18
 
 
 class Numbers(dict):
@@ -142,13 +142,26 @@ def embed(text: str, size: int = 768) -> np.ndarray:
     return Embedder(size)([text])[0]
 
 
+def pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, ROWS and CHARACTERS at a time."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and (i - start == ROWS or held + n > CHARACTERS):
+            yield texts[start:i]
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield texts[start:]
+
+
 def hash_embed(c: Column, size: int = 768) -> Column:
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = Embedder(size)
         for s in batches:
-            texts = s.tolist()
-            yield pd.Series([v for i in range(0, len(texts), 256) for v in embedder(texts[i : i + 256])], index=s.index, dtype=object)
+            for texts in pieces(s.tolist()):  # vectors leave as they are made: a batch of them isn't held
+                yield pd.Series(list(embedder(texts)), dtype=object)
 
     return run(c)
 
@@ -161,12 +174,10 @@ def model_embed(c: Column, load: Callable[[], Callable[[list[str]], np.ndarray]]
         encode = load()
         for s in batches:
             texts = [x or "" for x in s.tolist()]
-            rows = []
             for i in range(0, len(texts), batch):
                 x = np.asarray(encode(texts[i : i + batch]), np.float64)
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
-                rows += list(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32))
-            yield pd.Series(rows, index=s.index, dtype=object)
+                yield pd.Series(list(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32)), dtype=object)
 
     return run(c)
 

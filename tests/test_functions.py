@@ -135,3 +135,13 @@ def test_model_client(tmp_path):
     assert (client.calls, client.failures, waits) == (3, 1, [1.0])
     with pytest.raises(StopIteration):
         Client(transport, retries=0).ask("q", schema)
+
+
+def test_embedding_takes_bounded_pieces(spark):
+    """Rows of one batch are embedded by so many characters at a time (before: 256 rows, however long) and stay in order."""
+    long = ["a" * udfs.CHARACTERS, "b" * (udfs.CHARACTERS // 2)]
+    assert [len(p) for p in udfs.pieces([long[0], None, long[1], long[1], "c", *[""] * 300])] == [2, 2, 256, 45]
+    assert list(udfs.pieces([])) == []
+    texts = [f"word{i % 7} other{i}" for i in range(600)]
+    got = [r.v for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", udfs.hash_embed(F.col("t"), 64).alias("v")).orderBy("i").collect()]
+    assert np.allclose(got, [udfs.embed(t, 64) for t in texts], atol=1e-6)
