@@ -75,10 +75,16 @@ class Signals(StatefulProcessor):
 
 
 def updates(stream: DataFrame, quiet_ms: int | None = None) -> DataFrame:
-    """A row for each key that a batch touches: key, n and the standing row. stream: a stream of raw rows, as operators.ingest.triaged() takes them. Rows that aren't ok are left out."""
+    """A row for each key that a batch touches: key, n and the standing row. stream: a stream of raw rows, as operators.ingest.triaged() takes them. Rows that aren't ok are left out.
+
+    Without quiet_ms it is an aggregation, whose state stays in the JVM; only keys that may be closed need a processor with timers.
+    """
     ok = ingest.triaged(stream).where("status = 'ok'")
     keyed = ok.select(ingest.dedup_key(F.col("text"), F.col("rating")).alias("key"), ingest.iso(F.col("timestamp")).alias("iso"), "source_id", "version_id", "text", "package_name", F.col("rating").cast("double").alias("rating"), "timestamp")
-    return keyed.groupBy("key").transformWithStateInPandas(Signals(quiet_ms), UPDATE, "Update", "None" if quiet_ms is None else "ProcessingTime")
+    if quiet_ms is None:
+        told = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct(*FIELDS)).alias("x"))
+        return told.select("key", "n", "x.*", F.lit(False).alias("is_closed"))
+    return keyed.groupBy("key").transformWithStateInPandas(Signals(quiet_ms), UPDATE, "Update", "ProcessingTime")
 
 
 def write(stream: DataFrame, folder: str, checkpoint: str, quiet_ms: int | None = None, **trigger: Any):

@@ -60,3 +60,11 @@ def test_counts_of_windows_and_repeats(spark, tmp_path):
         made.writeStream.format("memory").queryName(name).outputMode("append" if name == "once" else "update").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.window_start.hour, r.n, r.mean_rating) for r in spark.table("counted").collect()) == [(1, 2, 2.0), (2, 1, 1.0), (3, 2, 2.0)]
     assert sorted(r.rating for r in spark.table("once").collect()) == [1.0, 2.0]
+
+
+def test_a_stream_without_timers_runs_no_python_for_each_key(spark):
+    """Its state is an aggregation's (before: a Python processor called for each key of each batch); closing keys still takes the processor."""
+    stream = spark.readStream.format("rate").load().select(*[F.lit("1").alias(x.split()[0]) for x in RAW.split(", ")])
+    plans = [stream_ingest.updates(stream, quiet)._jdf.queryExecution().analyzed().toString() for quiet in (None, 1000)]
+    assert ["TransformWithState" in x for x in plans] == [False, True]
+    assert stream_ingest.updates(stream).dtypes == stream_ingest.updates(stream, 1000).dtypes
