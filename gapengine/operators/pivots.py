@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,12 +150,12 @@ def block_pairs(bounds: DataFrame, most: float) -> DataFrame:
     return both.where(gap(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")) <= most + SLACK).select("a", "b")
 
 
-def similar_pairs(rows: DataFrame, threshold: float, tables: Tables, block: int | None = None, counter: dict | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b and a cosine of at least threshold, which is over 0, of rows(id, v). counter gets the pairs of blocks that there are and those that were compared, and how many rows were sent for that."""
+def similar_pairs(rows: DataFrame, threshold: float, tables: Tables, block: int | None = None, counter: dict | None = None, spanning: bool = False) -> DataFrame:
+    """(a, b, similarity) with a < b and a cosine of at least threshold, which is over 0, of rows(id, v). spanning: in place of a task's pairs, links of rows to the least id that the pairs link them to. counter gets the pairs of blocks that there are and those that were compared, and how many rows were sent for that."""
     n, block, _ = sized(rows, block or BLOCK)
     kind = rows.schema["id"].dataType.simpleString()
     if n <= block:
-        return within_one(rows, n, threshold, kind)
+        return within_one(rows, n, threshold, kind, spanning)
     dealt, bounds, _ = laid_out(rows, n, tables, block)
     pairs = tables.keep(block_pairs(bounds, math.acos(min(1.0, threshold))) if not bounds.isEmpty() else bounds.select(F.col("block").alias("a"), F.col("block").alias("b")), "pairs")
     if counter is not None:
@@ -166,14 +167,42 @@ def similar_pairs(rows: DataFrame, threshold: float, tables: Tables, block: int
     right = dealt.select(F.col("block").alias("b"), "id", "v").join(pairs.where("a < b"), "b").select("a", "b", F.col("id").alias("i"), F.col("v").alias("w")).select("a", "b", F.col("i").alias("id"), F.col("w").alias("v"))
 
     def compare(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        return matches(x, x if key[0].as_py() == key[1].as_py() else y, threshold)
+        return matches(x, x if key[0].as_py() == key[1].as_py() else y, threshold, spanning)
 
     out = left.select("a", "b", "id", "v").groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(compare, f"p {kind}, q {kind}, similarity double")
     return out.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
-def matches(x: pa.Table, y: pa.Table, threshold: float) -> pa.Table:
-    """(p, q, similarity) of the pairs of two blocks; of a block with itself, each pair once."""
+def linked(p: np.ndarray, q: np.ndarray, threshold: float, same: bool) -> np.ndarray:
+    """A label for each row of p and then, unless they are the same, of q: equal for rows that similar pairs link, directly or through others."""
+    shift = 0 if same else len(p)
+    label = np.arange(shift + len(q))
+    for at in range(0, len(p), 1024):
+        near = p[at : at + 1024] @ q.T >= threshold - 1e-12
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            others, own = label[shift + np.flatnonzero(near[i])], label[at + i]
+            if (others != own).any():
+                into = np.arange(len(label))
+                into[others] = own
+                label = into[label]
+    return label
+
+
+def stars(x: pa.Table, y: pa.Table, threshold: float) -> pa.Table:
+    """(p, q, similarity): each row that similar pairs of two blocks link to others, with the least id that it is linked to; similarity is null. Fewer than there are rows, where the pairs may be as many as their product."""
+    ids = (x if x is y else pa.concat_tables([x.select(["id"]), y.select(["id"])])).column("id").combine_chunks()
+    label = linked(unit(x.column("v")), unit(y.column("v")), threshold, x is y) if x.num_rows and y.num_rows else np.zeros(0, np.int64)
+    order = np.asarray(pa.compute.sort_indices(ids), np.int64)[: len(label)]
+    found, first, of = np.unique(label[order], return_index=True, return_inverse=True)
+    least = order[first][of]
+    own = least != order
+    return pa.table([ids.take(pa.array(least[own])), ids.take(pa.array(order[own])), pa.nulls(int(own.sum()), pa.float64())], ["p", "q", "similarity"])
+
+
+def matches(x: pa.Table, y: pa.Table, threshold: float, spanning: bool = False) -> pa.Table:
+    """(p, q, similarity) of the pairs of two blocks; of a block with itself, each pair once. spanning: see stars()."""
+    if spanning:
+        return stars(x, y, threshold)
     same = x is y
     left, right, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     if x.num_rows and y.num_rows:
@@ -193,16 +222,17 @@ def held_block(rows: DataFrame) -> pa.Table:
     return rows.select("id", F.col("v").cast("array<double>").alias("v")).toArrow().combine_chunks()
 
 
-def within_one(rows: DataFrame, n: int, threshold: float, kind: str) -> DataFrame:
+def within_one(rows: DataFrame, n: int, threshold: float, kind: str, spanning: bool = False) -> DataFrame:
     """Similar pairs of at most one block's rows: every task compares its rows with the block, which is broadcast."""
     held = rows.sparkSession.sparkContext.broadcast(held_block(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from matches(pa.Table.from_batches([b]), held.value, threshold).combine_chunks().to_batches()
+            yield from matches(pa.Table.from_batches([b]), held.value, threshold, spanning).combine_chunks().to_batches()
 
     out = rows.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"p {kind}, q {kind}, similarity double")
-    return out.where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), "similarity")
+    out = out.where("p <> q") if spanning else out.where("p < q")  # a star has a pair one way only
+    return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
 def best(q: pa.Table, i: pa.Table, k: int) -> pa.Table:

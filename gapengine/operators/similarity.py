@@ -27,11 +27,14 @@ def redundant_pairs(rows: DataFrame, threshold: float, id_col: str, vec: str, ta
 
 
 def redundant_groups(rows: DataFrame, threshold: float, id_col: str, vec: str, tables: Tables | None = None) -> DataFrame:
-    """(id, root): what components(redundant_pairs()) gives, without the pairs of equal vectors: they are linked through the first of them by id, so a large group of copies makes as many rows."""
+    """(id, root): what components(redundant_pairs()) gives, without the pairs of equal vectors: they are linked through the first of them by id, so a large group of copies makes as many rows. Of other similar pairs, a task returns no more than link what it compares."""
     own = _sides(rows, id_col, vec).where(F.exists("v", lambda x: x != 0))
     firsts = own.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     members = own.select("id", "v").join(firsts, "v").select("id", "first", "n")
-    roots = components(redundant_pairs(firsts.select(F.col("first").alias("id"), "v"), threshold, "id", "v", tables))
+    if threshold <= 1e-12:
+        raise ValueError("a threshold of 0 or less makes all pairs")
+    links = pivots.similar_pairs(firsts.select(F.col("first").alias("id"), "v"), threshold, tables or Tables(rows.sparkSession, "pairs"), spanning=True)
+    roots = components(links)
     out = members.join(roots.withColumnRenamed("id", "first"), "first", "left")
     return out.where("root is not null or n > 1").select("id", F.coalesce("root", "first").alias("root"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gapengine.functions.shared import Tables
@@ -80,3 +81,20 @@ def test_a_query_is_sent_to_piles_of_blocks(spark):
     s = cosines(x, x)
     assert got == [(q, k + 1, int(i)) for q in range(len(x)) for k, i in enumerate(np.lexsort((np.arange(len(x)), -s[q]))[:5])]
     assert counter["compared"] > 20 * len(x) and counter["sent"] * 5 < counter["compared"]
+
+
+def test_stars_link_what_all_pairs_link():
+    """Fewer links than rows (before: a row for each of the similar pairs), and the same components."""
+    r = np.random.default_rng(3)
+    x = r.normal(0, 1, (12, 8))[np.arange(300) % 12] + r.normal(0, 0.4, (300, 8))
+    for a, b in ((x, x), (x[:140], x[140:])):
+        p, q = (pa.table({"id": np.arange(len(y)) + k, "v": pa.array(y.tolist(), pa.list_(pa.float64()))}) for y, k in ((a, 0), (b, 0 if b is x else 140)))
+        q = p if b is x else q
+        roots, sizes = [], []
+        for spanning in (False, True):
+            root, pairs = list(range(300)), pivots.matches(p, q, 0.9, spanning)
+            for i, j in zip(pairs["p"].to_pylist(), pairs["q"].to_pylist(), strict=True):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if y == hi else y for y in root]
+            roots.append(root), sizes.append(pairs.num_rows)
+        assert roots[0] == roots[1] and sizes[1] == 300 - len(set(roots[0])) < sizes[0]
