@@ -21,8 +21,8 @@ from gapengine.operators.pivots import unit
 
 #: Starts, rows of a batch, steps at most, rounds in which seeds are drawn, and whole passes at the end.
 STARTS, BATCH, STEPS, ROUNDS, LAST = 5, 16_384, 30, 2, 2
-#: Rows of a group that one task holds, and values of centres that one round of groups may have: 64 MB.
-ROWS, VALUES = 100_000, 1 << 23
+#: Rows of a group that one task is dealt, values of centres that one round of groups may have (64 MB), and rows that are compared with centres at a time.
+ROWS, VALUES, SLICE = 100_000, 1 << 23, 2048
 
 
 @dataclass
@@ -42,12 +42,13 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _groups(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(group, positions, vectors) of a batch (grp, key, v)."""
-    grp = b.column(0).to_numpy(zero_copy_only=False)
-    x = unit(b.column(2))
-    for g in np.unique(grp).tolist():
-        at = np.flatnonzero(grp == g)
-        yield int(g), at, x[at]
+    """(group, positions, vectors) of a batch (grp, key, v), a slice of rows at a time."""
+    whole = b.column(0).to_numpy(zero_copy_only=False)
+    for first in range(0, b.num_rows, SLICE):
+        grp, x = whole[first : first + SLICE], unit(b.column(2).slice(first, SLICE))
+        for g in np.unique(grp).tolist():
+            at = np.flatnonzero(grp == g)
+            yield int(g), first + at, x[at]
 
 
 def sums(rows: DataFrame, centres: Centres) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, float]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from gapengine.functions.shared import Tables
 from gapengine.operators import clustering, minibatch
@@ -62,3 +63,14 @@ def test_few_distinct_rows_and_none(spark):
     same = frame(spark, np.ones((30, 4)))
     assert {r.cluster for r in minibatch.k_means(same, "id", "v", lambda n: 8, tables=Tables(spark)).collect()} == {0}
     assert minibatch.k_means(same.limit(0), "id", "v", lambda n: 8).isEmpty() and clustering.clustered_by(same.limit(0), "id", "v", "g").isEmpty()
+
+
+def test_rows_are_compared_a_slice_at_a_time():
+    """However many rows a batch has, so many vectors are copied at once (before: all of a group); positions are those in the batch."""
+    n = 2 * minibatch.SLICE + 5
+    vectors = pa.array([[float(i), 1.0] for i in range(n)], pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n) % 2), pa.array(np.arange(n)), vectors], ["grp", "key", "v"])
+    parts = list(minibatch._groups(batch))
+    assert max(len(x) for *_, x in parts) == minibatch.SLICE // 2
+    assert sorted(np.concatenate([at for _, at, _ in parts]).tolist()) == list(range(n))
+    assert all((at % 2 == g).all() and np.allclose(x[:, 0] / x[:, 1], at) for g, at, x in parts)
