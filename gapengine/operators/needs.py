@@ -94,7 +94,7 @@ def grounded(members: DataFrame, matches: DataFrame, domains: DataFrame, cluster
 
 
 def capped(members: DataFrame, cluster: str, item: str = "id", most: int = 40) -> DataFrame:
-    """The first members of each cluster by id. The window's group limit is applied before the exchange."""
+    """The first members of each cluster by id, for a look at them; inference takes all. The window's group limit is applied before the exchange."""
     return members.withColumn("member_rank", F.row_number().over(W.partitionBy(cluster).orderBy(item))).where(F.col("member_rank") <= most).drop("member_rank")
 
 

@@ -11,6 +11,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapengine.functions import text, udfs
@@ -23,7 +24,9 @@ if TYPE_CHECKING:
 SEPARATOR = "\x1f"
 #: More clusters than a run can have.
 CLUSTERS = 1 << 20
-ANSWER = "cluster_no long, sample int, latent_need string, jtbd_statement string, symptom string, kano_class string, cited array<string>"
+#: Members that are brought into order together before they are shown to a model, page by page.
+BIN = 4096
+ANSWER = "cluster_no long, bin int, page int, sample int, latent_need string, jtbd_statement string, symptom string, kano_class string, cited array<string>"
 
 
 def felt(signals: DataFrame, config: Config, embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -36,9 +39,9 @@ def felt(signals: DataFrame, config: Config, embed: Callable[[Column], Column] |
 def infer(rows: DataFrame, config: Config, tables: Tables, embed: Callable[[Column], Column] | None = None, extract: Callable | None = None, merge: Callable | None = None) -> tuple[DataFrame, DataFrame, dict[int, int]]:
     """Needs (run, id, …) and members (run, need_id, id, …) of rows(run, …), felt() signals whose ids are unique within a run; and each run's number of signals.
 
-    Clusters are named by the lexicon's domains or aspects, or dropped. extract, if given, is a model of the caller's: a dict (cluster_no, ids, texts, aspects) to a list of answers, dicts of latent_need, jtbd_statement,
-    symptom, kano_class and cited (ids). Answers that cite ids of other clusters or lack a field don't count; the title that most answers agree on frames the need, and how many do is its self-consistency; without any
-    valid answer the lexicon frames it. merge, if given, takes a list of dicts (id, latent_need) of a run and returns groups of ids; groups with unknown or repeated ids are refused.
+    Clusters are named by the lexicon's domains or aspects, or dropped; all their members count. extract, if given, is a model of the caller's: a dict (cluster_no, ids, texts, aspects) to a list of answers, dicts of latent_need,
+    jtbd_statement, symptom, kano_class and cited (ids). It is asked once for each page of at most max_members members. Answers that cite ids of other pages or lack a field don't count; the title that most answers of all pages
+    agree on frames the need, and how many do is its self-consistency; the need's signals are those that each page's first such answer cites; without any valid answer the lexicon frames it. merge, if given, takes a list of dicts (id, latent_need) of a run and returns groups of ids; groups with unknown or repeated ids are refused.
     Signals left over that name exactly one domain join the need of that domain, if just one has it.
     """
     spark, lex = rows.sparkSession, config.lexicon
@@ -50,19 +53,19 @@ def infer(rows: DataFrame, config: Config, tables: Tables, embed: Callable[[Colu
     labels = clustering.clustered_by(kept, "id", "vec", "run", tables).select("id", (F.col("run") * CLUSTERS + F.col("cluster")).alias("cluster_no"))
     members = kept.drop("vec").join(tables.keep(labels, "clusters"), "id")
     sizes = members.groupBy("run", "cluster_no").agg(F.count("*").alias("n")).join(per_run, "run").where("n >= least").select("cluster_no")
-    members = tables.keep(needs.capped(members.join(sizes, "cluster_no"), "cluster_no", "id", config.max_members), "members")
+    members = tables.keep(members.join(sizes, "cluster_no"), "members")
     domains = lex.domain_words(spark)
     matches = tables.keep(needs.domain_match(members, domains, "cluster_no"), "matches")
     aspects = tables.keep(needs.cluster_aspects(members, "cluster_no", stop=lex.stop), "aspects")
     drop = needs.unnameable(members.select("cluster_no").distinct(), matches, aspects, domains, "cluster_no", lex.weak)
     named = tables.keep(members.join(drop, "cluster_no", "left_anti"), "named")
-    frames = _frames(named, matches, aspects, lex, extract, tables)
+    frames = _frames(named, matches, aspects, lex, extract, tables, config.max_members)
     ground = needs.grounded(named, matches, domains, "cluster_no")
     if extract is not None:  # what an answer cites takes the place of what shares the domain's words
         cited = frames.where("from_model").select("cluster_no", F.explode("cited").alias("item"))
         ground = ground.join(frames.where("from_model").select("cluster_no"), "cluster_no", "left_anti").unionByName(named.join(cited, ["cluster_no", "item"]).select(*ground.columns))
     ground = tables.keep(ground, "grounded")
-    ids = ground.groupBy("run", "cluster_no").agg(F.array_sort(F.collect_list("item")).alias("signal_ids"), F.min_by("text", "id").alias("first_text"))  # MAX_MEMBERS a cluster
+    ids = ground.groupBy("run", "cluster_no").agg(F.array_sort(F.collect_list("item")).alias("signal_ids"), F.min_by("text", "id").alias("first_text"))  # ids of all members, which the need lists
     kano = needs.kano(ground, "cluster_no").select("cluster_no", F.col("kano_class").alias("found_class"))
     base = frames.join(ids, "cluster_no").join(kano, "cluster_no").withColumn("kano_class", F.coalesce("kano_class", "found_class")).withColumn("symptom", F.coalesce("symptom", "first_text"))
     base = tables.keep(base.withColumn("key", F.concat_ws(SEPARATOR, F.col("run").cast("string"), text.ids_id("N", F.col("signal_ids")))).drop("found_class", "first_text", "cited"), "base")
@@ -88,7 +91,15 @@ def infer(rows: DataFrame, config: Config, tables: Tables, embed: Callable[[Colu
     return tables.keep(out, "needs"), parts, totals
 
 
-def _frames(named: DataFrame, matches: DataFrame, aspects: DataFrame, lex, extract: Callable | None, tables: Tables) -> DataFrame:
+def paged(members: DataFrame, most: int, cluster: str = "cluster_no", item: str = "item") -> DataFrame:
+    """members with bin and page: each cluster's members by id, most of them a page at most. A cluster of over BIN members is dealt over several bins by hash first, so no task has to sort more."""
+    bins = members.groupBy(cluster).agg(F.ceil(F.count("*") / F.lit(BIN)).alias("_bins"))
+    own = members.join(bins, cluster).withColumn("bin", F.pmod(F.xxhash64(item), F.col("_bins")).cast("int")).drop("_bins")
+    at = F.row_number().over(W.partitionBy(cluster, "bin").orderBy(item)) - 1
+    return own.withColumn("page", F.floor(at / F.lit(most)).cast("int"))
+
+
+def _frames(named: DataFrame, matches: DataFrame, aspects: DataFrame, lex, extract: Callable | None, tables: Tables, most: int) -> DataFrame:
     """(cluster_no, domain, latent_need, jtbd_statement, symptom, kano_class, aspects, cited, self_consistency, samples, failures, from_model); symptom and class are null where no model gave them."""
     spark = named.sparkSession
     top = aspects.groupBy("cluster_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "aspect"))), lambda x: x["aspect"]).alias("aspects"))
@@ -100,27 +111,30 @@ def _frames(named: DataFrame, matches: DataFrame, aspects: DataFrame, lex, extra
     none = F.lit(None)
     if extract is None:
         return plain.select("*", none.cast("string").alias("symptom"), none.cast("string").alias("kano_class"), none.cast("array<string>").alias("cited"), F.lit(1.0).alias("self_consistency"), F.lit(0).alias("samples"), F.lit(0).cast("long").alias("failures"), F.lit(False).alias("from_model"))
-    asked = named.groupBy("cluster_no").agg(F.array_sort(F.collect_list(F.struct("item", "text"))).alias("m")).join(top, "cluster_no", "left")  # MAX_MEMBERS a cluster
-    asked = asked.select("cluster_no", F.col("m.item").alias("ids"), F.col("m.text").alias("texts"), "aspects")
+    at = ["cluster_no", "bin", "page"]
+    asked = paged(named, most).groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("item", "text"))).alias("m")).join(top, "cluster_no", "left")  # a page
+    asked = tables.keep(asked.select(*at, F.col("m.item").alias("ids"), F.col("m.text").alias("texts"), "aspects"), "asked")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for c in f.to_dict("records"):
-                told = extract({k: list(v) if isinstance(v, np.ndarray) else v for k, v in c.items()}) or []
-                rows += [(c["cluster_no"], k, *(a.get(x) for x in ("latent_need", "jtbd_statement", "symptom", "kano_class")), [str(i) for i in a.get("cited") or []]) for k, a in enumerate(told)]
+                told = extract({k: list(v) if isinstance(v, np.ndarray) else v for k, v in c.items() if k not in ("bin", "page")}) or []
+                rows += [(*(c[x] for x in at), k, *(a.get(x) for x in ("latent_need", "jtbd_statement", "symptom", "kano_class")), [str(i) for i in a.get("cited") or []]) for k, a in enumerate(told)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
 
-    answers = tables.keep(asked.mapInPandas(run, ANSWER), "answers").join(asked.select("cluster_no", "ids"), "cluster_no")
+    answers = tables.keep(asked.mapInPandas(run, ANSWER), "answers").join(asked.select(*at, "ids"), at)
     ok = F.coalesce(needs.valid_extraction(F.col("cited"), F.col("ids"), F.col("kano_class"), F.col("latent_need"), F.col("jtbd_statement"), F.col("symptom")), F.lit(False))
     answers = answers.withColumn("ok", ok).withColumn("key", F.lower(text.canonical(F.col("latent_need"))))
     counts = answers.groupBy("cluster_no").agg(F.count("*").cast("int").alias("samples"), F.count_if(~F.col("ok")).alias("failures"))
     valid = answers.where("ok")
-    chosen = valid.join(_agreed(valid, counts), ["cluster_no", "key"]).groupBy("cluster_no").agg(F.min(F.struct("sample", "latent_need", "jtbd_statement", "symptom", "kano_class", "cited")).alias("a"), F.max("self_consistency").alias("told"))
+    told = F.struct("bin", "page", "sample", "latent_need", "jtbd_statement", "symptom", "kano_class", "cited")
+    chosen = valid.join(_agreed(valid, counts), ["cluster_no", "key"]).groupBy(*at).agg(F.min(told).alias("a"), F.max("self_consistency").alias("told"))
+    chosen = chosen.groupBy("cluster_no").agg(F.min("a").alias("a"), F.max("told").alias("told"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("a.cited")))).alias("cited"))
     out = plain.withColumnsRenamed({"latent_need": "own_need", "jtbd_statement": "own_job"}).join(counts, "cluster_no", "left").join(chosen, "cluster_no", "left")
     return out.select(
         "cluster_no", "domain", F.coalesce("a.latent_need", "own_need").alias("latent_need"), F.coalesce("a.jtbd_statement", "own_job").alias("jtbd_statement"), "aspects", F.col("a.symptom").alias("symptom"), F.col("a.kano_class").alias("kano_class"),
-        F.array_distinct("a.cited").alias("cited"), F.coalesce("told", F.lit(0.0)).alias("self_consistency"), F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), F.col("a").isNotNull().alias("from_model"),
+        "cited", F.coalesce("told", F.lit(0.0)).alias("self_consistency"), F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), F.col("a").isNotNull().alias("from_model"),
     )
 
 

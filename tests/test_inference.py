@@ -100,3 +100,35 @@ def test_three_similarities_and_coverage_of_the_whole_backlog(spark):
     r = analyze.detect_gaps(framing_need(spark), items, CONFIG, as_of="2026-01-02", keep_covered=True).first()
     assert r.job_coverage_corpus > r.job_coverage and r.job_item_corpus is not None and r.job_item_corpus != r.item_id
     assert len({r.similarity, r.symptom_similarity, r.job_similarity}) == 3 and all(0 <= x <= 1 for x in (r.similarity, r.symptom_similarity, r.job_similarity))
+
+
+def many_signals(spark, n):
+    return spark.createDataFrame([(f"S{k:05d}", "reviews", f"cannot login, the password and account session is broken number{k % 2}", NOW, 1.0) for k in range(n)], signals(spark).schema)
+
+
+def test_all_members_of_a_large_cluster_count(spark):
+    """130 equal complaints, of which 40 were kept before: all stand in the needs and in stability, and all are quoted."""
+    need, own = analyze.infer_needs(many_signals(spark, 130), CONFIG)
+    found = need.collect()
+    assert sorted(i for r in found for i in r.signal_ids) == [f"S{k:05d}" for k in range(130)] and sum(r.support for r in found) == own.count() == 130
+    assert sum(r.baseline_signals for r in inference.stability(many_signals(spark, 130), CONFIG, 1).collect() if r.shipped) == 130
+    result = analyze.analyze(many_signals(spark, 130), backlog(spark), CONFIG, as_of="2026-01-02")
+    assert result.manifest["assigned_signals"] == 130 and result.reports.where("kind = 'signal'").select("id").distinct().count() == 130
+    result.release()
+
+
+def test_a_model_is_shown_every_member_once(spark, monkeypatch):
+    """In pages of at most max_members; what it cites on each page is in the need."""
+    monkeypatch.setattr(inference, "BIN", 50)
+    members = spark.createDataFrame([(c, f"S{k:05d}") for c, n in ((1, 130), (2, 7)) for k in range(n)], "cluster_no long, item string")
+    pages = inference.paged(members, 20).groupBy("cluster_no", "bin", "page").agg(F.count("*").alias("n")).collect()
+    assert max(r.n for r in pages) <= 20 and sum(r.n for r in pages) == 137 and len({r.bin for r in pages}) == 3
+
+    def extract(cluster):
+        assert len(cluster["ids"]) <= 40
+        return [{"latent_need": "Stay signed in", "jtbd_statement": "When I return, I am in", "symptom": "login fails", "kano_class": "basic", "cited": cluster["ids"]}]
+
+    rows = inference.felt(many_signals(spark, 130), CONFIG).withColumn("run", F.lit(0).cast("long"))
+    found = inference.infer(rows, CONFIG, Tables(spark), extract=extract)[0].collect()
+    assert {i for r in found for i in r.signal_ids} == {f"S{k:05d}" for k in range(130)}
+    assert all((r.latent_need, r.self_consistency, r.failures) == ("Stay signed in", 1.0, 0) for r in found) and max(r.samples for r in found) >= 2
