@@ -24,6 +24,7 @@ class Config:
     high: float = verdict.HIGH
     merge_at: float = 0.9
     min_cluster: int = 3
+    #: Members of a cluster that a model is shown at a time; all are shown.
     max_members: int = 40
     top_k: int = 5
     dimensions: int = 256
@@ -130,8 +131,8 @@ def verify_gaps(gaps: DataFrame, signals: DataFrame, need: DataFrame, items: Dat
     """
     tables = tables or Tables(gaps.sparkSession, "verification")
     named = gaps.select(F.col("id").alias("gap_id"), "need_id", "item_id", "signal_ids", "verdict", F.col("signal_ids").alias("quote_ids"))
-    ev = evidence.evidence(named.select("gap_id", "signal_ids"), signals)
-    quotes = ev.select("gap_id", F.inline("quotes")).join(signals.select("id", F.col("text").alias("source")), "id").select("gap_id", "id", F.col("span").alias("quote"), "source", F.lit(0).alias("start"), F.length("span").alias("end"))
+    spans = evidence.spans(named.select("gap_id", "signal_ids"), signals).where("span is not null")
+    quotes = spans.join(signals.select("id", F.col("text").alias("source")), "id").select("gap_id", "id", F.col("span").alias("quote"), "source", F.lit(0).alias("start"), F.length("span").alias("end"))
     planned = verify.item_quotes(gaps, items)
     quotes = quotes.select("gap_id", "id", F.lit("signal").alias("kind"), "quote", "source", "start", "end").unionByName(planned)
     reports = tables.keep(verify.canonicalised(verify.verified_quotes(quotes, config.fuzzy)), "reports")
